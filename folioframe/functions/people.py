@@ -128,7 +128,7 @@ def looks_like_person(c: Column, surnames: Surnames = DEFAULT_SURNAMES) -> Colum
             & (F.substring(p, 1, 2).isin(*surnames.compound) | F.substring(p, 1, 1).isin(*surnames.single))
         )
 
-    parts = F.filter(F.transform(F.split(clean_text(c), "[、，]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(clean_text(c), "[、，]"), lambda x: F.trim(x)), lambda p: p != "")
     return F.coalesce(let(parts, lambda ps: (F.size(ps) > 0) & F.forall(ps, one)), F.lit(False))
 
 
@@ -136,13 +136,13 @@ def split_authors(c: Column, surnames: Surnames = DEFAULT_SURNAMES) -> Column:
     """Split at the enumeration signs; at blanks or 和 only if every piece is a person."""
 
     def people_only(token: Column, pattern: str) -> Column:
-        subs = F.filter(F.transform(F.split(token, pattern), F.trim), lambda s: s != "")
+        subs = F.filter(F.transform(F.split(token, pattern), lambda x: F.trim(x)), lambda s: s != "")
         return let(subs, lambda ss: F.when((F.size(ss) >= 2) & F.forall(ss, lambda s: looks_like_person(s, surnames)), ss))
 
     def pieces(token: Column) -> Column:
         return F.coalesce(people_only(token, r"\s+"), people_only(token, "和"), F.array(token))
 
-    tokens = F.filter(F.transform(F.split(c, "[、，]"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(c, "[、，]"), lambda x: F.trim(x)), lambda t: t != "")
     return F.flatten(F.transform(tokens, pieces))
 
 

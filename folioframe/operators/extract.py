@@ -10,7 +10,7 @@ from folioframe.functions import identifiers
 from folioframe.functions.people import parse_name
 from folioframe.functions.text import (
     NOT_WORD_AFTER, NOT_WORD_BEFORE, clean_text, dedupe_list, filled_lines, fold_spaces, has_cjk,
-    is_letter_spaced_header, language_tag, latex_body, lines, null_if_blank, strip_latex, text_or_empty,
+    is_letter_spaced_header, language_tag, latex_body, let, lines, null_if_blank, strip_latex, text_or_empty,
     unfold_ligatures,
 )
 
@@ -170,7 +170,7 @@ def parsed_metadata(df: DataFrame, text: str = "text", filename: str | None = No
 
 def note_keywords(c: Column, limit: int = 8) -> Column:
     """Keywords under a heading (same line or the next), else after an inline label."""
-    all_lines = F.transform(lines(c), F.trim)
+    all_lines = F.transform(lines(c), lambda x: F.trim(x))
     at = F.array_position(F.transform(all_lines, lambda x: x.rlike(KEYWORD_HEADING)), True).cast("int")
     heading = F.get(all_lines, at - 1)
     tail = F.regexp_replace(heading, r"(?i)^#{1,6}\s*(关键词|keywords)\s*[:：-]?\s*", "")
@@ -233,27 +233,32 @@ def _lookup(table: dict[str, int]) -> Column:
 
 def part_marker(c: Column) -> Column:
     """Struct of base title, marker and numeric order; NULL when there is no marker."""
-    s = F.trim(F.regexp_replace(F.translate(c, "\u3000", " "), r"\s+", " "))
-    found = F.coalesce(*[
-        F.when(s.rlike(p) & (F.length(F.regexp_extract(s, p, 1)) >= 2), F.struct(
-            F.trim(F.regexp_extract(s, p, 1)).alias("base"), F.trim(F.regexp_extract(s, p, 2)).alias("marker")
-        )) for p in PART_PATTERNS
-    ])
-    bare = F.regexp_replace(found["marker"], "[（()）]", "")
-    key = (
-        F.when(bare.rlike("^第.+[卷辑]$"), F.regexp_replace(bare, "^第|[卷辑]$", ""))
-        .when(bare.rlike("^之."), F.substring(bare, 2, 9))
-        .when(bare.rlike("^[上中下]."), F.left(bare, F.lit(1)))
-        .otherwise(bare)
-    )
-    listed = F.try_element_at(_lookup(PART_ORDER), key)
-    sub_form = bare.rlike("^第.+[卷辑]$|^之.|^[上中下].")
-    order = F.coalesce(
-        listed,
-        F.when(~sub_form & bare.rlike("^[0-9]+$"), bare.try_cast("int")),
-        F.when(~sub_form, F.try_element_at(_lookup(ROMAN_ORDER), F.upper(bare))),
-    )
-    return F.when(found.isNotNull(), F.struct(found["base"].alias("base"), found["marker"].alias("marker"), order.alias("order")))
+
+    def split(s: Column) -> Column:
+        return F.coalesce(*[
+            F.when(s.rlike(p) & (F.length(F.regexp_extract(s, p, 1)) >= 2), F.struct(
+                F.trim(F.regexp_extract(s, p, 1)).alias("base"), F.trim(F.regexp_extract(s, p, 2)).alias("marker")
+            )) for p in PART_PATTERNS
+        ])
+
+    def order(bare: Column) -> Column:
+        volume, numbered, halves = bare.rlike("^第.+[卷辑]$"), bare.rlike("^之."), bare.rlike("^[上中下].")
+        key = (
+            F.when(volume, F.regexp_replace(bare, "^第|[卷辑]$", ""))
+            .when(numbered, F.substring(bare, 2, 9)).when(halves, F.left(bare, F.lit(1))).otherwise(bare)
+        )
+        return F.coalesce(
+            F.try_element_at(_lookup(PART_ORDER), key),
+            F.when(~(volume | numbered | halves), F.coalesce(
+                bare.try_cast("int"), F.try_element_at(_lookup(ROMAN_ORDER), F.upper(bare))
+            )),
+        )
+
+    folded = F.trim(F.regexp_replace(F.translate(c, "\u3000", " "), r"\s+", " "))
+    return let(let(folded, split), lambda f: F.when(f.isNotNull(), F.struct(
+        f["base"].alias("base"), f["marker"].alias("marker"),
+        let(F.regexp_replace(f["marker"], "[（()）]", ""), order).alias("order"),
+    )))
 
 
 def part_base(c: Column) -> Column:
@@ -286,7 +291,7 @@ def model_verdict(output: Column, n_candidates: Column) -> Column:
         F.when((index >= 0) & (index < n_candidates), index).otherwise(-1).alias("recommended"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence"),
         F.trim(text_or_empty(parsed["reason"])).alias("reason"),
-        F.filter(F.transform(F.coalesce(parsed["warnings"], F.array().cast("array<string>")), F.trim), lambda w: w != "")
+        F.filter(F.transform(F.coalesce(parsed["warnings"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda w: w != "")
         .alias("warnings"),
     )
 
@@ -297,8 +302,10 @@ IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".pdf", ".eps", ".svg", ".webp", ".
 def figure_references(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per distinct `\\includegraphics` target of a document."""
     pattern = r"\\includegraphics(?:\s*\[[^\]]*\])?\s*\{([^}]+)\}"
-    raw = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1)))
-    return df.select(doc, F.replace(F.trim(raw), F.lit("\\"), F.lit("/")).alias("raw"))
+    targets = F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.replace(F.trim(x), F.lit("\\"), F.lit("/"))
+    )
+    return df.select(doc, F.explode(F.array_distinct(targets)).alias("raw"))
 
 
 def missing_figures(references: DataFrame, images: DataFrame, doc: str = "doc_id", rel: str = "rel") -> DataFrame:
@@ -309,9 +316,7 @@ def missing_figures(references: DataFrame, images: DataFrame, doc: str = "doc_id
     """
     base = F.substring_index("raw", "/", -1)
     exact = F.array(F.col("raw"), base)
-    guessed = F.flatten(F.array(*[
-        F.transform(F.array(F.col("raw"), base), lambda k, e=e: F.concat(k, F.lit(e))) for e in IMAGE_EXTENSIONS
-    ]))
+    guessed = F.array(*[F.concat(key, F.lit(e)) for key in (F.col("raw"), base) for e in IMAGE_EXTENSIONS])
     keyed = references.withColumn(
         "key", F.explode(F.array_distinct(F.when(base.rlike(r".\.[^.]+$"), exact).otherwise(F.concat(exact, guessed))))
     )

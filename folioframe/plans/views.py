@@ -123,6 +123,19 @@ FROM (SELECT doc_id, line_no, line AS text FROM {v_cn} LATERAL VIEW posexplode(s
   (10.0 * (line_no % 3))::DOUBLE AS x0, (40.0 + 14.0 * line_no)::DOUBLE AS y0, (52.0 + 14.0 * line_no)::DOUBLE AS y1, 800.0::DOUBLE AS page_h
 FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no, unnest(string_split(text, chr(10))) AS text FROM {v_cn}) s""",
     ),
+    # Single-character blocks of a scan that was read sideways.
+    "v_rotated": View(
+        spark="""SELECT doc_id, line_no, ch AS text, CASE WHEN line_no < length(topic) THEN 101.0D WHEN line_no < length(topic) + length(p1) THEN 61.3D ELSE 41.0D END AS x0, 12.0D * line_no AS y0
+FROM {v_cn} LATERAL VIEW posexplode(split(topic || p1 || p2, '(?!^)(?!$)')) AS line_no, ch""",
+        duck="""SELECT doc_id, line_no, text, CASE WHEN line_no < length(topic) THEN 101.0 WHEN line_no < length(topic) + length(p1) THEN 61.3 ELSE 41.0 END::DOUBLE AS x0, (12.0 * line_no)::DOUBLE AS y0
+FROM (SELECT doc_id, topic, p1, p2, unnest(range(length(topic || p1 || p2)))::INTEGER AS line_no, unnest(regexp_extract_all(topic || p1 || p2, '.')) AS text FROM {v_cn}) s""",
+    ),
+    # Streamed answer events of a conversation, with a closing result event each.
+    "v_stream_events": View("""
+SELECT conv_id AS session_id, turn * 2 AS seq, CASE WHEN role = 'user' THEN '{"type":"stream_event","event":{"delta":{"text":"' || j || '"}}}'
+  WHEN turn % 4 = 1 THEN '{"type":"content_block_delta","delta":{"text":"' || j || '"}}' ELSE '{"type":"ping"}' END AS event
+FROM (SELECT *, replace(replace(replace(text, chr(92), ''), chr(34), ''), chr(10), ' ') AS j FROM {conversations}) s WHERE conv_id % 3 > 0 OR role <> 'user' AND turn % 4 <> 1
+UNION ALL SELECT conv_id AS session_id, 2 * max(turn) + 1 AS seq, '{"type":"result","result":"done ' || CAST(conv_id AS STRING) || '"}' AS event FROM {conversations} GROUP BY conv_id"""),
     "v_lines": View(
         spark="""SELECT doc_id, line_no, text, 9.0D + length(text) % 9 AS size, 10.0D * (line_no % 3) AS x0,
   14.0D * line_no AS y0, 14.0D * line_no + 12 AS y1
