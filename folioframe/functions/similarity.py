@@ -13,28 +13,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from folioframe.functions.text import let
+
 
 @F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """2 * matching characters / total length; argument order matters."""
+def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([
         None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
         for a, b in zip(left, right)
     ], dtype="float64")
 
 
-def _histogram(c: Column) -> Column:
-    """(character, n-th occurrence) tokens of a string."""
-    chars = F.array_sort(F.split(c, ""))
-    return F.transform(chars, lambda ch, i: F.concat(ch, (i - F.array_position(chars, ch)).cast("string")))
+def sequence_ratio(left: str, right: str) -> Column:
+    """2 * matching characters / total length; argument order matters.
+
+    Declared non-deterministic only so that the optimizer neither moves it ahead
+    of a `distinct` nor runs it twice.
+    """
+    return _sequence_ratio.asNondeterministic()(left, right)
+
+
+HISTOGRAM_SLOTS = 32
+
 
+def character_histogram(c: Column) -> Column:
+    """How often each of 32 character classes (code point modulo 32) occurs; made once per title."""
+    codes = F.transform(F.split(c, "(?!^)(?!$)"), lambda ch: F.ascii(ch) % HISTOGRAM_SLOTS)
+    return let(codes, lambda xs: F.transform(
+        F.sequence(F.lit(0), F.lit(HISTOGRAM_SLOTS - 1)), lambda slot: F.size(F.filter(xs, lambda x: x == slot))
+    ))
 
-def character_tokens(c: Column) -> Column:
-    """Multiset of characters as a set, so that a set intersection counts shared characters."""
-    return _histogram(c)
 
+def may_reach(left: Column, right: Column, total: Column, threshold: float) -> Column:
+    """False when even matching every shared character of both histograms could not give the ratio.
 
-def ratio_bound(tokens_a: Column, tokens_b: Column) -> Column:
-    """Upper bound of the ratio: no alignment can match more than the shared characters."""
-    total = F.size(tokens_a) + F.size(tokens_b)
-    return F.when(total > 0, 2.0 * F.size(F.array_intersect(tokens_a, tokens_b)) / total).otherwise(F.lit(1.0))
+    `total` is the sum of both lengths. Written out so that it compiles into the join.
+    """
+    shared = sum((F.least(left[i], right[i]) for i in range(1, HISTOGRAM_SLOTS)), F.least(left[0], right[0]))
+    return 2.0 * shared >= total * (threshold - 1e-12)

@@ -115,8 +115,13 @@ def is_letter_spaced_header(c: Column) -> Column:
 def dedupe_list(arr: Column, strip: str = " ") -> Column:
     """Strip, drop blanks and repeats (case-insensitive); the first spelling stays."""
     stripped = F.filter(F.transform(arr, lambda x: strip_chars(F.trim(x), strip)), lambda x: x != "")
-    keys = F.transform(stripped, F.lower)
-    return F.filter(stripped, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+
+    def firsts(items: Column) -> Column:
+        return let(F.transform(items, F.lower), lambda keys: F.filter(
+            items, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1
+        ))
+
+    return let(stripped, firsts)
 
 
 def summary_line(c: Column, min_chars: int = 20, max_chars: int = 240) -> Column:

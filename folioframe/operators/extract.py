@@ -342,7 +342,7 @@ def ordered_concat(df: DataFrame, keys: list[str], order: str, value: str, outpu
     on many tasks and only the runs meet in the end.
     """
     def joined(name: str, by: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(by).alias("o"), F.col(name).alias("v"))))
+        pairs = F.sort_array(F.collect_list(F.struct(F.col(by).alias("o"), F.col(name).alias("v"))))
         return F.array_join(F.transform(pairs, lambda p: p["v"]), "")
 
     runs = df.groupBy(*keys, F.floor(F.col(order) / span).alias("_run")).agg(joined(value, order).alias("_part"))
@@ -368,4 +368,4 @@ def inverted_abstract(index_json: Column) -> Column:
     placed = F.flatten(F.transform(
         entries, lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("i"), e["key"].alias("w")))
     ))
-    return F.trim(F.array_join(F.transform(F.array_sort(placed), lambda p: p["w"]), " "))
+    return F.trim(F.array_join(F.transform(F.sort_array(placed), lambda p: p["w"]), " "))

@@ -89,7 +89,7 @@ def title_blocks(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
         & (F.col("y0") > F.col("a.y1") - 1.0)
         & plausible_title(F.col("text"), 2)
     )
-    ordered = follow.groupBy(doc).agg(F.array_sort(F.collect_list(
+    ordered = follow.groupBy(doc).agg(F.sort_array(F.collect_list(
         F.struct(F.col("line_no"), F.col("y0"), F.col("y1"), clean_text(F.col("text")).alias("t"))
     )).alias("_follow"))
     gap = F.greatest(F.lit(6.0), F.col("a.size") * 1.6)
@@ -146,7 +146,7 @@ def author_lines(
 def front_page(lines: DataFrame, doc: str = "doc_id", surnames: Surnames = DEFAULT_SURNAMES) -> DataFrame:
     """All layout fields of a Chinese first page, one row per document (`fm_*` columns)."""
     page = lines.groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l")
+        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l")
     ).select(
         doc,
         F.array_join(F.transform(F.slice("_l", 1, 10), lambda x: x["text"]), " ").alias("_head"),
@@ -192,7 +192,7 @@ def title_runs(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     before = Window.partitionBy(doc, "_size_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     gap = F.col("y0") - F.max("y1").over(before)
     kept = kept.withColumn("_break", F.when(gap < 8, 0).otherwise(1)).withColumn("_run", F.sum("_break").over(by_doc))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), " ")
     return kept.groupBy(doc, "_run").agg(
         F.first("size").alias("size"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), fold_spaces(text).alias("text"),
         F.min("line_no").alias("line_no"),
@@ -229,7 +229,7 @@ def rotated_columns(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Single-character blocks of rotated scans read column by column."""
     single = lines.filter((F.length("text") == 1))
     column = F.rint(F.col("x0") / 2) * 2
-    ordered = F.array_sort(F.collect_list(F.struct("y0", "line_no", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("y0", "line_no", "text")))
     return single.groupBy(doc, column.alias("x")).agg(
         F.array_join(F.transform(ordered, lambda b: b["text"]), "").alias("text")
     )
@@ -242,7 +242,7 @@ def rotated_record(columns: DataFrame, doc: str = "doc_id") -> DataFrame:
     titles = columns.groupBy(doc).agg(F.max_by(F.struct("x", "text"), F.when(plausible_title(t, 4), rank)).alias("_t"))
     short = columns.filter(F.length(t).between(2, 12) & (cjk_count(t) >= 2))
     authors = short.join(titles, doc).filter(F.col("_t").isNull() | (F.col("x") != F.col("_t.x"))).groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct((-F.length(t)).alias("n"), "x", "text"))).alias("_a")
+        F.sort_array(F.collect_list(F.struct((-F.length(t)).alias("n"), "x", "text"))).alias("_a")
     )
     return titles.join(authors, doc, "left").select(
         doc, clean_text(F.col("_t.text")).alias("title"),

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import identifiers
 from folioframe.functions.people import family_of
-from folioframe.functions.similarity import character_tokens, ratio_bound, sequence_ratio
-from folioframe.functions.text import content_words, has_cjk, null_if_blank, squashed_title, title_key
+from folioframe.functions.similarity import character_histogram, may_reach, sequence_ratio
+from folioframe.functions.text import content_words, has_cjk, let, null_if_blank, squashed_title, title_key
 from folioframe.operators.scale import first_per_key, top_per_key
 
 # Thresholds and weights.
@@ -33,8 +33,9 @@ def _grams(c: Column, q: int) -> Column:
         F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
         lambda i: F.substring(c, i, F.lit(q)),
     )
-    ordered = F.array_sort(grams)
-    return F.transform(ordered, lambda g, i: F.concat(g, F.lit("\u0001"), (i - F.array_position(ordered, g)).cast("string")))
+    return let(F.sort_array(grams), lambda ordered: F.transform(
+        ordered, lambda g, i: F.concat(g, F.lit("\u0001"), (i - F.array_position(ordered, g)).cast("string"))
+    ))
 
 
 def _short_limit(threshold: float) -> int:
@@ -62,14 +63,15 @@ def _prefix_tokens(titles: DataFrame, frequency: DataFrame, q: int, threshold: f
     alpha = F.ceil(n_tokens - q * unmatched - 1e-9)
     keep = n_tokens - F.greatest(alpha, F.lit(1)) + 1
     slot = F.pmod(F.xxhash64("_token"), F.lit(FREQUENCY_SLOTS)).cast("int")
-    tokens = titles.withColumn("_keep", keep.cast("int")).withColumn("_token", F.explode(_grams(F.col("key"), q)))
+    tokens = titles.select("key", "_len", keep.cast("int").alias("_keep"), F.explode(_grams(F.col("key"), q)).alias("_token"))
     # The frequency table has at most FREQUENCY_SLOTS rows, so it can be broadcast.
     tokens = tokens.withColumn("_slot", slot).join(F.broadcast(frequency), "_slot", "left")
     listed = tokens.groupBy("key", "_len", "_keep").agg(
-        F.array_sort(F.collect_list(F.struct("_freq", "_token"))).alias("_t")
+        F.sort_array(F.collect_list(F.struct("_freq", "_token"))).alias("_t")
     )
-    return listed.select("key", "_len", F.explode(F.slice(F.col("_t"), F.lit(1), F.col("_keep"))).alias("_p")).select(
-        "key", "_len", F.col("_p._token").alias("_token")
+    shaped = listed.withColumn("_hist", character_histogram(F.col("key")))
+    return shaped.select("key", "_len", "_hist", F.explode(F.slice(F.col("_t"), F.lit(1), F.col("_keep"))).alias("_p")).select(
+        "key", "_len", "_hist", F.col("_p._token").alias("_token")
     )
 
 
@@ -107,19 +109,18 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataF
         pa = pa.withColumn("_band", _length_band(F.col("_len"), threshold))
         near = F.explode(F.array(*[_length_band(F.col("_len"), threshold) + d for d in (-1, 0, 1)]))
         pb = pb.withColumn("_band", near)
-        pairs = pa.select(F.col("key").alias("left_key"), F.col("_len").alias("_la"), "_token", "_band").join(
-            pb.select(F.col("key").alias("right_key"), F.col("_len").alias("_lb"), "_token", "_band"), ["_token", "_band"]
+        pairs = pa.select(F.col("key").alias("left_key"), F.col("_len").alias("_la"), F.col("_hist").alias("_ha"), "_token", "_band").join(
+            pb.select(F.col("key").alias("right_key"), F.col("_len").alias("_lb"), F.col("_hist").alias("_hb"), "_token", "_band"),
+            ["_token", "_band"],
         )
-        least, most = F.least("_la", "_lb"), F.greatest("_la", "_lb")
-        pairs = pairs.filter(2.0 * least / (least + most) >= threshold - 1e-12)
+        total = F.col("_la") + F.col("_lb")
+        pairs = pairs.filter(2.0 * F.least("_la", "_lb") >= total * (threshold - 1e-12))
+        pairs = pairs.filter(may_reach(F.col("_ha"), F.col("_hb"), total, threshold))
         if q == 1:
             pairs = pairs.filter(F.least("_la", "_lb") < short)
         parts.append(pairs.select("left_key", "right_key"))
     pairs = parts[0].unionByName(parts[1]).distinct()
-    bounded = pairs.filter(
-        ratio_bound(character_tokens(F.col("left_key")), character_tokens(F.col("right_key"))) >= threshold - 1e-12
-    )
-    return bounded.withColumn("ratio", sequence_ratio("left_key", "right_key")).filter(F.col("ratio") >= threshold)
+    return pairs.withColumn("ratio", sequence_ratio("left_key", "right_key")).filter(F.col("ratio") >= threshold)
 
 
 def find_duplicates(
@@ -254,7 +255,7 @@ def _word_prefix(df: DataFrame, key: str, frequency: DataFrame, floor: float) ->
     slot = F.pmod(F.xxhash64("_w"), F.lit(FREQUENCY_SLOTS)).cast("int")
     words = df.select(key, F.size("_words").alias("_n"), F.explode("_words").alias("_w")).withColumn("_slot", slot)
     listed = words.join(F.broadcast(frequency), "_slot").groupBy(key, "_n").agg(
-        F.array_sort(F.collect_list(F.struct("_freq", "_w"))).alias("_t")
+        F.sort_array(F.collect_list(F.struct("_freq", "_w"))).alias("_t")
     )
     keep = F.col("_n") - F.ceil(F.col("_n") * floor - 1e-9) + 1
     return listed.select(key, F.explode(F.slice(F.col("_t"), F.lit(1), keep.cast("int"))).alias("_p")).select(
@@ -271,7 +272,7 @@ def jaccard_matches(queries: DataFrame, registry: DataFrame) -> DataFrame:
     Distinct word sets are joined once; prefix words keep common words out of the join.
     """
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_words", F.array_sort(content_words(F.col("title")))).filter(F.size("_words") > 0).withColumn(
+        return df.withColumn("_words", F.sort_array(content_words(F.col("title")))).filter(F.size("_words") > 0).withColumn(
             "_set", F.array_join("_words", " ")
         )
 
@@ -303,7 +304,7 @@ def jaccard_matches(queries: DataFrame, registry: DataFrame) -> DataFrame:
 
 def search_terms(title: Column, n: int = 4) -> Column:
     """The longest content words of a title, for a keyword query."""
-    by_length = F.array_sort(F.transform(content_words(title), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    by_length = F.sort_array(F.transform(content_words(title), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return F.slice(F.transform(by_length, lambda x: x["w"]), 1, n)
 
 
@@ -354,7 +355,7 @@ def dedupe_candidates(candidates: DataFrame, top: int = TOP_CANDIDATES) -> DataF
     """
     keyed = candidates.withColumn("_key", candidate_key(F.col("doi"), F.col("isbn"), F.col("title")))
     best = first_per_key(keyed, ["query_id", "_key"], F.desc("score"), F.asc("seq"))
-    sources = keyed.groupBy("query_id", "_key").agg(F.array_sort(F.collect_set("source")).alias("_sources"))
+    sources = keyed.groupBy("query_id", "_key").agg(F.sort_array(F.collect_set("source")).alias("_sources"))
     joined = best.join(sources, ["query_id", "_key"]).withColumn("source", F.array_join(
         F.concat(F.array("source"), F.filter("_sources", lambda s: s != F.col("source"))), " + "
     ))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import identifiers
-from folioframe.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, dedupe_list, fold_spaces, lines, null_if_blank, text_or_empty
+from folioframe.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, dedupe_list, fold_spaces, let, lines, null_if_blank, text_or_empty
 
 # Thresholds, patterns and tag rules.
 SAMPLE_CHARS = 30000
@@ -146,13 +146,16 @@ def occurrences(c: Column, needle: str) -> Column:
 
 def rule_tags(c: Column, rules: dict[str, tuple[str, ...]] | None = None, limit: int = 8) -> Column:
     """Tags by how often their words occur, most frequent first."""
-    low = F.lower(c)
-    scored = [
-        F.struct((-sum((occurrences(low, w.lower()) for w in words), F.lit(0))).alias("n"), F.lit(tag).alias("tag"))
-        for tag, words in (rules or TAG_RULES).items()
-    ]
-    hits = F.filter(F.array_sort(F.array(*scored)), lambda s: s["n"] < 0)
-    return F.slice(F.transform(hits, lambda s: s["tag"]), 1, limit)
+
+    def ranked(low: Column) -> Column:
+        scored = F.array(*[
+            F.struct((-sum((occurrences(low, w.lower()) for w in words), F.lit(0))).alias("n"), F.lit(tag).alias("tag"))
+            for tag, words in (rules or TAG_RULES).items()
+        ])
+        hits = F.filter(F.sort_array(scored), lambda s: s["n"] < 0)
+        return F.slice(F.transform(hits, lambda s: s["tag"]), 1, limit)
+
+    return let(F.lower(c), ranked)
 
 
 def merge_tags(existing: Column, added: Column) -> Column:
@@ -173,7 +176,7 @@ def has_prose(c: Column) -> Column:
 def tokens_intact(before: Column, after: Column) -> Column:
     """Both texts hold the same tokens, however ordered."""
     def bag(c: Column) -> Column:
-        return F.array_sort(F.regexp_extract_all(text_or_empty(c), F.lit(TOKEN), 0))
+        return F.sort_array(F.regexp_extract_all(text_or_empty(c), F.lit(TOKEN), 0))
 
     return bag(before) == bag(after)
 

@@ -111,7 +111,7 @@ def title_keys(t: Inputs) -> DataFrame:
     return t.v_entries.select(
         "entry_id", text.title_key(c).alias("folded"), text.squashed_title(c).alias("squashed"),
         text.word_folded_title(c).alias("word_folded"),
-        F.array_join(F.array_sort(text.content_words(c)), " ").alias("words"),
+        F.array_join(F.sort_array(text.content_words(c)), " ").alias("words"),
     )
 
 
