@@ -82,15 +82,14 @@ def _frequency(titles: DataFrame, q: int) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("_freq"))
 
 
-def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All (left_key, right_key, ratio) with ratio >= threshold over distinct keys.
+def title_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (left_key, right_key) that may reach the threshold; no match is missed.
 
     `left` and `right` have one column `key` of non-empty normalised titles, each
     value once. Steps: rarest-first prefix tokens, an equi join on token and
-    length band, the length ratio, a character bound in the JVM, and the sequence
-    matcher on what is left. Titles too short for 3-grams, and partners they can
-    reach, take the same path with single characters. Valid for thresholds of
-    0.8 and above.
+    length band, the length ratio and a character bound inside the join. Titles
+    too short for 3-grams, and partners they can reach, take the same path with
+    single characters. Valid for thresholds of 0.8 and above.
     """
     if threshold < 2 * (GRAM - 1) / (2 * GRAM - 1):
         raise ValueError("the prefix rule is exact for thresholds of 0.8 and above only")
@@ -119,7 +118,12 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataF
         if q == 1:
             pairs = pairs.filter(F.least("_la", "_lb") < short)
         parts.append(pairs.select("left_key", "right_key"))
-    pairs = parts[0].unionByName(parts[1]).distinct()
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """All (left_key, right_key, ratio) with ratio >= threshold: candidates, then the sequence matcher."""
+    pairs = title_candidates(left, right, threshold)
     return pairs.withColumn("ratio", sequence_ratio("left_key", "right_key")).filter(F.col("ratio") >= threshold)
 
 
@@ -221,33 +225,35 @@ def contained_titles(left: DataFrame, right: DataFrame, q: int = 4) -> DataFrame
 def registry_match(queries: DataFrame, registry: DataFrame, threshold: float = MATCH_RATIO) -> DataFrame:
     """Best registry title per query: ratio of 0.85 or one title inside the other; Chinese titles only.
 
-    `queries` has query_id and title, `registry` record_id, ord and title. The
-    highest ratio wins, the first record of equals.
+    `queries` has query_id and title, `registry` record_id, ord, title and, for
+    several search tiers, an integer `tier`: a lower tier wins whatever the ratio,
+    then the highest ratio, then the first record.
     """
+    if "tier" not in registry.columns:
+        registry = registry.withColumn("tier", F.lit(0))
     q = queries.select("query_id", squashed_title(F.col("title")).alias("_k")).filter("_k <> ''")
-    r = registry.filter(has_cjk(F.col("title"))).select("record_id", "ord", squashed_title(F.col("title")).alias("_k")).filter("_k <> ''")
-    firsts = r.groupBy("_k").agg(F.min(F.struct("ord", "record_id")).alias("_r"))
+    r = registry.filter(has_cjk(F.col("title"))).select("tier", "record_id", "ord", squashed_title(F.col("title")).alias("_k")).filter("_k <> ''")
+    firsts = r.groupBy("_k").agg(F.min(F.struct("tier", "ord", "record_id")).alias("_r"))
     left, right = q.select(F.col("_k").alias("key")).distinct(), firsts.select(F.col("_k").alias("key"))
-    near = similar_titles(left, right, threshold)
-    inside = contained_titles(left, right).join(near, ["left_key", "right_key"], "left_anti").withColumn(
-        "ratio", sequence_ratio("left_key", "right_key")
-    )
-    best = near.unionByName(inside).join(firsts, F.col("right_key") == F.col("_k")).groupBy("left_key").agg(
-        F.max(F.struct(F.col("ratio"), (-F.col("_r.ord")).alias("o"), F.col("_r.record_id").alias("record_id"))).alias("_b")
+    pairs = title_candidates(left, right, threshold).withColumn("_inside", F.lit(False)).unionByName(
+        contained_titles(left, right).withColumn("_inside", F.lit(True))
+    ).groupBy("left_key", "right_key").agg(F.bool_or("_inside").alias("_inside"))
+    scored = pairs.withColumn("ratio", sequence_ratio("left_key", "right_key")).filter((F.col("ratio") >= threshold) | F.col("_inside"))
+    order = F.struct((-F.col("_r.tier")).alias("t"), F.col("ratio"), (-F.col("_r.ord")).alias("o"), F.col("_r.record_id").alias("record_id"))
+    best = scored.join(firsts, F.col("right_key") == F.col("_k")).groupBy("left_key").agg(F.max(order).alias("_b"))
+    return q.join(best, F.col("_k") == F.col("left_key")).select(
+        "query_id", "_b.record_id", F.col("_b.ratio").alias("score"), (-F.col("_b.t")).alias("tier")
     )
-    return q.join(best, F.col("_k") == F.col("left_key")).select("query_id", "_b.record_id", F.col("_b.ratio").alias("score"))
 
 
 def tiered_match(queries: DataFrame, tiers: list[tuple[str, DataFrame]], threshold: float = MATCH_RATIO) -> DataFrame:
-    """Search the tiers in order; later ones see only the queries still open."""
-    found: DataFrame | None = None
-    for name, registry in tiers:
-        open_queries = queries if found is None else queries.join(found, "query_id", "left_anti")
-        hits = registry_match(open_queries, registry, threshold).withColumn("tier", F.lit(name))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        raise ValueError("no tiers")
-    return found
+    """Search several registries in order of preference with one similarity join."""
+    stacked = [t.select("record_id", "ord", "title").withColumn("tier", F.lit(i)) for i, (_, t) in enumerate(tiers)]
+    registry = stacked[0]
+    for more in stacked[1:]:
+        registry = registry.unionByName(more)
+    names = F.array(*[F.lit(n) for n, _ in tiers])
+    return registry_match(queries, registry, threshold).withColumn("tier", F.get(names, F.col("tier")))
 
 
 def _word_prefix(df: DataFrame, key: str, frequency: DataFrame, floor: float) -> DataFrame:
