@@ -17,6 +17,7 @@ from folioframe.functions.text import null_if_blank, text_or_empty
 from folioframe.operators.extract import part_marker
 from folioframe.operators.rank import supplement_names, unique_names
 from folioframe.operators.scale import first_per_key
+from folioframe.session import cut
 
 # Mapping states.
 ORGANIZED, SUPPLEMENT, FAILED, MISSING = "organized", "supplement", "failed", "missing"
@@ -267,7 +268,9 @@ def archive_plan(
     named = naming.with_name(files, template).join(matched, "entry_id", "left").join(known, "_match", "left")
     reject = F.col("_folder").isNotNull() & F.coalesce(F.col("_taken"), F.lit(False)) & ~F.col("is_supplement")
     reason = F.when(text_or_empty(F.col("title")) == "", "not identified").when(reject, "the parent already has a primary file")
-    named = named.withColumn("reason", reason)
+    named = cut(named.select(
+        "entry_id", "ord", "rel", "name", "is_supplement", "_folder", reason.alias("reason")
+    ))
     fresh = unique_names(
         named.filter("reason is null and _folder is null").select("entry_id", "ord", F.col("name").alias("base")), existing_names
     ).select("entry_id", F.col("target").alias("_new"))
@@ -276,7 +279,7 @@ def archive_plan(
     target = F.when(F.col("is_supplement"), F.concat(last, F.lit(" - Supporting Information.pdf"))).otherwise(F.concat(last, F.lit(".pdf")))
     status = F.when(F.col("reason").isNotNull(), FAILED).when(F.col("is_supplement"), SUPPLEMENT).otherwise(ORGANIZED)
     return placed.select(
-        "entry_id", "rel", paths.join(F.col("folder"), target).alias("target"),
+        "entry_id", "rel", F.when(F.col("folder").isNotNull(), paths.join(F.col("folder"), target)).alias("target"),
         F.when(F.col("is_supplement"), "supplement").otherwise("primary").alias("role"), status.alias("status"), "reason",
     )
 
@@ -287,13 +290,13 @@ def rename_plan(entries: DataFrame, attachments: DataFrame, template: str | None
     Entries whose folder already has the canonical name keep it; the others take
     the next free name.
     """
-    named = naming.with_name(entries, template)
+    named = cut(naming.with_name(entries, template).select("entry_id", "ord", "folder", "name"))
     current = paths.name(F.col("folder"))
     staying = named.filter(current == F.col("name")).select("entry_id", F.col("name").alias("target"))
     leaving = named.filter(F.coalesce(current != F.col("name"), F.lit(True)))
     moving = unique_names(leaving.select("entry_id", "ord", F.col("name").alias("base")),
-                          entries.select(current.alias("name")).distinct()).select("entry_id", "target")
-    folders = entries.select("entry_id", "folder").join(staying.unionByName(moving), "entry_id")
+                          named.select(current.alias("name")).distinct()).select("entry_id", "target")
+    folders = named.select("entry_id", "folder").join(staying.unionByName(moving), "entry_id")
     numbered = supplement_names(attachments.filter("role = 'supplement'")).select("entry_id", "pos", "supplement_label")
     ext = F.coalesce(null_if_blank(paths.suffix(F.col("path"))), F.lit(".pdf"))
     marker = F.coalesce(part_marker(paths.stem(F.col("path")))["marker"], F.lit(""))

@@ -16,6 +16,7 @@ from folioframe.functions.people import family_of
 from folioframe.functions.similarity import character_histogram, may_reach, sequence_ratio
 from folioframe.functions.text import content_words, has_cjk, let, null_if_blank, squashed_title, title_key
 from folioframe.operators.scale import first_per_key, top_per_key
+from folioframe.session import cut
 
 # Thresholds and weights.
 DUPLICATE_RATIO, MATCH_RATIO = 0.92, 0.85
@@ -98,11 +99,11 @@ def title_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     # The length cap keeps a match of two long titles out of the short path.
     parts = []
     for q, low, high in ((GRAM, short, None), (1, 1, reach)):
-        def cut(df: DataFrame) -> DataFrame:
+        def sized_part(df: DataFrame) -> DataFrame:
             sized = df.select("key").withColumn("_len", F.length("key")).filter(F.col("_len") >= low)
             return sized.filter(F.col("_len") <= high) if high else sized
 
-        a, b = cut(left), cut(right)
+        a, b = sized_part(left), sized_part(right)
         frequency = _frequency(a.unionByName(b), q)
         pa, pb = _prefix_tokens(a, frequency, q, threshold), _prefix_tokens(b, frequency, q, threshold)
         pa = pa.withColumn("_band", _length_band(F.col("_len"), threshold))
@@ -139,14 +140,14 @@ def find_duplicates(
     Copies cost nothing: per DOI and per title key only the first entry takes
     part, so a group of any size is joined as one row, never pair by pair.
     """
-    known = existing.select(
+    known = cut(existing.select(
         F.col("entry_id").alias("match_id"), F.col("ord").alias("_mord"),
         identifiers.normalize_doi(F.col("doi")).alias("_mdoi"), title_key(F.col("title")).alias("_mkey"),
-    )
-    new = candidates.select(
+    ))
+    new = cut(candidates.select(
         "entry_id", F.col("ord").alias("_ord"), identifiers.normalize_doi(F.col("doi")).alias("_doi"),
         title_key(F.col("title")).alias("_key"),
-    )
+    ))
 
     def allowed(df: DataFrame) -> DataFrame:
         return df.filter(F.col("_mord") < F.col("_ord")) if earlier_only else df
@@ -164,7 +165,7 @@ def find_duplicates(
     equal = allowed(rest.join(titles, F.col("_key") == F.col("_mkey"))).select(
         "entry_id", "match_id", F.lit("title").alias("reason"), F.lit(1.0).alias("score")
     )
-    open_rows = rest.join(equal, "entry_id", "left_anti")
+    open_rows = cut(rest.join(equal, "entry_id", "left_anti"))
     keys = open_rows.select(F.col("_key").alias("key")).distinct()
     near = similar_titles(keys, titles.select(F.col("_mkey").alias("key")), threshold)
     scored = near.join(titles, F.col("right_key") == F.col("_mkey")).select("left_key", "ratio", "_mord", "match_id")
@@ -231,9 +232,9 @@ def registry_match(queries: DataFrame, registry: DataFrame, threshold: float = M
     """
     if "tier" not in registry.columns:
         registry = registry.withColumn("tier", F.lit(0))
-    q = queries.select("query_id", squashed_title(F.col("title")).alias("_k")).filter("_k <> ''")
+    q = cut(queries.select("query_id", squashed_title(F.col("title")).alias("_k")).filter("_k <> ''"))
     r = registry.filter(has_cjk(F.col("title"))).select("tier", "record_id", "ord", squashed_title(F.col("title")).alias("_k")).filter("_k <> ''")
-    firsts = r.groupBy("_k").agg(F.min(F.struct("tier", "ord", "record_id")).alias("_r"))
+    firsts = cut(r.groupBy("_k").agg(F.min(F.struct("tier", "ord", "record_id")).alias("_r")))
     left, right = q.select(F.col("_k").alias("key")).distinct(), firsts.select(F.col("_k").alias("key"))
     pairs = title_candidates(left, right, threshold).withColumn("_inside", F.lit(False)).unionByName(
         contained_titles(left, right).withColumn("_inside", F.lit(True))
@@ -373,7 +374,7 @@ def near_part_groups(bases: DataFrame, threshold: float = MATCH_RATIO) -> DataFr
 
     `bases` has base and ord; every base gets the earliest base it matches.
     """
-    keyed = bases.groupBy(title_key(F.col("base")).alias("key")).agg(F.min(F.struct("ord", "base")).alias("_f"))
+    keyed = cut(bases.groupBy(title_key(F.col("base")).alias("key")).agg(F.min(F.struct("ord", "base")).alias("_f")))
     near = similar_titles(keyed.select("key"), keyed.select("key"), threshold)
     home = near.join(keyed.select(F.col("key").alias("right_key"), "_f"), "right_key").groupBy("left_key").agg(F.min("_f").alias("_home"))
     return bases.withColumn("left_key", title_key(F.col("base"))).join(home, "left_key", "left").select(

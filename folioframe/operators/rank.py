@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import paths
 from folioframe.functions.text import null_if_blank, text_or_empty
 from folioframe.operators.scale import first_per_key, numbered, running_total, top_per_key, within_limit
+from folioframe.session import cut
 
 
 def cite_base(family: Column, year: Column, title: Column) -> Column:
@@ -27,6 +28,7 @@ def cite_keys(df: DataFrame, base: str = "base", order: str = "ord") -> DataFram
     A base that is itself another base plus a number (`smith2020a2`) keeps the
     right of the natural key, as its owner came with it.
     """
+    df = cut(df)
     ranked = numbered(df, [base], order, "_n")
     naturals = df.select(F.col(base).alias("_key")).distinct()
     # Natural keys that read as a base plus a number, at every split: x12 = x1 + 2 = x + 12.
@@ -34,7 +36,7 @@ def cite_keys(df: DataFrame, base: str = "base", order: str = "ord") -> DataFram
         "_key", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_key") - 1, F.lit(1)))).alias("_i")
     ).select(F.substring("_key", F.lit(1), F.length("_key") - F.col("_i")).alias(base), F.right("_key", F.col("_i")).alias("_d"))
     taken = splits.filter(F.col("_d").rlike(r"^[1-9]\d{0,9}$") & (F.col(base) != "")).select(
-        base, F.col("_d").cast("bigint").alias("_u")
+        base, F.col("_d").try_cast("bigint").alias("_u")
     ).filter("_u >= 2").join(naturals.select(F.col("_key").alias(base)), base, "left_semi")
     counted = _kth_free(ranked, taken, base)
     return counted.withColumn(
@@ -62,10 +64,11 @@ def _kth_free(ranked: DataFrame, taken: DataFrame, key: str) -> DataFrame:
 
 def unique_names(wanted: DataFrame, existing: DataFrame, base: str = "base", order: str = "ord", name: str = "name") -> DataFrame:
     """Add `target`: `name`, `name (2)`, … skipping names that exist."""
+    wanted = cut(wanted)
     numbered_name = r"^(.*) \((\d{1,9})\)$"
     taken = existing.select(F.col(name).alias(base), F.lit(1).cast("bigint").alias("_u")).unionByName(
         existing.filter(F.col(name).rlike(numbered_name)).select(
-            F.regexp_extract(name, numbered_name, 1).alias(base), F.regexp_extract(name, numbered_name, 2).cast("bigint").alias("_u")
+            F.regexp_extract(name, numbered_name, 1).alias(base), F.regexp_extract(name, numbered_name, 2).try_cast("bigint").alias("_u")
         ).filter("_u >= 2")
     ).join(wanted.select(base).distinct(), base, "left_semi")
     slots = _kth_free(numbered(wanted, [base], order, "_n"), taken, base)

@@ -11,6 +11,7 @@ from folioframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {}  # the oracle texts before the views are put in front
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Callable[[Inputs], DataFrame]], Callable[[Inputs], DataFrame]]:
@@ -26,6 +27,7 @@ def query(key: str, sql: str | None = None) -> Callable[[Callable[[Inputs], Data
         run.__doc__ = build.__doc__
         QUERIES[key] = run
         if sql is not None:
+            STATEMENTS[key] = sql
             ORACLES[key] = oracle(sql)
         return build
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.operators import catalog, segment, stats
 from folioframe.plans.registry import query
 from folioframe.plans.views import Inputs
+from folioframe.session import cut
 
 
 @query("chunk_text")
@@ -56,7 +57,7 @@ def paragraphs(t: Inputs) -> DataFrame:
 @query("render_docs", "SELECT doc_id, text FROM v_md")
 def render_docs(t: Inputs) -> DataFrame:
     """Protect, cut, put together again: the source comes back unchanged."""
-    protected = segment.protect(t.v_md)
+    protected = cut(segment.protect(t.v_md))
     return segment.render(segment.segments(protected), protected)
 
 
@@ -113,9 +114,9 @@ def translation_job(t: Inputs) -> DataFrame:
 
     The work function changes nothing, so every document must come back as it was.
     """
-    protected = segment.protect(t.v_md)
-    cut = segment.segments(protected).withColumnRenamed("doc_id", "doc_hash")
-    stored = cut.join(t.labels.select(F.col("doc_id").alias("doc_hash")), "doc_hash", "left_semi").select("doc_hash", "seg_idx", F.col("text").alias("result"))
-    fresh = segment.apply_segments(catalog.pending_segments(cut, stored), lambda s: s)
+    protected = cut(segment.protect(t.v_md))
+    pieces = segment.segments(protected).withColumnRenamed("doc_id", "doc_hash")
+    stored = pieces.join(t.labels.select(F.col("doc_id").alias("doc_hash")), "doc_hash", "left_semi").select("doc_hash", "seg_idx", F.col("text").alias("result"))
+    fresh = segment.apply_segments(catalog.pending_segments(pieces, stored), lambda s: s)
     results = stored.unionByName(fresh).withColumnRenamed("doc_hash", "doc_id")
     return segment.render(results, protected, value="result")

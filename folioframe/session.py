@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Needed for right results: UTC dates, last value wins when maps are merged.
 SEMANTIC_SETTINGS = {
@@ -59,3 +60,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a result to the shared folder and go on from the written table.
+
+    Used where several branches need one expensive input: each branch then reads
+    the columns it wants instead of computing the whole lineage again, and a lost
+    executor costs a re-read only.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
