@@ -9,16 +9,23 @@ where the dialects differ a view has two texts.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.session import checkpoint_dir
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+STORED_VIEWS = ("v_entries", "v_text", "v_cn", "v_md", "v_paths")
+_STORED: dict[tuple[str, str, str], str] = {}
+
 
 @dataclass(frozen=True)
 class View:
@@ -230,13 +237,29 @@ class Inputs:
         self._tag = f"{zlib.crc32(folder.encode()):08x}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table. A text table that comes as fewer splits than there are cores is spread out."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and df.rdd.getNumPartitions() * 2 <= cores:
+            df = df.repartition(cores)
+        return df
+
+    def stored(self, name: str) -> DataFrame:
+        """A view written once per application: its columns are data then, as in a real library."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = f"{checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            self.spark.sql(self._resolve(VIEWS[name].spark)).write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         if name not in VIEWS:
             raise AttributeError(name)
+        if name in STORED_VIEWS:
+            return self.stored(name)
         return self.spark.sql(self._resolve(VIEWS[name].spark))
 
     def _resolve(self, sql: str) -> str:

@@ -74,6 +74,6 @@ def test_name_templates(spark):
     render = lambda t: naming.with_name(df, t).first().name
     assert render(None) == "Roe and Doe - 1999 - A- Title"
     assert render('{{ if year >= 2000 }}new{{ elseif {{ title }} == "a: title" }}{{ authors max="-1" initialize="given" name="full" }}{{ endif }}') == "B. Doe"
-    assert render('{{ title replaceFrom="t" replaceTo="T$0" regexOpts="g" suffix=" -" }} - {{ year }}') == "A- TTiTtle - 1999"
+    assert render('{{ title replaceFrom="t" replaceTo="T$0" regexOpts="g" suffix=" -" }} - {{ year }}') == "A- TiTtle - 1999"
     assert render("{{ if year }}unbalanced") == "Roe and Doe - 1999 - A- Title"
     assert one(spark, naming.safe_file_name(F.lit("CON")), naming.safe_file_name(F.lit('a<b>:"c"\t-- d .'))) == ("CON_", "a-b-c - d")
