@@ -44,8 +44,8 @@ def batch_identify(t: Inputs) -> DataFrame:
 
 
 @query("archive_plan", r"""
-WITH n AS (SELECT entry_id, ord, family || ' - ' || year AS x, doi FROM v_entries),
-c AS (SELECT *, trim(regexp_replace(regexp_replace(x, '[<>:"/\\|?*]+', '-', 'g'), '\s+', ' ', 'g'), ' .') AS name FROM n),
+WITH n AS (SELECT entry_id, ord, trim(split_part(split_part(authors, ';', 1), ',', 1)) || ' - ' || year AS x, doi FROM v_entries),
+c AS (SELECT *, trim(regexp_replace(trim(regexp_replace(regexp_replace(x, '[<>:"/\\|?*]+', '-', 'g'), '\s+', ' ', 'g'), ' .'), '\s*[-–—]\s*[-–—]+\s*', ' - ', 'g'), ' .') AS name FROM n),
 m AS (SELECT c.entry_id, l.folder, l.quality = 1 AS taken FROM c LEFT JOIN (SELECT e.doi, arg_min(e.folder, e.entry_id) AS folder, arg_min(lb.quality, e.entry_id) AS quality FROM v_entries e JOIN labels lb ON lb.doc_id = e.entry_id WHERE e.doi IS NOT NULL GROUP BY e.doi) l ON l.doi = c.doi),
 k AS (SELECT c.entry_id, c.ord, c.name, m.folder, m.folder IS NOT NULL AND m.taken AND c.entry_id % 5 > 0 AS rejected FROM c JOIN m USING (entry_id)),
 u AS (SELECT entry_id, name || CASE WHEN row_number() OVER (PARTITION BY name ORDER BY ord) > 1 THEN ' (' || row_number() OVER (PARTITION BY name ORDER BY ord) || ')' ELSE '' END AS fresh FROM k WHERE folder IS NULL AND NOT rejected),

@@ -189,7 +189,7 @@ def arxiv_waterfall(t: Inputs) -> DataFrame:
 
 
 @query("text_source", r"""
-SELECT d.doc_id, length(CASE WHEN l.doc_id IS NOT NULL THEN 'cached' || text WHEN length(text) % 3 = 0 THEN 'fresh' || text WHEN length(text) % 5 > 0 THEN text ELSE 'stem' END) AS n,
+SELECT d.doc_id, length(CASE WHEN l.doc_id IS NOT NULL THEN 'cached' || text WHEN length(text) % 3 = 0 THEN 'fresh' || text WHEN length(text) % 5 > 0 THEN text ELSE 'stem' END)::INTEGER AS n,
   CASE WHEN l.doc_id IS NOT NULL THEN 'cached preview, pages 1-6' WHEN length(text) % 3 = 0 THEN 'preview, pages 1-6' || CASE WHEN length(text) % 2 = 0 THEN ' with OCR' ELSE '' END WHEN length(text) % 5 > 0 THEN 'text layer, pages 1-6' ELSE 'file name only' END AS text_source,
   CASE WHEN l.doc_id IS NOT NULL OR length(text) % 3 = 0 THEN '' WHEN length(text) % 5 > 0 THEN 'parser failed' ELSE 'parser failed|no usable text on the first pages' END AS warnings FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def text_source(t: Inputs) -> DataFrame:
