@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,14 +50,16 @@ def local_session(cores: str | int = "*", app: str = "folioframe", shuffle_parti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for streaming state and cut lineages.
+    """The shared folder for streaming state and cut lineages: `spark.checkpoint.dir`.
 
-    On a cluster this is `spark.checkpoint.dir`; only a session without that
-    setting (tests) gets a folder of its own.
+    Only a local session (tests) may leave it unset and gets a folder of its own;
+    on a cluster executors and driver must name one that all of them see.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -67,8 +70,24 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used where several branches need one expensive input: each branch then reads
     the columns it wants instead of computing the whole lineage again, and a lost
-    executor costs a re-read only.
+    executor costs a re-read only. The table is removed when the application ends,
+    or earlier by `discard`.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder, files = _hadoop(spark, path)
+    files.deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind a frame that `cut` returned, once nothing reads it any more."""
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder, files = _hadoop(df.sparkSession, file)
+        files.delete(folder, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
