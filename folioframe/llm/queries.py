@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, minhash
+from folioframe.llm import bpe, hosts, minhash
 from folioframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,49 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """A verdict on every page url; a labelled page is good if its quality is 1 and it is not toxic."""
+    outcomes = read(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+    return hosts.judge_urls(read(spark, folder, "pages"), outcomes)
+
+
+ORACLES["op8_hosts"] = r"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages),
+rules(rule, name, prefix, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+ruled AS (
+  SELECT p.page_id, p.host, p.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS by_rule
+  FROM parsed p LEFT JOIN rules r ON (p.host = r.name OR ends_with(p.host, '.' || r.name)) AND starts_with(p.path, r.prefix)
+  GROUP BY p.page_id, p.host, p.path),
+seen AS (
+  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS g,
+    CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '(([^.]+\.)?(ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
+      ELSE regexp_extract(host, '(([^.]*\.)?[^.]*)$', 1) END AS domain,
+    CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '((ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
+      ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix
+  FROM parsed LEFT JOIN (SELECT doc_id AS page_id, CAST(quality = 1 AND toxic = 0 AS INT) AS good FROM labels) l USING (page_id)
+  GROUP BY host),
+s0 AS (SELECT suffix, sum(n) AS n, sum(g) AS g, (sum(sum(g)) OVER () + 0.5e0) / (sum(sum(n)) OVER () + 1.0e0) AS m FROM seen GROUP BY suffix),
+sk AS (SELECT coalesce(greatest(0.001e0, least(0.999e0, CASE WHEN sum(n) > count(*) FILTER (n > 0)
+    THEN (sum(n * (g / n - m) * (g / n - m) / (m * (1 - m))) FILTER (n > 0) - count(*) FILTER (n > 0)) / (sum(n) - count(*) FILTER (n > 0)) END)), 0.5e0) AS r FROM s0),
+s1 AS (SELECT suffix, (g + (1 - r) / r * m) / (n + (1 - r) / r) AS m FROM s0, sk),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(g) AS g, any_value(m) AS m FROM seen JOIN s1 USING (suffix) GROUP BY domain, suffix),
+dk AS (SELECT coalesce(greatest(0.001e0, least(0.999e0, CASE WHEN sum(n) > count(*) FILTER (n > 0)
+    THEN (sum(n * (g / n - m) * (g / n - m) / (m * (1 - m))) FILTER (n > 0) - count(*) FILTER (n > 0)) / (sum(n) - count(*) FILTER (n > 0)) END)), 0.5e0) AS r FROM d0),
+d1 AS (SELECT domain, suffix, (g + (1 - r) / r * m) / (n + (1 - r) / r) AS m FROM d0, dk),
+h0 AS (SELECT host, n, g, m FROM seen JOIN d1 USING (domain, suffix)),
+hk AS (SELECT coalesce(greatest(0.001e0, least(0.999e0, CASE WHEN sum(n) > count(*) FILTER (n > 0)
+    THEN (sum(n * (g / n - m) * (g / n - m) / (m * (1 - m))) FILTER (n > 0) - count(*) FILTER (n > 0)) / (sum(n) - count(*) FILTER (n > 0)) END)), 0.5e0) AS r FROM h0),
+h1 AS (SELECT host, n + (1 - r) / r AS w, (g + (1 - r) / r * m) / (n + (1 - r) / r) AS mean FROM h0, hk)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN mean - 1.645e0 * sqrt(mean * (1 - mean) / (w + 1)) >= 0.5e0 THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled JOIN h1 USING (host)
+"""
+
+
 @query
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
