@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, hosts, minhash
+from folioframe.llm import bpe, hosts, minhash, packing
 from folioframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of all documents in sequences of 4096 tokens."""
+    return packing.pack_with_library(read(spark, folder, "documents"), WORD_BPE)
+
+
 @query
 def op8_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """A verdict on every page url; a labelled page is good if its quality is 1 and it is not toxic."""
