@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bpe, hosts, minhash, packing
+from folioframe.llm import bitpack, bpe, hosts, minhash, packing
 from folioframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,13 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_with_library(read(spark, folder, "documents"), WORD_BPE)
 
 
+@query
+def op7_bitpack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as bit-packed shards in ascending order and read back, as digests."""
+    back = bitpack.write_and_read(read(spark, folder, "documents"), BYTE_BPE, vocabulary=50257)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op8_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """A verdict on every page url; a labelled page is good if its quality is 1 and it is not toxic."""
