@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitpack, bpe, hosts, minhash, packing
+from folioframe.llm import bitpack, bpe, hosts, langid, linededup, minhash, packing
 from folioframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,32 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = read(spark, folder, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_linededup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that ten sites or more share, as a digest."""
+    clean = linededup.drop_shared_lines(read(spark, folder, "documents"), min_sites=10)
+    return clean.select("doc_id", "lines_in", "lines_out", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
+ORACLES["op4_linededup"] = """
+WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents),
+lines AS (SELECT doc_id, source, unnest(range(len(p))) AS nr, unnest(p) AS line FROM parts),
+shared AS (SELECT line, min((doc_id, nr)) AS first FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT l.doc_id, l.nr, l.line, s.line IS NOT NULL AND (l.doc_id, l.nr) <> s.first AS gone FROM lines l LEFT JOIN shared s USING (line)),
+kept AS (SELECT doc_id, count(*) AS lines_in, count(*) FILTER (NOT gone) AS lines_out, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), '') AS body FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(lines_in, 0) AS lines_in, coalesce(lines_out, 0) AS lines_out, CASE WHEN d.text IS NOT NULL THEN sha256(body) END AS text_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all documents in sequences of 4096 tokens."""
