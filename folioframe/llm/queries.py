@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitpack, bpe, hosts, langid, linededup, minhash, packing
+from folioframe.llm import bitpack, bpe, hosts, langid, linededup, minhash, packing, topk, vectors
 from folioframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,22 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best partners of every fiftieth vector among all others."""
+    return topk.top_products(read(spark, folder, "embeddings"), k=5, scale=256, every=50)
+
+
+ORACLES["op1_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
 @query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
@@ -59,6 +75,12 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+@query
+def op5_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of vectors with a cosine of 0.95 or more."""
+    return vectors.near_vectors(read(spark, folder, "embeddings"), least=0.95)
+
+
 @query
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all documents in sequences of 4096 tokens."""
