@@ -8,8 +8,9 @@ Layout of a shard, all numbers little-endian:
     offsets  unsigned 64 bit: the place of each block in the file
     index    signed 64 bit: the key of each document, then the number of ids
              before it in the shard, each in ascending key order
-    footer   seven unsigned 64 bit: width, ids in a block, ids, documents, blocks,
-             place of the offsets, place of the index
+    footer   eight unsigned 64 bit: width, ids in a block, ids, documents, those
+             at the front that have no key, blocks, place of the offsets, place of
+             the index
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from folioframe.session import checkpoint_dir
 
 MAGIC = b"BITTOK01"
 BLOCK = 1 << 16
-FOOTER = 7
+FOOTER = 8
 # Text bytes that go into one shard, about.
 SHARD_BYTES = 64 << 20
 
@@ -124,7 +125,7 @@ class ShardWriter:
     def __init__(self, file, width: int, block: int = BLOCK):
         self._file, self._width, self._block = file, width, block
         self._waiting: list[np.ndarray] = []
-        self._held = self.ids = 0
+        self._held = self.ids = self._nameless = 0
         self._keys: list[int] = []
         self._starts: list[int] = []
         self._offsets: list[int] = []
@@ -137,10 +138,12 @@ class ShardWriter:
         self._at += len(data)
         self._file.write(data)
 
-    def add(self, key: int, ids: np.ndarray) -> None:
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        """A document; those without a key come first."""
         if len(ids) and int(ids.max()) >> self._width:
             raise ValueError("an id does not fit into the width")
-        self._keys.append(key)
+        self._nameless += key is None
+        self._keys.append(key or 0)
         self._starts.append(self.ids)
         self.ids += len(ids)
         self._waiting.append(ids)
@@ -158,7 +161,7 @@ class ShardWriter:
         offsets_at = self._at
         index_at = offsets_at + 8 * len(self._offsets)
         for part in (np.array(self._offsets, "<u8"), np.array(self._keys, "<i8"), np.array(self._starts, "<i8"),
-                     np.array([self._width, self._block, self.ids, len(self._keys), len(self._offsets), offsets_at, index_at], "<u8")):
+                     np.array([self._width, self._block, self.ids, len(self._keys), self._nameless, len(self._offsets), offsets_at, index_at], "<u8")):
             self._file.write(part.tobytes())
 
 
@@ -168,11 +171,12 @@ class ShardReader:
     def __init__(self, file):
         self._file = file
         size = file.size()
-        self.width, self.block, self.ids, documents, blocks, offsets_at, index_at = map(int, self._numbers(size - 8 * FOOTER, FOOTER, "<u8"))
+        self.width, self.block, self.ids, documents, nameless, blocks, offsets_at, index_at = map(int, self._numbers(size - 8 * FOOTER, FOOTER, "<u8"))
         if self._read(0, len(MAGIC)) != MAGIC:
             raise ValueError("not a shard of token ids")
         self._offsets = [*map(int, self._numbers(offsets_at, blocks, "<u8")), offsets_at]
-        self.keys = self._numbers(index_at, documents, "<i8")
+        keys = self._numbers(index_at, documents, "<i8").tolist()
+        self.keys = [None] * nameless + keys[nameless:]
         self.starts = np.append(self._numbers(index_at + 8 * documents, documents, "<i8"), self.ids)
         self._last: tuple[int, bytes] = (-1, b"")
 
@@ -210,9 +214,8 @@ def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
     Rows are dealt by ranges of the key and sorted within; a null text is empty;
     `end_id` ends every document. Each task encodes its range and writes one file
     under a name of its own attempt, then moves it to its final name, so that a
-    task that runs again replaces its file whole. Rows with a null key are an
-    error (there is no place for them in the order). Rows that share a key stay
-    together, ordered by a hash of the text. `target` is a folder that all
+    task that runs again replaces its file whole. Rows with a null key come
+    first. Rows that share a key stand together, ordered by a hash of the text. `target` is a folder that all
     executors share.
     """
     width = bits_for(max(vocabulary, end_id + 1))
@@ -241,7 +244,7 @@ def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
                                              ["shard", "path", "ids", "documents"])
 
     name = encoder.__qualname__ + repr([c.cell_contents for c in encoder.__closure__ or ()])
-    inner = docs.select(F.coalesce(F.col(key).cast("long"), F.raise_error("a document without a key has no place in the order").cast("long")).alias("id"), F.col(text).alias("text"))
+    inner = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     dealt = inner.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     return cut(batches(dealt, work, "shard long, path string, ids long, documents long"))
 
@@ -264,7 +267,7 @@ def read_shards(files: DataFrame) -> DataFrame:
                         some = range(at, min(at + 256, len(reader.keys)))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([int(reader.keys[d]) for d in some], pa.int64()), pa.array([base + int(reader.starts[d]) for d in some], pa.int64()),
+                                pa.array([reader.keys[d] for d in some], pa.int64()), pa.array([base + int(reader.starts[d]) for d in some], pa.int64()),
                                 pa.array([reader.document(d).astype("<u4").tobytes() for d in some], pa.binary()),
                             ],
                             ["id", "start", "ids"],

@@ -167,8 +167,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Model(languages, {classes[r.machine][0]: np.array(r.weights, np.float32) for r in trained})
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `extra` of every row with lang_pred and score, from the whole text alone.
+def identify(docs: DataFrame, model: Model | None, text: str = "text", extra: tuple[str, ...] = ("doc_id",), into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `extra` of every row with the language and its score (named by `into`), from the whole text alone.
 
     A null text, one without a letter, or no model gives `und` and score 0. Rows
     stay as they are. No shuffle.
@@ -183,8 +183,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", extra: tu
                 counts = gram_counts(body, is_letter) if model else None
                 found.append(("und", 0.0) if counts is None else model.predict(counts))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(extra)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*extra, "lang_pred", "score"],
+                [*batch.columns[: len(extra)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*extra, *into],
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return batches(inner, work, f"{kinds}, lang_pred string, score double")
+    return batches(inner, work, f"{kinds}, `{into[0]}` string, `{into[1]}` double")

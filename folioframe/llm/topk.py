@@ -52,15 +52,20 @@ class SortedLists:
             left -= len(new)
             depth = until
             new = new[self.ids[new] != own]
-            best, score = np.concatenate([best, new]), np.concatenate([score, self.rows[new] @ query])
+            best, score = np.concatenate([best, new]), np.concatenate([score, _held(self.rows[new] @ query)])
             first = np.lexsort((best, -score))[:k]  # rows stand in order of ids
             best, score = best[first], score[first]
             bound = query[up] @ self.values[up, count - depth] + query[down] @ self.values[down, depth - 1]
-            if len(best) == k and score[-1] > bound:
+            if len(best) == k and score[-1] > _held(bound):
                 break
         return self.ids[best], score
 
 
+def _held(score):
+    """Scores at the ends of the range of long if they lie beyond it; doubles never do, see `scaled`."""
+    return np.clip(score, -(2**63), 2**63 - 1) if isinstance(score, int) or getattr(score, "dtype", None) == object else score
+
+
 def scaled(rows: list, scale: int) -> np.ndarray:
     """floor(scale * x) of every component; doubles if all inner products are exact in them, else Python integers."""
     x = np.floor(scale * np.array(rows, np.float64))
@@ -102,7 +107,7 @@ def top_products(vectors: DataFrame, k: int = 5, scale: int = 256, every: int =
             lists = SortedLists(ids[~asks], rows_[~asks])
             for own, query in zip(ids[asks].tolist(), rows_[asks], strict=True):
                 for i, s in zip(*lists.top(query, own, k), strict=True):
-                    out.append((own, int(i), max(-(2**63), min(2**63 - 1, int(s)))))
+                    out.append((own, int(i), int(s)))
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
     found = candidates.union(queries).groupBy("length", "part", "query_part").applyInPandas(search, "query_id long, id long, score long")
