@@ -153,13 +153,13 @@ def drop_stale(mappings: DataFrame, moves: DataFrame) -> DataFrame:
 # ---- table maintenance ---------------------------------------------------
 
 
-def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Last-wins upsert; among several changes of a key the highest `order` counts."""
-    newest = first_per_key(changes, keys, F.desc(order)).drop(order) if order else changes
+def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Last-wins upsert: of several changes of a key the one with the highest `order` counts, and is the only row of that key."""
+    newest = first_per_key(changes, keys, F.desc(order)).drop(order)
     return current.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
-def upsert_entries(entries: DataFrame, changes: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+def upsert_entries(entries: DataFrame, changes: DataFrame, now: Column, order: str) -> DataFrame:
     return upsert(entries, changes.withColumn("updated_at", now), ["entry_id"], order)
 
 
@@ -169,7 +169,7 @@ def remove_entries(entries: DataFrame, mappings: DataFrame, removed: DataFrame)
     return entries.join(ids, "entry_id", "left_anti"), mappings.join(ids, "entry_id", "left_anti")
 
 
-def record_mappings(mappings: DataFrame, placed: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+def record_mappings(mappings: DataFrame, placed: DataFrame, now: Column, order: str) -> DataFrame:
     return upsert(mappings, placed.withColumn("moved_at", now), ["rel"], order)
 
 
@@ -180,7 +180,7 @@ def mark_failed(mappings: DataFrame, failures: DataFrame, now: Column) -> DataFr
         paths.name(F.col("rel")).alias("original_name"), F.lit(None).cast("string").alias("folder"),
         now.alias("moved_at"), "message",
     )
-    return upsert(mappings, rows, ["rel"])
+    return upsert(mappings, rows.withColumn("_latest", F.col("message")), ["rel"], "_latest")
 
 
 def remap_prefix(entries: DataFrame, mappings: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
@@ -217,12 +217,19 @@ def remove_prefix(entries: DataFrame, mappings: DataFrame, prefix: str) -> tuple
 
 
 def upsert_attachments(current: DataFrame, incoming: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Merge on (entry_id, path): filled incoming fields win, artifact maps are united."""
-    fresh = incoming.select("entry_id", "path", *[F.col(c).alias(f"_{c}") for c in (*fields, "artifacts", "pos")])
+    """Merge on (entry_id, path): filled incoming fields win, artifact maps are united.
+
+    A path that comes in more than once is reduced first: per field the last
+    filled value in order of `pos`, of the maps the last value of each name.
+    """
+    last = [F.max_by(null_if_blank(F.col(c)), F.when(null_if_blank(F.col(c)).isNotNull(), F.col("pos"))).alias(f"_{c}") for c in fields]
     empty = F.create_map().cast("map<string,string>")
+    maps = F.array_sort(F.collect_list(F.struct("pos", F.to_json(F.coalesce("artifacts", empty)).alias("json"))))
+    united = F.aggregate(maps, empty, lambda acc, m: F.map_concat(acc, F.from_json(m["json"], "map<string,string>")))
+    fresh = incoming.groupBy("entry_id", "path").agg(*last, united.alias("_artifacts"), F.min("pos").alias("_pos"))
     return current.join(fresh, ["entry_id", "path"], "full_outer").select(
         "entry_id", "path", F.coalesce("pos", "_pos").alias("pos"),
-        *[F.coalesce(null_if_blank(F.col(f"_{c}")), F.col(c)).alias(c) for c in fields],
+        *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in fields],
         F.map_concat(F.coalesce("artifacts", empty), F.coalesce("_artifacts", empty)).alias("artifacts"),
     )
 

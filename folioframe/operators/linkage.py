@@ -23,7 +23,6 @@ DUPLICATE_RATIO, MATCH_RATIO = 0.92, 0.85
 JACCARD_FLOOR, JACCARD_WITH_AUTHORS, JACCARD_ALONE = 0.5, 0.6, 0.9
 GRAM = 3
 FREQUENCY_SLOTS = 1 << 16
-TITLE_KEY_CHARS = 220
 TOP_CANDIDATES = 18
 
 
@@ -275,7 +274,8 @@ def jaccard_matches(queries: DataFrame, registry: DataFrame) -> DataFrame:
 
     `queries`: query_id, title, authors (array). `registry`: record_id, ord, title,
     authors. Shared content words over all: at least 0.6 with a shared family name
-    when the query has authors, else at least 0.9. The first accepted record wins.
+    when the query gives authors (none of whom may have a Latin name: then nothing
+    matches), else at least 0.9. The first accepted record wins.
     Distinct word sets are joined once; prefix words keep common words out of the join.
     """
     def keyed(df: DataFrame) -> DataFrame:
@@ -300,12 +300,16 @@ def jaccard_matches(queries: DataFrame, registry: DataFrame) -> DataFrame:
     def families(c: str) -> Column:
         return F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), family_of), lambda f: f != ""))
 
-    hits = q.select("query_id", F.col("_set").alias("_q"), families("authors").alias("_fq")).join(scored, "_q").join(
-        r.select("record_id", "ord", F.col("_set").alias("_r"), families("authors").alias("_fr")), "_r"
-    )
-    has_authors = F.size("_fq") > 0
-    accepted = F.when(has_authors, F.arrays_overlap("_fq", "_fr")).otherwise(F.col("score") >= JACCARD_ALONE)
-    best = hits.filter(accepted).groupBy("query_id").agg(F.min(F.struct("ord", "record_id", "score")).alias("_b"))
+    # Records of one word set (and family name) beyond the first can never win: they are reduced before the join.
+    record = F.struct("ord", "record_id")
+    first = r.groupBy(F.col("_set").alias("_r")).agg(F.min(record).alias("_first"))
+    named = r.withColumn("_family", F.explode(families("authors"))).groupBy(F.col("_set").alias("_r"), "_family").agg(F.min(record).alias("_first"))
+    given = F.size(F.filter(F.coalesce("authors", F.array().cast("array<string>")), lambda a: F.trim(a) != "")) > 0
+    asked = q.select("query_id", F.col("_set").alias("_q"), given.alias("_given"), families("authors").alias("_fq"))
+    by_name = asked.filter("_given").withColumn("_family", F.explode("_fq")).join(scored, "_q").join(named, ["_r", "_family"])
+    by_title = asked.filter("not _given").join(scored.filter(F.col("score") >= JACCARD_ALONE), "_q").join(first, "_r")
+    hits = by_name.select("query_id", "_first", "score").union(by_title.select("query_id", "_first", "score"))
+    best = hits.groupBy("query_id").agg(F.min(F.struct("_first.ord", "_first.record_id", "score")).alias("_b"))
     return best.select("query_id", "_b.record_id", "_b.score")
 
 
@@ -350,7 +354,7 @@ def candidate_key(doi: Column, isbn: Column, title: Column) -> Column:
     return F.coalesce(
         F.concat(F.lit("doi:"), identifiers.normalize_doi(doi)),
         F.concat(F.lit("isbn:"), identifiers.normalize_isbn(isbn)),
-        F.concat(F.lit("title:"), F.left(F.regexp_replace(F.lower(title), r"[^A-Za-z0-9_\x{80}-\x{10FFFF}]+", ""), F.lit(TITLE_KEY_CHARS))),
+        F.concat(F.lit("title:"), F.regexp_replace(F.lower(title), r"[^A-Za-z0-9_\x{80}-\x{10FFFF}]+", "")),
     )
 
 

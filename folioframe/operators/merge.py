@@ -28,7 +28,14 @@ def _filled(df: DataFrame, name: str) -> Column:
     return F.when(F.size(c) > 0, c) if kind.startswith(("array", "map")) else c
 
 
+def one_per_key(table: DataFrame, key: str) -> DataFrame:
+    """One row per key; of rows that repeat a key the first by their JSON text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in table.columns if c != key])
+    return table.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("_row")).select(key, "_row.*")
+
+
 def _paired(local: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    other = one_per_key(other, key)
     renamed = other.select(F.col(key), *[F.col(c).alias(f"_net_{c}") for c in other.columns if c != key])
     return local.join(renamed, key, "left")
 
@@ -80,20 +87,23 @@ def merge_identity(existing: DataFrame, confirmed: DataFrame, key: str) -> DataF
 def registry_by_doi(requests: DataFrame, registries: Sequence[tuple[str, DataFrame]], doi: str = "doi") -> DataFrame:
     """Exact DOI lookup; the first registry that has the DOI answers.
 
-    Registries are entry tables with a normalised `doi`, one row per DOI. Adds
-    `registry` and a struct `record` of the shared columns.
+    Registries are entry tables with a normalised `doi`; a DOI that one repeats
+    counts once. Rows without a DOI stay out of the joins. Adds `registry` and a
+    struct `record` of the shared columns.
     """
     shared = [c for c in registries[0][1].columns if all(c in r.columns for _, r in registries) and c != "doi"]
-    df = requests.withColumn("_doi", identifiers.normalize_doi(F.col(doi)))
+    asked = requests.withColumn("_doi", identifiers.normalize_doi(F.col(doi)))
+    df, unasked = asked.filter("_doi is not null"), asked.filter("_doi is null")
     hits = []
     for name, registry in registries:
-        answer = registry.select(F.col("doi").alias("_doi"), F.struct(*shared).alias(f"_hit_{name}"))
+        answer = one_per_key(registry.filter("doi is not null"), "doi").select(F.col("doi").alias("_doi"), F.struct(*shared).alias(f"_hit_{name}"))
         df = df.join(answer, "_doi", "left")
         hits.append((name, F.col(f"_hit_{name}")))
     source = F.coalesce(*[F.when(h.isNotNull(), F.lit(n)) for n, h in hits])
-    return df.withColumn("registry", source).withColumn("record", F.coalesce(*[h for _, h in hits])).drop(
+    found = df.withColumn("registry", source).withColumn("record", F.coalesce(*[h for _, h in hits])).drop(
         "_doi", *[f"_hit_{n}" for n, _ in hits]
     )
+    return found.unionByName(unasked.drop("_doi"), allowMissingColumns=True)
 
 
 def resolve_waterfall(documents: DataFrame, tiers: Sequence[tuple[str, DataFrame]], key: str = "doc_id") -> DataFrame:

@@ -87,8 +87,8 @@ def stream_usage(t: Inputs) -> DataFrame:
         (F.col("l_quantity").cast("bigint") - 5).alias("chars"),
     )
     out = running.new_folder(t.spark, "usage")
-    _finish(running.keep_latest(running.running_usage(usage), out, running.new_folder(t.spark, "usage-state"), available_now=True))
-    return t.spark.read.parquet(out)
+    _finish(running.keep_changes(running.running_usage(usage), out, running.new_folder(t.spark, "usage-state"), available_now=True))
+    return running.usage_by_month(t.spark, out)
 
 
 @query("stream_sessions", """
@@ -99,9 +99,9 @@ def stream_sessions(t: Inputs) -> DataFrame:
         F.col("conv_id").alias("session_id"), F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts")
     )
     out = running.new_folder(t.spark, "sessions")
-    _finish(running.keep_latest(running.running_sessions(messages), out, running.new_folder(t.spark, "sessions-state"), available_now=True))
+    _finish(running.keep_changes(running.running_sessions(messages), out, running.new_folder(t.spark, "sessions-state"), available_now=True))
     shown = lambda c: F.date_format(c, "HH:mm")
-    return t.spark.read.parquet(out).withColumns({"created_at": shown("created_at"), "updated_at": shown("updated_at")})
+    return running.session_totals(t.spark, out).withColumns({"created_at": shown("created_at"), "updated_at": shown("updated_at")})
 
 
 @query("stream_intake", r"""

@@ -157,10 +157,11 @@ WITH f AS (SELECT rel FROM v_paths WHERE size % 10 = 0), p AS (SELECT rel FROM v
 SELECT rel, status, folder, NULL AS message FROM v_mappings WHERE rel NOT IN (SELECT rel FROM f UNION SELECT rel FROM p) UNION ALL SELECT rel, 'organized', 'new', NULL FROM p UNION ALL SELECT rel, 'failed', NULL, 'boom' FROM f""")
 def upsert_mappings(t: Inputs) -> DataFrame:
     placed = t.v_paths.filter("size % 10 = 1").select(
-        "rel", F.lit("organized").alias("status"), F.col("doc_id").alias("entry_id"), F.lit("x").alias("original_name"), F.lit("new").alias("folder")
-    )
-    failures = t.v_paths.filter("size % 10 = 0").select("rel", F.lit("boom").alias("message"))
-    recorded = catalog.record_mappings(t.v_mappings, placed, F.lit(STAMP))
+        "rel", F.lit("organized").alias("status"), F.col("doc_id").alias("entry_id"), F.lit("x").alias("original_name"),
+        F.explode(F.array(F.struct(F.lit(1).alias("version"), F.lit("old").alias("folder")), F.struct(F.lit(2).alias("version"), F.lit("new").alias("folder")))).alias("_v"),
+    ).select("*", "_v.*").drop("_v")
+    failures = t.v_paths.filter("size % 10 = 0").select("rel", F.explode(F.array(F.lit("bang"), F.lit("boom"))).alias("message"))
+    recorded = catalog.record_mappings(t.v_mappings, placed, F.lit(STAMP), "version")
     return catalog.mark_failed(recorded, failures, F.lit(STAMP)).select("rel", "status", "folder", "message")
 
 
@@ -197,11 +198,13 @@ def remove_prefix(t: Inputs) -> DataFrame:
 
 @query("upsert_attachments", r"""
 WITH a AS (SELECT * FROM v_attachments WHERE pos = 0), b AS (SELECT * FROM v_attachments WHERE pos = 1)
-SELECT coalesce(a.entry_id, b.entry_id) AS entry_id, coalesce(a.path, b.path) AS path, coalesce(a.pos, b.pos) AS pos, coalesce(nullif(b.role, ''), a.role) AS role, coalesce(b.title, a.title) AS title, coalesce(b.doi, a.doi) AS doi,
+SELECT coalesce(a.entry_id, b.entry_id) AS entry_id, coalesce(a.path, b.path) AS path, coalesce(a.pos, b.pos) AS pos, coalesce(nullif(b.role, ''), a.role) AS role, coalesce(b.title, a.title) AS title, CASE WHEN b.entry_id % 2 = 0 THEN 'again' ELSE coalesce(b.doi, a.doi) END AS doi,
   CASE WHEN a.path IS NOT NULL AND b.path IS NOT NULL THEN 2 ELSE 1 END AS n_artifacts, CASE WHEN b.path IS NOT NULL THEN 'new' ELSE 'old' END AS note FROM a FULL JOIN b ON a.entry_id = b.entry_id AND a.path = b.path""")
 def upsert_attachments(t: Inputs) -> DataFrame:
     current = t.v_attachments.filter("pos = 0").withColumn("artifacts", F.create_map(F.lit("note"), F.lit("old")))
     incoming = t.v_attachments.filter("pos = 1").withColumn("artifacts", F.create_map(F.lit("note"), F.lit("new")))
+    again = incoming.filter("entry_id % 2 = 0").withColumns({"pos": F.lit(2).cast(incoming.schema["pos"].dataType), "role": F.lit(""), "title": F.lit(None).cast("string"), "doi": F.lit("again")})
+    incoming = again.unionByName(incoming)  # paths that come in twice
     current = current.withColumn("artifacts", F.map_concat("artifacts", F.create_map(F.lit("parseDir"), F.lit("p"))))
     merged = catalog.upsert_attachments(current, incoming, ["role", "title", "doi"])
     return merged.select(
@@ -230,7 +233,8 @@ def upsert_actions(t: Inputs) -> DataFrame:
         F.when(F.col("value") > 5, "done").otherwise("error").alias("status"),
     )
     old = actions.filter("event_id < 500")
-    current = catalog.upsert(old.select("rel", "category", "status").limit(0), old, ["rel", "category"], "event_id")
+    nothing = t.spark.createDataFrame([], "rel string, category string, status string")
+    current = catalog.upsert(nothing, old, ["rel", "category"], "event_id")
     return catalog.upsert(current, actions, ["rel", "category"], "event_id").select("rel", "category", "status")
 
 

@@ -228,10 +228,10 @@ def registry_match(t: Inputs) -> DataFrame:
 
 @query("jaccard_match", rf"""
 WITH s AS (SELECT entry_id, ord, source, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 3 AND w NOT IN ({STOP})))) AS ws,
-  list_distinct(list_filter(list_transform(string_split(authors, ';'), lambda n: lower(regexp_extract(trim(regexp_replace(n, '[^A-Za-z]+', ' ', 'g')), '([A-Za-z]+)$', 1))), lambda n: n <> '')) AS fam FROM v_entries),
+  list_distinct(list_filter(list_transform(string_split(authors, ';'), lambda n: lower(regexp_extract(trim(regexp_replace(n, '[^A-Za-z]+', ' ', 'g')), '([A-Za-z]+)$', 1))), lambda n: n <> '')) AS fam, len(list_filter(string_split(authors, ';'), lambda n: trim(n) <> '')) AS given FROM v_entries),
 q AS (SELECT DISTINCT array_to_string(ws, ' ') AS k, ws FROM s WHERE len(ws) > 0),
 p AS (SELECT a.k AS qk, b.k AS rk, len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) AS score FROM q a JOIN q b ON len(list_intersect(a.ws, b.ws)) > 0),
-h AS (SELECT x.entry_id AS query_id, y.entry_id AS record_id, y.ord, p.score FROM p JOIN s x ON array_to_string(x.ws, ' ') = p.qk JOIN s y ON array_to_string(y.ws, ' ') = p.rk WHERE x.source < 'src5' AND y.source >= 'src5' AND CASE WHEN length(x.source) = 4 AND len(x.fam) > 0 THEN list_has_any(x.fam, y.fam) AND p.score >= 0.6 ELSE p.score >= 0.9 END)
+h AS (SELECT x.entry_id AS query_id, y.entry_id AS record_id, y.ord, p.score FROM p JOIN s x ON array_to_string(x.ws, ' ') = p.qk JOIN s y ON array_to_string(y.ws, ' ') = p.rk WHERE x.source < 'src5' AND y.source >= 'src5' AND CASE WHEN length(x.source) = 4 AND x.given > 0 THEN list_has_any(x.fam, y.fam) AND p.score >= 0.6 ELSE p.score >= 0.9 END)
 SELECT query_id, arg_min(record_id, ord) AS record_id, arg_min(score, ord)::DOUBLE AS score FROM h GROUP BY query_id""")
 def jaccard_match(t: Inputs) -> DataFrame:
     people = F.split("authors", ";")
@@ -243,33 +243,39 @@ def jaccard_match(t: Inputs) -> DataFrame:
 
 
 PAIRS = """
-pr AS (SELECT a.entry_id AS a_id, b.entry_id AS b_id, a.doi AS ad, b.doi AS bd, a.arxiv_id AS ax, b.arxiv_id AS bx, a.isbn AS ai, b.isbn AS bi, a.year AS ay, b.year AS by_, a.item_type AS at_, b.item_type AS bt, [lower(a.family), lower(a.given)] AS af, [lower(b.family), lower(b.given)] AS bf, ((length(a.title) * 7 + b.entry_id) % 100) / 100.0 AS ratio FROM v_entries a JOIN v_entries b ON a.year = b.year AND a.folder = b.folder),
-sc AS (SELECT *, least(1.0, ratio * 0.58 + CASE WHEN ad = bd THEN 0.35 ELSE 0 END + CASE WHEN ax = bx THEN 0.35 ELSE 0 END + CASE WHEN ai = bi THEN 0.35 ELSE 0 END + 0.06 + least(0.12, 0.05 * len(list_intersect(list_distinct(af), list_distinct(bf)))) + CASE WHEN at_ = 'book' AND bt = 'book' THEN 0.05 ELSE 0 END)::DOUBLE AS score FROM pr)"""
+pr AS (SELECT a.entry_id AS a_id, b.entry_id AS b_id, a.doi AS ad, b.doi AS bd, a.arxiv_id AS ax, b.arxiv_id AS bx, a.isbn AS ai, b.isbn AS bi, a.year AS ay, b.year AS by_, a.item_type AS at_, b.item_type AS bt, [lower(a.family), lower(a.given)] AS af, [lower(b.family), lower(b.given)] AS bf, ((length(a.title) * 7 + b.entry_id) % 100) / 100.0 AS ratio FROM (SELECT e.entry_id AS l_id, f.c_id FROM v_entries e JOIN (SELECT doi, arg_min(entry_id, ord) AS c_id FROM v_entries WHERE doi IS NOT NULL GROUP BY 1) f USING (doi) WHERE e.entry_id <> f.c_id UNION SELECT e.entry_id, f.c_id FROM v_entries e JOIN (SELECT lower(title) AS k, arg_min(entry_id, ord) AS c_id FROM v_entries GROUP BY 1) f ON lower(e.title) = f.k WHERE e.entry_id <> f.c_id) w JOIN v_entries a ON a.entry_id = w.l_id JOIN v_entries b ON b.entry_id = w.c_id),
+sc AS (SELECT *, least(1.0, ratio * 0.58 + CASE WHEN ad = bd THEN 0.35 ELSE 0 END + CASE WHEN ax = bx THEN 0.35 ELSE 0 END + CASE WHEN ai = bi THEN 0.35 ELSE 0 END + CASE WHEN ay = by_ THEN 0.06 ELSE 0 END + least(0.12, 0.05 * len(list_intersect(list_distinct(af), list_distinct(bf)))) + CASE WHEN at_ = 'book' AND bt = 'book' THEN 0.05 ELSE 0 END)::DOUBLE AS score FROM pr)"""
 
 
 def scored_pairs(t: Inputs) -> DataFrame:
     def side(p: str) -> DataFrame:
         fold = lambda c: F.lower(c)
         return t.v_entries.select(
-            F.col("entry_id").alias(f"{p}_id"), "year", "folder", F.col("doi").alias(f"{p}_doi"), F.col("arxiv_id").alias(f"{p}_arxiv_id"),
+            F.col("entry_id").alias(f"{p}_id"), F.col("doi").alias(f"{p}_doi"), F.col("arxiv_id").alias(f"{p}_arxiv_id"),
             F.col("isbn").alias(f"{p}_isbn"), F.col("year").alias(f"{p}_year"), F.col("item_type").alias(f"{p}_item_type"),
             F.array(fold("family"), fold("given")).alias(f"{p}_families"), F.col("title").alias(f"{p}_title"),
         )
 
-    pairs = side("l").join(side("c"), ["year", "folder"])
+    # Candidates: the first entry with the same DOI, and the first with the same title; copies never meet pair by pair.
+    entries = t.v_entries.select("entry_id", "ord", F.col("doi").alias("_doi"), F.lower("title").alias("_title"))
+    found = []
+    for key in ("_doi", "_title"):
+        first = entries.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("entry_id", "ord").alias("c_id"))
+        found.append(entries.join(first, key).filter("entry_id <> c_id").select(F.col("entry_id").alias("l_id"), "c_id"))
+    pairs = found[0].union(found[1]).distinct().join(side("l"), "l_id").join(side("c"), "c_id")
     ratio = ((F.length("l_title") * 7 + F.col("c_id")) % 100) / F.lit(100.0)
     return linkage.score_candidates(pairs.withColumn("ratio", ratio))
 
 
 @query("score_candidates", f"""
-WITH {PAIRS} SELECT a_id AS l_id, b_id AS c_id, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN ratio >= 0.82 THEN 'title' END, CASE WHEN ad = bd THEN 'doi' END, CASE WHEN ax = bx THEN 'arxiv' END, CASE WHEN ai = bi THEN 'isbn' END, 'year', CASE WHEN len(list_intersect(list_distinct(af), list_distinct(bf))) > 0 THEN 'authors' END, CASE WHEN at_ = 'book' AND bt = 'book' THEN 'type' END], lambda x: x IS NOT NULL), '|') AS reasons FROM sc""")
+WITH {PAIRS} SELECT a_id AS l_id, b_id AS c_id, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN ratio >= 0.82 THEN 'title' END, CASE WHEN ad = bd THEN 'doi' END, CASE WHEN ax = bx THEN 'arxiv' END, CASE WHEN ai = bi THEN 'isbn' END, CASE WHEN ay = by_ THEN 'year' END, CASE WHEN len(list_intersect(list_distinct(af), list_distinct(bf))) > 0 THEN 'authors' END, CASE WHEN at_ = 'book' AND bt = 'book' THEN 'type' END], lambda x: x IS NOT NULL), '|') AS reasons FROM sc""")
 def score_candidates(t: Inputs) -> DataFrame:
     return scored_pairs(t).select("l_id", "c_id", F.round("score", 6).alias("score"), F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("dedupe_candidates", r"""
 WITH c AS (SELECT source AS query_id, entry_id AS seq, 's' || CAST(entry_id % 3 AS VARCHAR) AS src, doi, isbn, title, ((length(title) * 13) % 100) / 100.0 AS score FROM v_entries),
-k AS (SELECT *, coalesce('doi:' || doi, 'isbn:' || isbn, 'title:' || left(regexp_replace(lower(title), '[^A-Za-z0-9_\x{80}-\x{10FFFF}]+', '', 'g'), 220)) AS key FROM c),
+k AS (SELECT *, coalesce('doi:' || doi, 'isbn:' || isbn, 'title:' || regexp_replace(lower(title), '[^A-Za-z0-9_\x{80}-\x{10FFFF}]+', '', 'g')) AS key FROM c),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, seq) AS r FROM k),
 g AS (SELECT query_id, key, list_sort(list_distinct(list(src))) AS srcs FROM k GROUP BY ALL),
 m AS (SELECT b.query_id, b.seq, b.title, b.score, array_to_string(list_concat([b.src], list_filter(g.srcs, lambda s: s <> b.src)), ' + ') AS source FROM b JOIN g USING (query_id, key) WHERE r = 1)

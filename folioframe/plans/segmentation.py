@@ -63,9 +63,8 @@ def render_docs(t: Inputs) -> DataFrame:
 
 @query("apply_segments")
 def apply_segments(t: Inputs) -> DataFrame:
-    """Pending segments through a function that loses tokens, so that the fallback works too."""
-    protected = segment.protect(t.v_md.join(t.labels, "doc_id", "left_anti"))
-    work = segment.segments(protected).withColumnRenamed("doc_id", "doc_hash").filter("translatable")
+    """All segments through a function that loses tokens, so that the fallback works too."""
+    work = segment.segments(segment.protect(t.v_md)).withColumnRenamed("doc_id", "doc_hash")
     return segment.apply_segments(work, lambda s: s.upper().replace("[[KEEP", "[[kept"))
 
 

@@ -22,7 +22,6 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-TEXT_TABLES = ("documents", "conversations", "pages")
 STORED_VIEWS = ("v_entries", "v_text", "v_cn", "v_md", "v_paths")
 _STORED: dict[tuple[str, str, str], str] = {}
 
@@ -237,12 +236,8 @@ class Inputs:
         self._tag = f"{zlib.crc32(folder.encode()):08x}"
 
     def table(self, name: str) -> DataFrame:
-        """A given table. A text table that comes as fewer splits than there are cores is spread out."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in TEXT_TABLES and df.rdd.getNumPartitions() * 2 <= cores:
-            df = df.repartition(cores)
-        return df
+        """A given table; splits are Spark's, by `spark.sql.files.maxPartitionBytes`."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stored(self, name: str) -> DataFrame:
         """A view written once per application: its columns are data then, as in a real library."""

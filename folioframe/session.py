@@ -76,7 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    folder, files = _hadoop(spark, path)
+    folder, files = hadoop_folder(spark, path)
     files.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,10 +84,11 @@ def cut(df: DataFrame) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove the table behind a frame that `cut` returned, once nothing reads it any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        folder, files = _hadoop(df.sparkSession, file)
+        folder, files = hadoop_folder(df.sparkSession, file)
         files.delete(folder, True)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_folder(spark: SparkSession, path: str):
+    """A folder and its file system, whatever store it is in."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -9,14 +9,15 @@ on the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from folioframe.session import checkpoint_dir
+from folioframe.operators.scale import first_per_key
+from folioframe.session import checkpoint_dir, hadoop_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -30,28 +31,45 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
 
 
 def running_usage(usage: DataFrame, lateness: str = "40 days") -> DataFrame:
-    """Characters per provider and month as events come in; positive amounts only."""
-    return usage.withWatermark("ts", lateness).filter("chars > 0").groupBy(
-        "provider", F.date_format("ts", "yyyy-MM").alias("month")
-    ).agg(F.sum("chars").alias("chars"))
+    """Characters per provider and day as events come in; positive amounts only. A day's state goes once the watermark has passed it."""
+    return usage.withWatermark("ts", lateness).filter("chars > 0").groupBy("provider", F.window("ts", "1 day")).agg(
+        F.sum("chars").alias("chars")
+    ).select("provider", F.col("window.start").alias("day"), "chars")
 
 
 def running_sessions(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Live message count, first and last time per session."""
-    return messages.withWatermark("ts", lateness).groupBy("session_id").agg(
+    """Messages, first and last time per session and day. A day's state goes once the watermark has passed it."""
+    return messages.withWatermark("ts", lateness).groupBy("session_id", F.window("ts", "1 day")).agg(
         F.count(F.lit(1)).alias("message_count"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at")
-    )
+    ).select("session_id", F.col("window.start").alias("day"), "message_count", "created_at", "updated_at")
 
 
-def keep_latest(totals: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write the complete running totals to a folder on every trigger."""
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+def keep_changes(totals: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Write the totals that a trigger changed to a partition of its own, replaced whole when the trigger is repeated."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def latest(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """The newest total of every key."""
+    return first_per_key(spark.read.parquet(out), keys, F.desc("batch")).drop("batch")
+
+
+def usage_by_month(spark: SparkSession, out: str) -> DataFrame:
+    """provider, month, chars from what `keep_changes` wrote of `running_usage`."""
+    return latest(spark, out, ["provider", "day"]).groupBy("provider", F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("chars").alias("chars"))
+
+
+def session_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Message count, first and last time per session from what `keep_changes` wrote of `running_sessions`."""
+    return latest(spark, out, ["session_id", "day"]).groupBy("session_id").agg(
+        F.sum("message_count").alias("message_count"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
+    )
+
+
 def intake(
     files: DataFrame, identify: Callable[[DataFrame], DataFrame], plan: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
@@ -63,16 +81,16 @@ def intake(
     def place(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         found = identify(batch)
-        try:
-            known = spark.read.parquet(plan).filter(F.col("batch") != number).filter("status = 'organized'")
-        except Exception:  # nothing planned yet
-            known = None
+        folder, files_there = hadoop_folder(spark, plan)
         first = found.filter("doi is not null").groupBy("doi").agg(F.min("ord").alias("_first"))
-        rows = found.join(first, "doi", "left")
-        repeated = F.col("_first").isNotNull() & (F.col("ord") > F.col("_first"))
-        if known is not None:
-            rows = rows.join(known.select("doi").distinct().withColumn("_known", F.lit(True)), "doi", "left")
-            repeated = repeated | F.coalesce("_known", F.lit(False))
+        # Rows without a DOI stay out of the joins, else they would meet in one task.
+        rows = found.filter("doi is not null").join(first, "doi").withColumn("_known", F.lit(False))
+        if files_there.exists(folder):  # else nothing is planned yet
+            known = spark.read.parquet(plan).filter(F.col("batch") != number).filter("status = 'organized' and doi is not null")
+            known = known.select("doi").distinct().withColumn("_known", F.lit(True))
+            rows = rows.drop("_known").join(known, "doi", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+        rows = rows.unionByName(found.filter("doi is null"), allowMissingColumns=True)
+        repeated = F.coalesce((F.col("ord") > F.col("_first")) | F.col("_known"), F.lit(False))
         status = F.when(F.coalesce("title", F.lit("")) == "", "failed").when(repeated, "duplicate").otherwise("organized")
         rows.select("entry_id", "ord", "doi", "title", status.alias("status")).write.mode("overwrite").parquet(f"{plan}/batch={number}")
 
