@@ -30,6 +30,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def merged_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: `known` is a result of these functions, links (a, b) may name new nodes.
+
+    Links are drawn between the components they touch, so the work is that of
+    the links that are new, not of all so far.
+    """
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        home = known.select(F.col("node").alias(side), F.col("component").alias("home"))
+        ends = ends.join(home, side, "left").withColumn(side, F.coalesce("home", side)).drop("home")
+    moves = connected_components(ends)
+    moved = known.join(moves.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(moved.union(moves.join(known, "node", "left_anti").select("node", "component")))
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node hangs on one smaller node that itself hangs on none."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import batches, cut, discard, worker_keep
-from folioframe.llm.components import connected_components
+from folioframe.llm.components import connected_components, merged_components
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // ROWS
@@ -82,17 +82,20 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def plausible(equal: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Whether a Jaccard share at the threshold can lie behind so many equal registers of those that either side uses.
+def estimate(equal: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The Jaccard share behind so many equal registers of those that either side uses.
 
     Two different least hashes get the same register if leading zeros and
     mantissa agree: a third of 2**-mantissa of the time. That share is taken off.
     """
-    used = np.maximum(used, 1)
     chance = 2.0**-MANTISSA / 3
-    estimate = (equal / used - chance) / (1 - chance)
+    return (equal / np.maximum(used, 1) - chance) / (1 - chance)
+
+
+def plausible(share: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Whether the threshold can lie behind an estimate from so many registers."""
     need = SHARE / 100
-    return estimate >= need - MARGIN * np.sqrt(need * (1 - need) / used)
+    return share >= need - MARGIN * np.sqrt(need * (1 - need) / np.maximum(used, 1))
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -115,9 +118,9 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): a row for each band with a register in use."""
+    """(bucket, node, band): a row for each band with a register in use."""
     band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> struct(b as band, substring(sketch, b * {2 * ROWS} + 1, {2 * ROWS}) as part))"))
-    return nodes.select("node", band.alias("band")).where(F.col("band.part") != F.lit(bytes(2 * ROWS))).select(F.xxhash64("band.band", "band.part").alias("bucket"), "node")
+    return nodes.select("node", band.alias("band")).where(F.col("band.part") != F.lit(bytes(2 * ROWS))).select(F.xxhash64("band.band", "band.part").alias("bucket"), "node", "band.band")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -156,25 +159,60 @@ def _linked(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame
     return found
 
 
-def _within_buckets(rows: DataFrame) -> DataFrame:
-    """Plausible pairs of different labels inside each bucket; `rows` has bucket, node, label, n and sketch."""
-
-    def pairs(bucket: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        node, label, n = (np.array([r[k] for r in bucket]) for k in range(3))
-        sketch = np.frombuffer(b"".join([r[3] for r in bucket]), np.uint16).reshape(-1, BUCKETS)
-        order = np.argsort(n, kind="stable")
-        node, label, n, sketch = node[order], label[order], n[order], sketch[order]
-        reach = np.searchsorted(n, n * 100 // SHARE, side="right")  # longer sets cannot be similar enough
-        for i in range(len(n) - 1):
-            near = slice(i + 1, reach[i])
-            other = sketch[near]
-            if not len(other):
-                continue
-            equal = ((other == sketch[i]) & (other != 0)).sum(1)
-            hit = np.flatnonzero(plausible(equal, ((other != 0) | (sketch[i] != 0)).sum(1)) & (label[near] != label[i]))
-            for j in hit.tolist():
-                a, b = int(node[i]), int(node[i + 1 + j])
-                yield (min(a, b), max(a, b), int(equal[j]))
+def _compared(bucket: list[tuple], every: bool) -> Iterator[tuple[int, int, float]]:
+    """What one bucket proposes; its rows are (node, label, n, sketch, band, other).
+
+    For each node its likeliest partner of another label: (node, partner,
+    estimate). With `every`, all plausible pairs of different labels that share no
+    earlier band than the bucket's (and none between its two, if it has a second),
+    so that a pair comes out of one bucket only.
+    """
+    node, label, n = (np.array([r[k] for r in bucket]) for k in range(3))
+    if label.min() == label.max():
+        return
+    order = np.argsort(n, kind="stable")
+    node, label, n = node[order], label[order], n[order]
+    sketch = np.frombuffer(b"".join([bucket[i][3] for i in order.tolist()]), np.uint16).reshape(-1, BUCKETS)
+    reach = np.searchsorted(n, n * 100 // SHARE, side="right")  # longer sets cannot be similar enough
+    names, held = np.unique(label, return_counts=True)
+    others = {name: np.flatnonzero(label != name) for name in names[held > 64].tolist()}
+    shared = [b for b in bucket[0][4:] if b >= 0]
+    best, partner = np.zeros(len(n)), np.full(len(n), -1)
+    for i in range(len(n) - 1):
+        at = others.get(int(label[i]))
+        if at is None:
+            at = np.arange(i + 1, reach[i])
+            at = at[label[at] != label[i]]
+        else:
+            at = at[np.searchsorted(at, i + 1) : np.searchsorted(at, reach[i])]
+        if not len(at):
+            continue
+        other = sketch[at]
+        used = ((other != 0) | (sketch[i] != 0)).sum(1)
+        share = estimate(((other == sketch[i]) & (other != 0)).sum(1), used)
+        hit = np.flatnonzero(plausible(share, used))
+        if not len(hit):
+            continue
+        if every:
+            same = ((sketch[at[hit]] == sketch[i]).reshape(-1, BANDS, ROWS).all(2)) & (sketch[i].reshape(BANDS, ROWS) != 0).any(1)
+            first = np.cumsum(same, axis=1)
+            here = np.ones(len(hit), bool)
+            for rank, band in enumerate(sorted(shared)):
+                here &= same[:, band] & (first[:, band] == rank + 1)
+            for j, value in zip(at[hit[here]].tolist(), share[hit[here]].tolist(), strict=True):
+                yield int(node[i]), int(node[j]), value
+            continue
+        top = hit[share[hit].argmax()]
+        if share[top] > best[i]:
+            best[i], partner[i] = share[top], at[top]
+        better = hit[share[hit] > best[at[hit]]]
+        best[at[better]], partner[at[better]] = share[better], i
+    for i in np.flatnonzero(partner >= 0).tolist():
+        yield int(node[i]), int(node[partner[i]]), float(best[i])
+
+
+def _within_buckets(rows: DataFrame, every: bool) -> DataFrame:
+    """(a, b, share) as `_compared` gives them; `rows` has bucket, node, label, n, sketch, band and other."""
 
     def work(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grouped() -> Iterator[list[tuple]]:
@@ -189,18 +227,21 @@ def _within_buckets(rows: DataFrame) -> DataFrame:
             if group:
                 yield group
 
-        out: list[tuple[int, int, int]] = []
+        def put(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "share"])
+
+        out: list[tuple[int, int, float]] = []
         for group in grouped():
-            for pair in pairs(group):
+            for pair in _compared(group, every):
                 out.append(pair)
                 if len(out) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "equal"])
+                    yield put(out)
                     out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "equal"])
+            yield put(out)
 
-    dealt = rows.select("bucket", "node", "label", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket")
-    return batches(dealt, work, "a long, b long, equal long").distinct()
+    dealt = rows.select("bucket", "node", "label", "n", "sketch", "band", "other").repartition("bucket").sortWithinPartitions("bucket")
+    return batches(dealt, work, "a long, b long, share double")
 
 
 def _mixed_buckets(rows: DataFrame) -> DataFrame:
@@ -209,22 +250,25 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.where("least < most").select("bucket", "rows"), "bucket")
 
 
-def _remaining(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b, equal) that share a bucket and lie in different components so far."""
-    rows = shared.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _proposed(shared: DataFrame, labels: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b), a < b, between components so far: each node's likeliest one or, with `every`, all that are plausible."""
+    rows = shared.withColumn("other", F.lit(-1))
+    rows = rows.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = cut(_mixed_buckets(rows))
-    large = rows.where(f"rows > {LARGE_BUCKET}").select("bucket", "node", "label").join(nodes, "node")
-    if large.isEmpty():
-        found = _within_buckets(rows.join(nodes.select("node", "n", "sketch"), "node"))
-    else:
-        # A pair at the threshold shares about ten bands; of those in a large bucket it is met in the others.
-        again = large.select("node", "label", "bucket").join(_bands(large.select("node", "sketch").distinct()).withColumnRenamed("bucket", "other"), "node")
-        again = again.where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "node", "label")
-        small = rows.where(f"rows <= {LARGE_BUCKET}").select("bucket", "node", "label").union(_mixed_buckets(again).select("bucket", "node", "label"))
-        found = _within_buckets(small.join(nodes.select("node", "n", "sketch"), "node"))
-    found = cut(found)
+    columns = ["bucket", "node", "label", "band", "other"]
+    small, large = rows.select(columns), rows.where(f"rows > {LARGE_BUCKET}")
+    if not large.isEmpty():
+        # A pair at the threshold shares about ten bands: of those in a large bucket it is met by a second one.
+        second = _bands(large.select("node").distinct().join(nodes, "node")).select("node", F.col("bucket").alias("with"), F.col("band").alias("second"))
+        again = large.drop("other").join(second, "node").where("second > band" if every else "second <> band")
+        again = again.select(F.xxhash64("bucket", "with").alias("bucket"), "node", "label", "band", F.col("second").alias("other"))
+        small = rows.where(f"rows <= {LARGE_BUCKET}").select(columns).union(_mixed_buckets(again).select(columns))
+    found = _within_buckets(small.join(nodes, "node"), every)
+    if not every:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
+    pairs = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     discard(rows)
-    return found
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,10 +278,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     documents link if their sets of five-word shingles have a Jaccard similarity
     of 0.75 or more; fewer words make one shingle; without words (or a null
     text) a document links with nothing. The component is the smallest key
-    reachable. Equal sets are reduced to one node first, then each node is
-    compared with its most promising leader, and only pairs that still lie in
-    different components are looked at further: a group of copies is never
-    expanded into all its pairs.
+    reachable. Equal sets are reduced to one node first. Then each node is
+    compared with the bucket leader it meets most often, then with its likeliest
+    partner outside its component so far, and at last with every plausible one
+    that is still in another component: a group of copies is never expanded into
+    all its pairs.
 
     Rows with a null key link with nothing and have a null component; rows that
     share a key count as one document. Other columns are not kept. The texts are
@@ -256,24 +301,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     met = shared.where("node <> leader").groupBy("node", "leader").count()
     best = met.groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
     links = _linked(docs, cut(best.select(F.col("leader").alias("a"), F.col("node").alias("b"))), key, text)
-    tables = [links]
-    rest = shared.select("bucket", "node")
     labels = connected_components(links)
-    # Then, for each node and component, its likeliest partner there; at last all pairs left between components.
-    pairs = _remaining(rest, labels, nodes)
-    if not pairs.isEmpty():
-        to = labels.select(F.col("node").alias("b"), F.col("component").alias("to"))
-        likely = pairs.join(to, "b", "left").groupBy("a", F.coalesce("to", "b").alias("to")).agg(F.max_by("b", F.struct("equal", -F.col("b"))).alias("b")).select("a", "b")
-        links = _linked(docs, cut(likely), key, text)
-        tables.append(links)
-        labels = connected_components(tables[0].union(links))
-        open_ = pairs.select("a", "b").join(likely, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            open_ = open_.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}")), side, "left").withColumn(f"in_{side}", F.coalesce(f"in_{side}", side))
-        open_ = cut(open_.where("in_a <> in_b").select("a", "b"))
-        if not open_.isEmpty():
-            tables.append(_linked(docs, open_, key, text))
-            labels = connected_components(tables[0].union(tables[1]).union(tables[2]))
+    rest = shared.select("bucket", "node", "band")
+    for every in (False, True):
+        pairs = _proposed(rest, labels, nodes, every)
+        if not pairs.isEmpty():
+            labels = merged_components(labels, _linked(docs, pairs, key, text))
 
     homes = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("home"))
     placed = base.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
