@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 import oracle
 from folioframe.llm import hosts, langid, topk, vectors
-from folioframe.llm.components import connected_components
+from folioframe.llm.components import connected_components, merged_components
 from test_llm_text import brute_groups
 
 
@@ -64,6 +64,14 @@ def test_components_of_paths_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_grow_with_links(spark):
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = connected_components(table([(1, 2), (3, 4), (5, 6)]))
+    found = {r.node: r.component for r in merged_components(known, table([(6, 4), (9, 8), (2, 1), (10, 9)])).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 8: 8, 9: 8, 10: 8}
+    assert {r.node: r.component for r in merged_components(known, table([])).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
 def test_url_rules_and_odd_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x?q", "http://example.org/en/12#t", "https://example.org/en/2", "http://org", "http://x.com/fr/", "http://xcom/fr/", "http://x.com/de/1", "http://a.net/://b", "x\n://h\ny/p\nq?z", "http://a.co.uk/"]
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
