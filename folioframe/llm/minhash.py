@@ -9,7 +9,7 @@ that agree by chance, drops hopeless ones; the rest is decided on full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,10 +92,16 @@ def estimate(equal: np.ndarray, used: np.ndarray) -> np.ndarray:
     return (equal / np.maximum(used, 1) - chance) / (1 - chance)
 
 
-def plausible(share: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Whether the threshold can lie behind an estimate from so many registers."""
-    need = SHARE / 100
-    return share >= need - MARGIN * np.sqrt(need * (1 - need) / np.maximum(used, 1))
+def plausible(share: np.ndarray, used: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the threshold can lie behind an estimate from so many registers, for sets whose sizes add up to `sizes`.
+
+    The registers in use are a sample without replacement from the union, which
+    at the threshold holds sizes / 1.75 shingles; of small sets it is nearly all.
+    """
+    need, used = SHARE / 100, np.maximum(used, 1)
+    union = sizes / (1 + need)
+    error = np.sqrt(need * (1 - need) / used * np.clip(1 - used / union, 0, 1))
+    return share >= need - MARGIN * error - 1.5 / used
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -123,9 +129,16 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", band.alias("band")).where(F.col("band.part") != F.lit(bytes(2 * ROWS))).select(F.xxhash64("band.band", "band.part").alias("bucket"), "node", "band.band")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have the needed Jaccard share."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= SHARE * (len(x) + len(y) - both)
+
+
+def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, items): the full sets of some nodes, from their texts."""
+    needed = needed.distinct()
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(needed, "node", "left_semi")
@@ -136,17 +149,17 @@ def _linked(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame
             sets = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "items"])
 
-    sets = cut(batches(texts, shingles, "node long, items binary"))
+    return cut(batches(texts, shingles, "node long, items binary"))
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
+    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), key, text)
 
     def confirm(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            hit = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                hit.append(100 * both >= SHARE * (len(x) + len(y) - both))
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            hit = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     with_sets = (
@@ -159,25 +172,11 @@ def _linked(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame
     return found
 
 
-def _compared(bucket: list[tuple], every: bool) -> Iterator[tuple[int, int, float]]:
-    """What one bucket proposes; its rows are (node, label, n, sketch, band, other).
-
-    For each node its likeliest partner of another label: (node, partner,
-    estimate). With `every`, all plausible pairs of different labels that share no
-    earlier band than the bucket's (and none between its two, if it has a second),
-    so that a pair comes out of one bucket only.
-    """
-    node, label, n = (np.array([r[k] for r in bucket]) for k in range(3))
-    if label.min() == label.max():
-        return
-    order = np.argsort(n, kind="stable")
-    node, label, n = node[order], label[order], n[order]
-    sketch = np.frombuffer(b"".join([bucket[i][3] for i in order.tolist()]), np.uint16).reshape(-1, BUCKETS)
-    reach = np.searchsorted(n, n * 100 // SHARE, side="right")  # longer sets cannot be similar enough
+def _candidates(n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, partners, estimates) of rows in order of their set sizes: later rows of other labels that can be similar enough."""
+    reach = np.searchsorted(n, n * 100 // SHARE, side="right")  # longer sets cannot be
     names, held = np.unique(label, return_counts=True)
     others = {name: np.flatnonzero(label != name) for name in names[held > 64].tolist()}
-    shared = [b for b in bucket[0][4:] if b >= 0]
-    best, partner = np.zeros(len(n)), np.full(len(n), -1)
     for i in range(len(n) - 1):
         at = others.get(int(label[i]))
         if at is None:
@@ -187,60 +186,108 @@ def _compared(bucket: list[tuple], every: bool) -> Iterator[tuple[int, int, floa
             at = at[np.searchsorted(at, i + 1) : np.searchsorted(at, reach[i])]
         if not len(at):
             continue
-        other = sketch[at]
-        used = ((other != 0) | (sketch[i] != 0)).sum(1)
-        share = estimate(((other == sketch[i]) & (other != 0)).sum(1), used)
-        hit = np.flatnonzero(plausible(share, used))
-        if not len(hit):
-            continue
-        if every:
-            same = ((sketch[at[hit]] == sketch[i]).reshape(-1, BANDS, ROWS).all(2)) & (sketch[i].reshape(BANDS, ROWS) != 0).any(1)
-            first = np.cumsum(same, axis=1)
-            here = np.ones(len(hit), bool)
-            for rank, band in enumerate(sorted(shared)):
-                here &= same[:, band] & (first[:, band] == rank + 1)
-            for j, value in zip(at[hit[here]].tolist(), share[hit[here]].tolist(), strict=True):
-                yield int(node[i]), int(node[j]), value
-            continue
-        top = hit[share[hit].argmax()]
+        used = ((sketch[at] != 0) | (sketch[i] != 0)).sum(1)
+        share = estimate(((sketch[at] == sketch[i]) & (sketch[at] != 0)).sum(1), used)
+        hit = plausible(share, used, n[at] + n[i])
+        if hit.any():
+            yield i, at[hit], share[hit]
+
+
+def _met_here(one: np.ndarray, others: np.ndarray, bands: list[int]) -> np.ndarray:
+    """Which of the sketches share no earlier band with `one` than the bucket's (and none between its two), so that a pair counts in one bucket only."""
+    same = (others == one).reshape(-1, BANDS, ROWS).all(2) & (one.reshape(BANDS, ROWS) != 0).any(1)
+    first = np.cumsum(same, axis=1)
+    here = np.ones(len(others), bool)
+    for rank, band in enumerate(sorted(b for b in bands if b >= 0)):
+        here &= same[:, band] & (first[:, band] == rank + 1)
+    return here
+
+
+def _likeliest(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
+    """(node, partner, estimate): for each node of a bucket its likeliest partner of another label."""
+    node, label, n = (np.array([r[k] for r in rows]) for k in range(3))
+    order = np.argsort(n, kind="stable")
+    node, label, n = node[order], label[order], n[order]
+    sketch = np.frombuffer(b"".join([rows[i][3] for i in order.tolist()]), np.uint16).reshape(-1, BUCKETS)
+    best, partner = np.full(len(n), -2.0), np.full(len(n), -1)
+    for i, at, share in _candidates(n, label, sketch):
+        top = share.argmax()
         if share[top] > best[i]:
             best[i], partner[i] = share[top], at[top]
-        better = hit[share[hit] > best[at[hit]]]
+        better = share > best[at]
         best[at[better]], partner[at[better]] = share[better], i
     for i in np.flatnonzero(partner >= 0).tolist():
         yield int(node[i]), int(node[partner[i]]), float(best[i])
 
 
-def _within_buckets(rows: DataFrame, every: bool) -> DataFrame:
-    """(a, b, share) as `_compared` gives them; `rows` has bucket, node, label, n, sketch, band and other."""
+def _open_nodes(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
+    """(bucket, node, 0) of the nodes with a plausible partner of another label that they meet here first."""
+    node, label, n = (np.array([r[k] for r in rows]) for k in range(3))
+    order = np.argsort(n, kind="stable")
+    node, label, n = node[order], label[order], n[order]
+    sketch = np.frombuffer(b"".join([rows[i][3] for i in order.tolist()]), np.uint16).reshape(-1, BUCKETS)
+    marked = np.zeros(len(n), bool)
+    for i, at, _ in _candidates(n, label, sketch):
+        here = _met_here(sketch[i], sketch[at], list(rows[0][4:]))
+        marked[at[here]] = True
+        marked[i] |= here.any()
+    for i in np.flatnonzero(marked).tolist():
+        yield bucket, int(node[i]), 0.0
+
+
+def _links_inside(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
+    """(a, b, 0): links on full sets that join labels not joined before in this bucket; the rows hold sets in place of sketches."""
+    rows = sorted(rows, key=lambda r: r[2])
+    node, label, n = (np.array([r[k] for r in rows]) for k in range(3))
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sketch = np.array([registers(x) for x in sets])
+    home = {x: x for x in label.tolist()}
+
+    def root(x: int) -> int:
+        while home[x] != x:
+            home[x] = home[home[x]]
+            x = home[x]
+        return x
+
+    for i, at, _ in _candidates(n, label, sketch):
+        at = at[_met_here(sketch[i], sketch[at], list(rows[0][4:]))]
+        for j in at.tolist():
+            one, two = root(int(label[i])), root(int(label[j]))
+            if one != two and similar(sets[i], sets[j]):
+                home[max(one, two)] = min(one, two)
+                yield int(node[i]), int(node[j]), 0.0
+
+
+def _within_buckets(rows: DataFrame, held: str, find: Callable[[int, list[tuple]], Iterator[tuple[int, int, float]]]) -> DataFrame:
+    """(a, b, share) as `find` gives them for each bucket; `rows` has bucket, node, label, n, `held` (sketch or items), band and other."""
 
     def work(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def grouped() -> Iterator[list[tuple]]:
+        def grouped() -> Iterator[tuple[int, list[tuple]]]:
             now, group = None, []
             for batch in batches_:
                 for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if bucket != now and group:
-                        yield group
+                        yield now, group
                         group = []
                     now = bucket
                     group.append(tuple(row))
             if group:
-                yield group
+                yield now, group
 
         def put(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "share"])
 
         out: list[tuple[int, int, float]] = []
-        for group in grouped():
-            for pair in _compared(group, every):
-                out.append(pair)
+        for bucket, group in grouped():
+            for row in find(bucket, group):
+                out.append(row)
                 if len(out) >= 10_000:
                     yield put(out)
                     out = []
         if out:
             yield put(out)
 
-    dealt = rows.select("bucket", "node", "label", "n", "sketch", "band", "other").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("bucket", "node", "label", "n", held, "band", "other").repartition("bucket").sortWithinPartitions("bucket")
     return batches(dealt, work, "a long, b long, share double")
 
 
@@ -250,25 +297,20 @@ def _mixed_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.where("least < most").select("bucket", "rows"), "bucket")
 
 
-def _proposed(shared: DataFrame, labels: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b), a < b, between components so far: each node's likeliest one or, with `every`, all that are plausible."""
+def _open_buckets(shared: DataFrame, labels: DataFrame, nodes: DataFrame, last: bool) -> DataFrame:
+    """The rows (bucket, node, label, band, other) of buckets that still hold several components."""
     rows = shared.withColumn("other", F.lit(-1))
     rows = rows.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = cut(_mixed_buckets(rows))
     columns = ["bucket", "node", "label", "band", "other"]
-    small, large = rows.select(columns), rows.where(f"rows > {LARGE_BUCKET}")
-    if not large.isEmpty():
-        # A pair at the threshold shares about ten bands: of those in a large bucket it is met by a second one.
-        second = _bands(large.select("node").distinct().join(nodes, "node")).select("node", F.col("bucket").alias("with"), F.col("band").alias("second"))
-        again = large.drop("other").join(second, "node").where("second > band" if every else "second <> band")
-        again = again.select(F.xxhash64("bucket", "with").alias("bucket"), "node", "label", "band", F.col("second").alias("other"))
-        small = rows.where(f"rows <= {LARGE_BUCKET}").select(columns).union(_mixed_buckets(again).select(columns))
-    found = _within_buckets(small.join(nodes, "node"), every)
-    if not every:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
-    pairs = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    discard(rows)
-    return pairs
+    large = rows.where(f"rows > {LARGE_BUCKET}")
+    if large.isEmpty():
+        return rows.select(columns)
+    # A pair at the threshold shares about ten bands: of those in a large bucket it is met by a second one.
+    second = _bands(large.select("node").distinct().join(nodes, "node")).select("node", F.col("bucket").alias("with"), F.col("band").alias("second"))
+    again = large.drop("other").join(second, "node").where("second > band" if last else "second <> band")
+    again = again.select(F.xxhash64("bucket", "with").alias("bucket"), "node", "label", "band", F.col("second").alias("other"))
+    return rows.where(f"rows <= {LARGE_BUCKET}").select(columns).union(_mixed_buckets(again).select(columns))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,9 +322,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     text) a document links with nothing. The component is the smallest key
     reachable. Equal sets are reduced to one node first. Then each node is
     compared with the bucket leader it meets most often, then with its likeliest
-    partner outside its component so far, and at last with every plausible one
-    that is still in another component: a group of copies is never expanded into
-    all its pairs.
+    partner outside its component so far. What is still plausible between
+    components is decided on full sets inside the buckets, which give only links
+    that join components: a group of copies is never written out as its pairs.
 
     Rows with a null key link with nothing and have a null component; rows that
     share a key count as one document. Other columns are not kept. The texts are
@@ -302,11 +344,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     best = met.groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
     links = _linked(docs, cut(best.select(F.col("leader").alias("a"), F.col("node").alias("b"))), key, text)
     labels = connected_components(links)
+    # Then each node with its likeliest partner in another component.
     rest = shared.select("bucket", "node", "band")
-    for every in (False, True):
-        pairs = _proposed(rest, labels, nodes, every)
-        if not pairs.isEmpty():
-            labels = merged_components(labels, _linked(docs, pairs, key, text))
+    likely = _within_buckets(_open_buckets(rest, labels, nodes, False).join(nodes, "node"), "sketch", _likeliest)
+    likely = likely.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
+    pairs = cut(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = merged_components(labels, _linked(docs, pairs, key, text))
+    # At last all pairs that are still plausible, inside their buckets: only nodes that have such a partner bring their sets there.
+    rows = _open_buckets(rest, labels, nodes, True)
+    open_nodes = cut(_within_buckets(rows.join(nodes, "node"), "sketch", _open_nodes).select(F.col("a").alias("bucket"), F.col("b").alias("node")))
+    sets = _sets(docs, open_nodes.select("node"), key, text)
+    full = rows.join(open_nodes, ["bucket", "node"]).join(nodes.select("node", "n"), "node").join(sets, "node")
+    links = cut(_within_buckets(full, "items", _links_inside).select("a", "b"))
+    labels = merged_components(labels, links)
 
     homes = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("home"))
     placed = base.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
