@@ -25,7 +25,7 @@ BANDS = BUCKETS // ROWS
 SHINGLE = 5
 # Links have 100 * intersection >= 75 * union.
 SHARE = 75
-# Buckets with more rows are dealt out again by a second band.
+# Rows of a block: larger buckets are joined in pairs of hashed blocks, so no task holds more than two of them.
 LARGE_BUCKET = 4096
 # Up to so many ids (8 bytes each) the texts of candidates are found by a broadcast, beyond by a shuffle.
 BROADCAST_IDS = 500_000
@@ -172,8 +172,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame
     return found
 
 
-def _candidates(n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, partners, estimates) of rows in order of their set sizes: later rows of other labels that can be similar enough."""
+def _candidates(n: np.ndarray, label: np.ndarray, sketch: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, partners, estimates) of rows in order of their set sizes: later rows of other labels, and of the other block if there are two, that can be similar enough."""
+    two = len(block) > 0 and block.min() < block.max()
     reach = np.searchsorted(n, n * 100 // SHARE, side="right")  # longer sets cannot be
     names, held = np.unique(label, return_counts=True)
     others = {name: np.flatnonzero(label != name) for name in names[held > 64].tolist()}
@@ -184,6 +185,8 @@ def _candidates(n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterato
             at = at[label[at] != label[i]]
         else:
             at = at[np.searchsorted(at, i + 1) : np.searchsorted(at, reach[i])]
+        if two:
+            at = at[block[at] != block[i]]
         if not len(at):
             continue
         used = ((sketch[at] != 0) | (sketch[i] != 0)).sum(1)
@@ -193,24 +196,20 @@ def _candidates(n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterato
             yield i, at[hit], share[hit]
 
 
-def _met_here(one: np.ndarray, others: np.ndarray, bands: list[int]) -> np.ndarray:
-    """Which of the sketches share no earlier band with `one` than the bucket's (and none between its two), so that a pair counts in one bucket only."""
+def _met_here(one: np.ndarray, others: np.ndarray, band: int) -> np.ndarray:
+    """Which of the sketches share no earlier band with `one` than the bucket's, so that a pair counts in one bucket only."""
     same = (others == one).reshape(-1, BANDS, ROWS).all(2) & (one.reshape(BANDS, ROWS) != 0).any(1)
-    first = np.cumsum(same, axis=1)
-    here = np.ones(len(others), bool)
-    for rank, band in enumerate(sorted(b for b in bands if b >= 0)):
-        here &= same[:, band] & (first[:, band] == rank + 1)
-    return here
+    return same[:, band] & ~same[:, :band].any(1)
 
 
 def _likeliest(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
     """(node, partner, estimate): for each node of a bucket its likeliest partner of another label."""
-    node, label, n = (np.array([r[k] for r in rows]) for k in range(3))
+    node, label, n, block = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 5))
     order = np.argsort(n, kind="stable")
-    node, label, n = node[order], label[order], n[order]
+    node, label, n, block = node[order], label[order], n[order], block[order]
     sketch = np.frombuffer(b"".join([rows[i][3] for i in order.tolist()]), np.uint16).reshape(-1, BUCKETS)
     best, partner = np.full(len(n), -2.0), np.full(len(n), -1)
-    for i, at, share in _candidates(n, label, sketch):
+    for i, at, share in _candidates(n, label, sketch, block):
         top = share.argmax()
         if share[top] > best[i]:
             best[i], partner[i] = share[top], at[top]
@@ -222,13 +221,13 @@ def _likeliest(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, float
 
 def _open_nodes(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
     """(bucket, node, 0) of the nodes with a plausible partner of another label that they meet here first."""
-    node, label, n = (np.array([r[k] for r in rows]) for k in range(3))
+    node, label, n, block = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 5))
     order = np.argsort(n, kind="stable")
-    node, label, n = node[order], label[order], n[order]
+    node, label, n, block = node[order], label[order], n[order], block[order]
     sketch = np.frombuffer(b"".join([rows[i][3] for i in order.tolist()]), np.uint16).reshape(-1, BUCKETS)
     marked = np.zeros(len(n), bool)
-    for i, at, _ in _candidates(n, label, sketch):
-        here = _met_here(sketch[i], sketch[at], list(rows[0][4:]))
+    for i, at, _ in _candidates(n, label, sketch, block):
+        here = _met_here(sketch[i], sketch[at], rows[0][4])
         marked[at[here]] = True
         marked[i] |= here.any()
     for i in np.flatnonzero(marked).tolist():
@@ -238,7 +237,7 @@ def _open_nodes(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, floa
 def _links_inside(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, float]]:
     """(a, b, 0): links on full sets that join labels not joined before in this bucket; the rows hold sets in place of sketches."""
     rows = sorted(rows, key=lambda r: r[2])
-    node, label, n = (np.array([r[k] for r in rows]) for k in range(3))
+    node, label, n, block = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 5))
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
     sketch = np.array([registers(x) for x in sets])
     home = {x: x for x in label.tolist()}
@@ -249,8 +248,8 @@ def _links_inside(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, fl
             x = home[x]
         return x
 
-    for i, at, _ in _candidates(n, label, sketch):
-        at = at[_met_here(sketch[i], sketch[at], list(rows[0][4:]))]
+    for i, at, _ in _candidates(n, label, sketch, block):
+        at = at[_met_here(sketch[i], sketch[at], rows[0][4])]
         for j in at.tolist():
             one, two = root(int(label[i])), root(int(label[j]))
             if one != two and similar(sets[i], sets[j]):
@@ -259,20 +258,20 @@ def _links_inside(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int, fl
 
 
 def _within_buckets(rows: DataFrame, held: str, find: Callable[[int, list[tuple]], Iterator[tuple[int, int, float]]]) -> DataFrame:
-    """(a, b, share) as `find` gives them for each bucket; `rows` has bucket, node, label, n, `held` (sketch or items), band and other."""
+    """(a, b, share) as `find` gives them for each pair of blocks of a bucket; `rows` has bucket, one, two, node, label, n, `held` (sketch or items), band and block."""
 
     def work(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grouped() -> Iterator[tuple[int, list[tuple]]]:
             now, group = None, []
             for batch in batches_:
-                for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if bucket != now and group:
-                        yield now, group
+                for bucket, one, two, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (bucket, one, two) != now and group:
+                        yield now[0], group
                         group = []
-                    now = bucket
+                    now = (bucket, one, two)
                     group.append(tuple(row))
             if group:
-                yield now, group
+                yield now[0], group
 
         def put(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "share"])
@@ -287,30 +286,27 @@ def _within_buckets(rows: DataFrame, held: str, find: Callable[[int, list[tuple]
         if out:
             yield put(out)
 
-    dealt = rows.select("bucket", "node", "label", "n", held, "band", "other").repartition("bucket").sortWithinPartitions("bucket")
+    place = ["bucket", "one", "two"]
+    dealt = rows.select(*place, "node", "label", "n", held, "band", "block").repartition(*place).sortWithinPartitions(*place)
     return batches(dealt, work, "a long, b long, share double")
 
 
-def _mixed_buckets(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one label, with the number of rows there."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"))
-    return rows.join(sizes.where("least < most").select("bucket", "rows"), "bucket")
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (bucket, node, band) with the component of each node so far."""
+    rows = shared.join(labels.withColumnRenamed("component", "label"), "node", "left")
+    return rows.select("bucket", "node", F.coalesce("label", "node").alias("label"), "band")
 
 
-def _open_buckets(shared: DataFrame, labels: DataFrame, nodes: DataFrame, last: bool) -> DataFrame:
-    """The rows (bucket, node, label, band, other) of buckets that still hold several components."""
-    rows = shared.withColumn("other", F.lit(-1))
-    rows = rows.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = cut(_mixed_buckets(rows))
-    columns = ["bucket", "node", "label", "band", "other"]
-    large = rows.where(f"rows > {LARGE_BUCKET}")
-    if large.isEmpty():
-        return rows.select(columns)
-    # A pair at the threshold shares about ten bands: of those in a large bucket it is met by a second one.
-    second = _bands(large.select("node").distinct().join(nodes, "node")).select("node", F.col("bucket").alias("with"), F.col("band").alias("second"))
-    again = large.drop("other").join(second, "node").where("second > band" if last else "second <> band")
-    again = again.select(F.xxhash64("bucket", "with").alias("bucket"), "node", "label", "band", F.col("second").alias("other"))
-    return rows.where(f"rows <= {LARGE_BUCKET}").select(columns).union(_mixed_buckets(again).select(columns))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several labels, with their block, once for each pair of blocks (one <= two) they are compared in.
+
+    A bucket of more than LARGE_BUCKET rows is cut into hashed blocks and every
+    block meets every other and itself, so each pair of rows meets in one place.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / LARGE_BUCKET).cast("int").alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = rows.join(sizes.where("least < most").select("bucket", "blocks"), "bucket")
+    placed = mixed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut(placed.withColumn("one", F.least("block", "partner")).withColumn("two", F.greatest("block", "partner")).drop("blocks", "partner"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,15 +342,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     labels = connected_components(links)
     # Then each node with its likeliest partner in another component.
     rest = shared.select("bucket", "node", "band")
-    likely = _within_buckets(_open_buckets(rest, labels, nodes, False).join(nodes, "node"), "sketch", _likeliest)
+    likely = _within_buckets(_dealt(_labelled(rest, labels)).join(nodes, "node"), "sketch", _likeliest)
     likely = likely.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
     pairs = cut(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = merged_components(labels, _linked(docs, pairs, key, text))
     # At last all pairs that are still plausible, inside their buckets: only nodes that have such a partner bring their sets there.
-    rows = _open_buckets(rest, labels, nodes, True)
-    open_nodes = cut(_within_buckets(rows.join(nodes, "node"), "sketch", _open_nodes).select(F.col("a").alias("bucket"), F.col("b").alias("node")))
+    rows = _labelled(rest, labels)
+    open_nodes = cut(_within_buckets(_dealt(rows).join(nodes, "node"), "sketch", _open_nodes).select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct())
     sets = _sets(docs, open_nodes.select("node"), key, text)
-    full = rows.join(open_nodes, ["bucket", "node"]).join(nodes.select("node", "n"), "node").join(sets, "node")
+    full = _dealt(rows.join(open_nodes, ["bucket", "node"])).join(nodes.select("node", "n"), "node").join(sets, "node")
     links = cut(_within_buckets(full, "items", _links_inside).select("a", "b"))
     labels = merged_components(labels, links)
 

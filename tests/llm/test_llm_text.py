@@ -173,6 +173,33 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, large):
     assert all(rows[i].kept == (label[i] == i) for i in rows)
 
 
+def one_band_texts():
+    """Texts 0 to 2 in one bucket: of 1 and 2 with similarity 0.75 it is the only one, 0 is like neither."""
+    turn = random.Random(3)
+
+    def bands(text):
+        parts = minhash.registers(minhash.shingle_set(text, {})).reshape(minhash.BANDS, minhash.ROWS)
+        return {(i, bytes(p)) for i, p in enumerate(parts) if p.any()}
+
+    while True:
+        words = [f"w{turn.randrange(10**6)}" for _ in range(8)]
+        one, two = " ".join(words), " ".join(words[:7])
+        if len(shared := bands(one) & bands(two)) == 1:
+            for start in range(3):
+                other = " ".join([*words[start : start + 5], *[f"v{turn.randrange(10**6)}" for _ in range(5)]])
+                if shared <= bands(other):
+                    return [other, one, two]
+
+
+def test_near_duplicates_that_share_one_band_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", 2)
+    texts = one_band_texts()
+    _, label = brute_groups(texts)
+    assert label == [0, 1, 1]
+    rows = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(3)] == label
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, ["x"]).limit(0)).count() == 0
     nameless = spark.createDataFrame([(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, None)], "doc_id long, text string")
