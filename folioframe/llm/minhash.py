@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import batches, cut, discard, worker_keep
@@ -27,6 +27,10 @@ SHINGLE = 5
 SHARE = 75
 # Rows of a block: larger buckets are joined in pairs of hashed blocks, so no task holds more than two of them.
 LARGE_BUCKET = 4096
+# Shingles of a block (8 bytes each) where rows bring their full sets.
+LARGE_SETS = 4_000_000
+# Parts of a block are counted in whole numbers, so that a sum is the same each time.
+WHOLE = 10**9
 # Up to so many ids (8 bytes each) the texts of candidates are found by a broadcast, beyond by a shuffle.
 BROADCAST_IDS = 500_000
 # How far below the threshold a sketch may estimate, in standard errors.
@@ -297,16 +301,36 @@ def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("bucket", "node", F.coalesce("label", "node").alias("label"), "band")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, share: Column) -> DataFrame:
     """The rows of buckets that hold several labels, with their block, once for each pair of blocks (one <= two) they are compared in.
 
-    A bucket of more than LARGE_BUCKET rows is cut into hashed blocks and every
-    block meets every other and itself, so each pair of rows meets in one place.
+    `share` is the part of a block that a row fills. A bucket that fills more
+    than one is cut into hashed blocks and every block meets every other and
+    itself, so each pair of rows meets in one place. A label that fills more
+    than one has blocks of its own, which do not meet each other: a settled
+    group costs as much as the rows beside it, not the square of its size.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / LARGE_BUCKET).cast("int").alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most"))
-    mixed = rows.join(sizes.where("least < most").select("bucket", "blocks"), "bucket")
-    placed = mixed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cut(placed.withColumn("one", F.least("block", "partner")).withColumn("two", F.greatest("block", "partner")).drop("blocks", "partner"))
+    held = rows.withColumn("share", F.floor(share * WHOLE)).groupBy("bucket", "label").agg(F.sum("share").alias("share"))
+    sizes = held.groupBy("bucket").agg(F.sum("share").alias("filled"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    mixed = cut(rows.join(sizes.select("bucket", "filled"), "bucket"))
+    whole = mixed.where(f"filled <= {WHOLE}").drop("filled").select("*", *[F.lit(0).alias(c) for c in ("block", "one", "two")])
+    large = mixed.where(f"filled > {WHOLE}").drop("filled")
+    if large.isEmpty():
+        return whole
+    held = held.join(sizes.where(f"filled > {WHOLE}").select("bucket"), "bucket")
+    owners = held.groupBy("bucket", F.when(F.col("share") > WHOLE, F.col("label")).alias("owner")).agg(F.ceil(F.sum("share") / WHOLE).cast("int").alias("blocks"))
+    in_order = Window.partitionBy("bucket").orderBy("owner").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut(owners.withColumn("first", F.coalesce(F.sum("blocks").over(in_order), F.lit(0)).cast("int")))
+    totals = ranges.groupBy("bucket").agg(F.sum("blocks").cast("int").alias("total"))
+    own = ranges.where("owner is not null").select("bucket", F.col("owner").alias("label"), F.col("blocks").alias("own_blocks"), F.col("first").alias("own_first"))
+    common = ranges.where("owner is null").drop("owner").join(totals, "bucket", "right")
+    spread = large.join(own, ["bucket", "label"], "left").join(common, "bucket")
+    blocks, first = F.coalesce("own_blocks", "blocks"), F.coalesce("own_first", "first")
+    # Blocks of one label lie side by side, from `first` on.
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda x: F.col("own_blocks").isNull() | (x < first) | (x >= first + blocks))
+    placed = spread.withColumn("block", (first + F.pmod(F.xxhash64("node"), blocks)).cast("int")).withColumn("partner", F.explode(others))
+    placed = placed.withColumn("one", F.least("block", "partner")).withColumn("two", F.greatest("block", "partner"))
+    return whole.unionByName(placed.select(*whole.columns))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -341,16 +365,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = _linked(docs, cut(best.select(F.col("leader").alias("a"), F.col("node").alias("b"))), key, text)
     labels = connected_components(links)
     # Then each node with its likeliest partner in another component.
-    rest = shared.select("bucket", "node", "band")
-    likely = _within_buckets(_dealt(_labelled(rest, labels)).join(nodes, "node"), "sketch", _likeliest)
+    rest, by_rows = shared.select("bucket", "node", "band"), F.lit(1 / LARGE_BUCKET)
+    likely = _within_buckets(_dealt(_labelled(rest, labels), by_rows).join(nodes, "node"), "sketch", _likeliest)
     likely = likely.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
     pairs = cut(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = merged_components(labels, _linked(docs, pairs, key, text))
     # At last all pairs that are still plausible, inside their buckets: only nodes that have such a partner bring their sets there.
     rows = _labelled(rest, labels)
-    open_nodes = cut(_within_buckets(_dealt(rows).join(nodes, "node"), "sketch", _open_nodes).select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct())
+    open_nodes = cut(_within_buckets(_dealt(rows, by_rows).join(nodes, "node"), "sketch", _open_nodes).select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct())
     sets = _sets(docs, open_nodes.select("node"), key, text)
-    full = _dealt(rows.join(open_nodes, ["bucket", "node"])).join(nodes.select("node", "n"), "node").join(sets, "node")
+    full = _dealt(rows.join(open_nodes, ["bucket", "node"]).join(nodes.select("node", "n"), "node"), by_rows + F.col("n") / LARGE_SETS).join(sets, "node")
     links = cut(_within_buckets(full, "items", _links_inside).select("a", "b"))
     labels = merged_components(labels, links)
 

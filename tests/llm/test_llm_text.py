@@ -200,6 +200,29 @@ def test_near_duplicates_that_share_one_band_of_a_large_bucket(spark, monkeypatc
     assert [rows[i] for i in range(3)] == label
 
 
+def test_blocks_of_a_bucket_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", 20)
+    rows = [(bucket, i, 1 if bucket == 1 and i < 200 else i, 0, 10) for bucket in (1, 2) for i in range(300)]
+    rows += [(3, i, 5, 0, 10) for i in range(50)] + [(4, i, i, 0, 1000) for i in range(8)] + [(5, i, i, 0, 10) for i in range(3)]
+    shared = spark.createDataFrame(rows, "bucket long, node long, label long, band int, n long")
+    label = {(bucket, node): name for bucket, node, name, _, _ in rows}
+    places = {}
+    for r in minhash._dealt(shared, minhash.F.lit(1 / 20) + minhash.F.col("n") / 2000).collect():
+        places.setdefault((r.bucket, r.one, r.two), []).append(r)
+    met = []
+    for (bucket, one, two), group in places.items():
+        assert len(group) <= 80 and {r.block for r in group} <= {one, two}
+        met += [(bucket, *sorted((x.node, y.node))) for i, x in enumerate(group) for y in group[:i] if (one == two or x.block != y.block) and x.label != y.label]
+        if bucket == 1 and one != two and {r.block for r in group} == {one, two}:
+            assert len({r.label for r in group}) > 1  # the settled label never meets itself
+    assert len(met) == len(set(met))
+    nodes = {}
+    for bucket, node in label:
+        nodes.setdefault(bucket, []).append(node)
+    assert set(met) == {(b, x, y) for b, held in nodes.items() for x in held for y in held if x < y and label[b, x] != label[b, y]}
+    assert len({k for k in places if k[0] == 4}) > 1 and [k for k in places if k[0] == 5] == [(5, 0, 0)]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, ["x"]).limit(0)).count() == 0
     nameless = spark.createDataFrame([(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, None)], "doc_id long, text string")
