@@ -56,7 +56,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
     by_length: dict[int, np.ndarray] = {}
     chosen = [r.v for r in nodes.orderBy(F.xxhash64("node"), "node").limit(pivots_wanted).select("v").collect()]
     for length in {len(v) for v in chosen}:
-        by_length[length] = _unit([v for v in chosen if len(v) == length])
+        pivots = _unit([v for v in chosen if len(v) == length])
+        by_length[length] = pivots[np.unique(pivots.round(12), axis=0, return_index=True)[1]]  # one of each direction
 
     def assign(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -95,7 +96,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
     sizes = members.groupBy("length", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).alias("home_blocks"), F.ceil(F.sum((~F.col("home")).cast("int")) / BLOCK).alias("guest_blocks"),
     )
-    spread = members.join(sizes, ["length", "cell"])
+    # Guests of a cell without home rows have nobody to meet there; their own links count in their home cells.
+    spread = members.join(sizes.where("home_blocks > 0"), ["length", "cell"])
     block = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("home_blocks"))).otherwise(F.col("home_blocks") + F.pmod(F.xxhash64("node"), F.col("guest_blocks")))
     # A home block meets every block of its cell, a guest block the home blocks.
     partner = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("home_blocks") + F.col("guest_blocks")).otherwise(F.col("home_blocks")).cast("int") - 1))

@@ -56,6 +56,19 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_of_scaled_copies(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 20)
+    turn = np.random.default_rng(6)
+    one = turn.normal(size=5)
+    points = [*turn.normal(size=(120, 5)), *(one * 2.0**k for k in range(-40, 40))]
+    unit = np.array(points) / np.linalg.norm(points, axis=1)[:, None]
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in vectors.near_vectors(table).collect()}
+    assert [found[i] for i in range(len(points))] == hit.sum(1).tolist()
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 400)] + [(5, 5), (300, 150), (1, 2), (2, 1), (1, 2)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
