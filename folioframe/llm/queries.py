@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import bitpack, bpe, chat, hosts, langid, linededup, minhash, packing, topk, vectors
+from folioframe.llm import bitpack, bpe, chat, hosts, langid, licences, linededup, merkle, minhash, negatives, packing, topk, vectors
 from folioframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,88 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return minhash.near_duplicates(read(spark, folder, "documents"))
+
+
+@query
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents, and the root that follows when a fifth of them are tampered with."""
+    return merkle.check_documents(read(spark, folder, "documents"))
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The manifest with `levels` levels in each tree, enough for 16 ** levels rows of a source; a tree that is done passes its root on."""
+
+    def tree(name: str, rows: str) -> str:
+        """Levels name0.. of `rows` (tree, number, h): nodes of each level with those of their run (`kids`)."""
+        steps = [f"{name}0 AS ({rows})"]
+        for n in range(levels):
+            steps.append(f"{name}k{n} AS (SELECT tree, number // 16 AS run, list(h ORDER BY number) AS kids, max(many) AS many FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS many FROM {name}{n}) GROUP BY ALL)")
+            steps.append(f"{name}{n + 1} AS (SELECT tree, run AS number, CASE WHEN many = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS h FROM {name}k{n})")
+        return ",\n".join(steps)
+
+    def climb(name: str, start: str) -> str:
+        """Rows of `start` (doc_id, leaf, tree, number, now, proof) taken up to the root."""
+        steps = [f"{name}c0 AS ({start})"]
+        for n in range(levels):
+            steps.append(f"""{name}c{n + 1} AS (SELECT * EXCLUDE (number, now, proof, run, kids, many), number // 16 AS number,
+  CASE WHEN many = 1 THEN now ELSE sha256(array_to_string(kids[:number % 16] || [now] || kids[number % 16 + 2:], '')) END AS now,
+  proof || CASE WHEN many = 1 THEN '' ELSE array_to_string(kids[:number % 16] || kids[number % 16 + 2:], '') END AS proof
+  FROM {name}c{n} JOIN {name}k{n} k USING (tree) WHERE k.run = number // 16)""")
+        return ",\n".join(steps)
+
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    row = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    half = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, x: {half}) AS c FROM range(256) r(i))),
+rows AS (SELECT doc_id, {row('text')} AS leaf, {row(low)} AS low, coalesce('=' || source, '') AS tree,
+  xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc),
+placed AS (SELECT doc_id, leaf, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS number, CASE WHEN crc % 5 = 0 THEN low ELSE leaf END AS now FROM rows),
+{tree('a', 'SELECT tree, number, leaf AS h FROM placed')},
+{tree('b', f"SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS number, h FROM a{levels}")},
+subroots AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS number, h FROM a{levels}),
+{climb('a', "SELECT doc_id, leaf, tree, number, now, '' AS proof FROM placed")},
+{climb('b', f"SELECT doc_id, leaf, h AS subroot, '' AS tree, s.number, now, proof FROM ac{levels} JOIN subroots s USING (tree)")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = h AS verified FROM bc{levels}, (SELECT h FROM b{levels})
+"""
+
+
+ORACLES["op11_merkle"] = _merkle_sql()
+
+
+@query
+def op12_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and template spans of every document; the score is 1 with a phrase, else the share of a template that is covered."""
+    found = licences.scan(read(spark, folder, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.transform("places", lambda p: p["label"])
+    own = F.transform("spans", lambda s: s["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.col("best")).alias("score"),
+    )
+
+
+@query
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the labels of every seventh are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, folder, "embeddings"), label=label)
+
+
+ORACLES["op13_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
