@@ -1,27 +1,49 @@
-"""The one scalar Python function of the package: the sequence-matcher ratio.
+"""The scalar Python functions of the package: the sequence-matcher ratio and a bound on it.
 
-It runs in Arrow batches and only on candidate pairs that survived the joins
-and the character bound in `operators.linkage`.
+They run in Arrow batches and only on candidate pairs that survived the signature
+join and the character bound in `operators.linkage`.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from folioframe.functions.text import let
 
 
-@F.pandas_udf(DoubleType())
-def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
-        for a, b in zip(left, right)
-    ], dtype="float64")
+@lru_cache(maxsize=20_000)
+def _places(text: str) -> dict[str, int]:
+    """Per character the set of its places in the text, as bits."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(text):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence; one step on whole bit sets for each character of `b`."""
+    places, every = _places(a), (1 << len(a)) - 1
+    unmatched = every
+    for c in b:
+        if hit := unmatched & places.get(c, 0):
+            unmatched = ((unmatched + hit) | (unmatched - hit)) & every
+    return len(a) - unmatched.bit_count()
+
+
+def may_reach(left: str, right: str, least: float) -> Column:
+    """False where the longest common subsequence rules the ratio out: matching blocks form such a subsequence."""
+
+    @F.pandas_udf(BooleanType())
+    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([2 * common_length(x, y) >= (least - 1e-12) * (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return reaches.asNondeterministic()(left, right)
 
 
 def sequence_ratio(left: str, right: str) -> Column:
@@ -30,7 +52,12 @@ def sequence_ratio(left: str, right: str) -> Column:
     Declared non-deterministic only so that the optimizer neither moves it ahead
     of a `distinct` nor runs it twice.
     """
-    return _sequence_ratio.asNondeterministic()(left, right)
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio.asNondeterministic()(left, right)
 
 
 HISTOGRAM_SLOTS = 32
@@ -38,16 +65,7 @@ HISTOGRAM_SLOTS = 32
 
 def character_histogram(c: Column) -> Column:
     """How often each of 32 character classes (code point modulo 32) occurs; made once per title."""
-    codes = F.transform(F.split(c, "(?!^)(?!$)"), lambda ch: F.ascii(ch) % HISTOGRAM_SLOTS)
+    codes = F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1), lambda ch: F.ascii(ch) % HISTOGRAM_SLOTS)
     return let(codes, lambda xs: F.transform(
         F.sequence(F.lit(0), F.lit(HISTOGRAM_SLOTS - 1)), lambda slot: F.size(F.filter(xs, lambda x: x == slot))
     ))
-
-
-def may_reach(left: Column, right: Column, total: Column, threshold: float) -> Column:
-    """False when even matching every shared character of both histograms could not give the ratio.
-
-    `total` is the sum of both lengths. Written out so that it compiles into the join.
-    """
-    shared = sum((F.least(left[i], right[i]) for i in range(1, HISTOGRAM_SLOTS)), F.least(left[0], right[0]))
-    return 2.0 * shared >= total * (threshold - 1e-12)

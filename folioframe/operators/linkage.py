@@ -7,13 +7,14 @@ reaches the threshold, without comparing all pairs. See `similar_titles`.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import identifiers
 from folioframe.functions.people import family_of
-from folioframe.functions.similarity import character_histogram, may_reach, sequence_ratio
+from folioframe.functions.similarity import HISTOGRAM_SLOTS, character_histogram, may_reach, sequence_ratio
 from folioframe.functions.text import content_words, has_cjk, let, null_if_blank, squashed_title, title_key
 from folioframe.operators.scale import first_per_key, top_per_key
 from folioframe.session import cut
@@ -21,104 +22,113 @@ from folioframe.session import cut
 # Thresholds and weights.
 DUPLICATE_RATIO, MATCH_RATIO = 0.92, 0.85
 JACCARD_FLOOR, JACCARD_WITH_AUTHORS, JACCARD_ALONE = 0.5, 0.6, 0.9
-GRAM = 3
 FREQUENCY_SLOTS = 1 << 16
 TOP_CANDIDATES = 18
 
 
-def _grams(c: Column, q: int) -> Column:
-    """(gram, n-th occurrence) tokens of a string, so that shared tokens count multiplicity."""
-    count = F.greatest(F.length(c) - (q - 1), F.lit(0))
-    grams = F.transform(
-        F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(c, i, F.lit(q)),
-    )
-    return let(F.sort_array(grams), lambda ordered: F.transform(
-        ordered, lambda g, i: F.concat(g, F.lit("\u0001"), (i - F.array_position(ordered, g)).cast("string"))
-    ))
-
-
-def _short_limit(threshold: float) -> int:
-    """Below this length a match may share no 3-gram; such titles use single characters."""
-    n = 1
-    while (n - GRAM + 1) - GRAM * n * (2 - 2 * threshold) / (2 - threshold) < 1:
-        n += 1
-    return n
+# Positions in a bucket of the signature join.
+POSITIONS = 16
+# A character class is counted up to this far in the code that bounds shared characters.
+COUNTED = 16
 
 
-def _length_band(length: Column, threshold: float) -> Column:
-    """Geometric length bands: a match lies in the same or a neighbouring band."""
-    step = math.log((2 - threshold) / threshold) * 1.000001
-    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(step))
+def _allowed(total: Column, threshold: float) -> Column:
+    """Characters a match may leave unmatched in both titles together."""
+    return F.floor(total * (1 - threshold) + 1e-9).cast("int")
 
 
-def _prefix_tokens(titles: DataFrame, frequency: DataFrame, q: int, threshold: float) -> DataFrame:
-    """The rarest tokens of each title, as many as a match cannot avoid all of.
+def _sized(titles: DataFrame, threshold: float) -> DataFrame:
+    """Numbered titles: key, id, len and four codes.
 
-    A match shares at least `alpha` tokens, so among the n - alpha + 1 tokens that
-    come first in one common order both titles hold a shared one.
+    A code sets one bit for each occurrence of a character class (up to `COUNTED`),
+    so titles differ in at least as many characters as their codes in bits.
     """
-    unmatched = F.col("_len") * (2 - 2 * threshold) / (2 - threshold)
-    n_tokens = F.col("_len") - (q - 1)
-    alpha = F.ceil(n_tokens - q * unmatched - 1e-9)
-    keep = n_tokens - F.greatest(alpha, F.lit(1)) + 1
-    slot = F.pmod(F.xxhash64("_token"), F.lit(FREQUENCY_SLOTS)).cast("int")
-    tokens = titles.select("key", "_len", keep.cast("int").alias("_keep"), F.explode(_grams(F.col("key"), q)).alias("_token"))
-    # The frequency table has at most FREQUENCY_SLOTS rows, so it can be broadcast.
-    tokens = tokens.withColumn("_slot", slot).join(F.broadcast(frequency), "_slot", "left")
-    listed = tokens.groupBy("key", "_len", "_keep").agg(
-        F.sort_array(F.collect_list(F.struct("_freq", "_token"))).alias("_t")
-    )
-    shaped = listed.withColumn("_hist", character_histogram(F.col("key")))
-    return shaped.select("key", "_len", "_hist", F.explode(F.slice(F.col("_t"), F.lit(1), F.col("_keep"))).alias("_p")).select(
-        "key", "_len", "_hist", F.col("_p._token").alias("_token")
-    )
-
-
-def _frequency(titles: DataFrame, q: int) -> DataFrame:
-    token = F.explode(_grams(F.col("key"), q))
-    return titles.select(token.alias("_token")).groupBy(
-        F.pmod(F.xxhash64("_token"), F.lit(FREQUENCY_SLOTS)).cast("int").alias("_slot")
-    ).agg(F.count(F.lit(1)).alias("_freq"))
+    per_long = 64 // COUNTED
+    counts = character_histogram(F.col("key"))
+    codes = let(counts, lambda h: F.array(*[
+        reduce(lambda x, y: x.bitwiseOR(y), [
+            F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(h[n + i], F.lit(COUNTED))) - 1, F.lit(COUNTED * i)) for i in range(per_long)
+        ]) for n in range(0, HISTOGRAM_SLOTS, per_long)
+    ]))
+    coded = titles.select("key", F.length("key").alias("len"), codes.alias("_codes")).filter("len > 0")
+    return cut(coded.select("key", "len", *[F.col("_codes")[n].alias(f"c{n}") for n in range(HISTOGRAM_SLOTS // per_long)], F.monotonically_increasing_id().alias("id")))
+
+
+def _segments(titles: DataFrame, threshold: float) -> DataFrame:
+    """The signatures of the shorter title of a pair: every piece of an even partition, posted where a partner may hold it.
+
+    A title of n characters is cut into one piece more than the characters that
+    it and its longest partner may leave unmatched, so at least one piece is whole.
+    """
+    n = F.col("len")
+    longest = F.floor(n * ((2 - threshold) / threshold) + 1e-9)
+    cut_up = titles.withColumn("most", _allowed(n + longest, threshold)).withColumn("nr", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    place = lambda i: F.floor(i * n / (F.col("most") + 1)).cast("int")
+    pieces = cut_up.withColumn("start", place(F.col("nr"))).withColumn("_size", place(F.col("nr") + 1) - F.col("start"))
+    first = F.greatest(F.lit(0), F.col("start") - F.least("nr", F.col("most") - F.col("nr")))
+    bucket = F.explode(F.sequence(F.floor(first / POSITIONS), F.floor((F.col("start") + F.col("nr")) / POSITIONS)))
+    return pieces.withColumn("piece", F.substring(F.col("key"), F.col("start") + 1, F.col("_size"))).withColumn("bucket", bucket)
+
+
+def _windows(titles: DataFrame, threshold: float) -> DataFrame:
+    """The signatures of the longer title: its substrings of all sizes that pieces of its partners have."""
+    slope = 2 * (1 - threshold) / threshold  # pieces for each character, about
+    shortest = F.ceil(F.col("len") * (threshold / (2 - threshold)) - 1e-9)
+    least = F.greatest(F.lit(1), F.floor(shortest / (shortest * slope + 1) - 1e-6)).cast("int")
+    sizes = titles.withColumn("_size", F.explode(F.sequence(least, F.greatest(least, F.lit(math.ceil(1 / slope))))))
+    placed = sizes.filter("_size <= len").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("_size"))))
+    return placed.withColumn("piece", F.substring(F.col("key"), F.col("at") + 1, F.col("_size"))).withColumn("bucket", F.floor(F.col("at") / POSITIONS))
+
+
+def _signature_pairs(shorter: DataFrame, longer: DataFrame, threshold: float, order: Column) -> DataFrame:
+    """(short id, long id) of titles that may match; `order` says which of two is the shorter one."""
+    codes = [c for c in shorter.columns if c[0] == "c"]
+    s = _segments(shorter, threshold).select("piece", "bucket", F.col("id").alias("s_id"), F.col("len").alias("s_len"), "nr", "start", *[F.col(c).alias(f"s_{c}") for c in codes])
+    r = _windows(longer, threshold).select("piece", "bucket", F.col("id").alias("l_id"), F.col("len").alias("l_len"), "at", *[F.col(c).alias(f"l_{c}") for c in codes])
+    total = F.col("s_len") + F.col("l_len")
+    allowed = _allowed(total, threshold)
+    longer_by, shift = F.col("l_len") - F.col("s_len"), F.col("at") - F.col("start")
+    # The first whole piece with `nr` or fewer unmatched characters in front has the rest of them behind it.
+    behind = allowed - F.col("nr")
+    in_window = (behind >= 0) & (shift >= F.greatest(-F.col("nr"), longer_by - behind)) & (shift <= F.least(F.col("nr"), longer_by + behind))
+    differ = sum((F.bit_count(F.col(f"s_{c}").bitwiseXOR(F.col(f"l_{c}"))) for c in codes[1:]), F.bit_count(F.col(f"s_{codes[0]}").bitwiseXOR(F.col(f"l_{codes[0]}"))))
+    # Sizes are estimated before rows are multiplied: without the hint a whole side could be broadcast.
+    return s.hint("merge").join(r, ["piece", "bucket"]).filter(order & (longer_by <= allowed) & in_window & (differ <= allowed)).select("s_id", "l_id")
 
 
 def title_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Distinct (left_key, right_key) that may reach the threshold; no match is missed.
 
-    `left` and `right` have one column `key` of non-empty normalised titles, each
-    value once. Steps: rarest-first prefix tokens, an equi join on token and
-    length band, the length ratio and a character bound inside the join. Titles
-    too short for 3-grams, and partners they can reach, take the same path with
-    single characters. Valid for thresholds of 0.8 and above.
+    `left` and `right` have one column `key` of normalised titles, each value
+    once. A ratio of t leaves at most (1 - t) of both titles' characters
+    unmatched. The shorter title is cut into one piece more than that, so some
+    piece stands whole in the longer one, at a place that the characters in front of it
+    and behind it confine; pieces and substrings meet in an equi join on their
+    text and a bucket of positions. Place, lengths and counted characters are
+    checked inside the join, on numbers; titles themselves travel only with the
+    pairs that are left, and their longest common subsequence settles most of these.
     """
-    if threshold < 2 * (GRAM - 1) / (2 * GRAM - 1):
-        raise ValueError("the prefix rule is exact for thresholds of 0.8 and above only")
-    short = _short_limit(threshold)
-    reach = math.floor(short * (2 - threshold) / threshold)
-    # The length cap keeps a match of two long titles out of the short path.
-    parts = []
-    for q, low, high in ((GRAM, short, None), (1, 1, reach)):
-        def sized_part(df: DataFrame) -> DataFrame:
-            sized = df.select("key").withColumn("_len", F.length("key")).filter(F.col("_len") >= low)
-            return sized.filter(F.col("_len") <= high) if high else sized
-
-        a, b = sized_part(left), sized_part(right)
-        frequency = _frequency(a.unionByName(b), q)
-        pa, pb = _prefix_tokens(a, frequency, q, threshold), _prefix_tokens(b, frequency, q, threshold)
-        pa = pa.withColumn("_band", _length_band(F.col("_len"), threshold))
-        near = F.explode(F.array(*[_length_band(F.col("_len"), threshold) + d for d in (-1, 0, 1)]))
-        pb = pb.withColumn("_band", near)
-        pairs = pa.select(F.col("key").alias("left_key"), F.col("_len").alias("_la"), F.col("_hist").alias("_ha"), "_token", "_band").join(
-            pb.select(F.col("key").alias("right_key"), F.col("_len").alias("_lb"), F.col("_hist").alias("_hb"), "_token", "_band"),
-            ["_token", "_band"],
-        )
-        total = F.col("_la") + F.col("_lb")
-        pairs = pairs.filter(2.0 * F.least("_la", "_lb") >= total * (threshold - 1e-12))
-        pairs = pairs.filter(may_reach(F.col("_ha"), F.col("_hb"), total, threshold))
-        if q == 1:
-            pairs = pairs.filter(F.least("_la", "_lb") < short)
-        parts.append(pairs.select("left_key", "right_key"))
-    return parts[0].unionByName(parts[1]).distinct()
+    if not 2 / 3 < threshold < 1:
+        raise ValueError("the threshold must lie between two thirds and one")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = _sized(left, threshold)
+    b = a if left is right else _sized(right, threshold)
+
+    def with_keys(pairs: DataFrame) -> DataFrame:
+        dealt = pairs.repartition(tasks, "x", "y").distinct()
+        named = dealt.join(a.select(F.col("id").alias("x"), F.col("key").alias("left_key")), "x").join(b.select(F.col("id").alias("y"), F.col("key").alias("right_key")), "y")
+        # Dealt once more: joins on small tables may have gathered the pairs in few tasks.
+        return named.select("left_key", "right_key").repartition(tasks, "left_key", "right_key").filter(may_reach("left_key", "right_key", threshold))
+
+    if left is right:
+        pairs = _signature_pairs(a, a, threshold, F.expr("s_len < l_len or s_len = l_len and s_id < l_id")).select(F.col("s_id").alias("x"), F.col("l_id").alias("y"))
+        one = F.struct("left_key", "right_key")
+        other = F.struct(F.col("right_key").alias("left_key"), F.col("left_key").alias("right_key"))
+        both = with_keys(pairs).select(F.explode(F.array(one, other)).alias("p")).select("p.*")
+        return both.union(a.select(F.col("key").alias("left_key"), F.col("key").alias("right_key")))
+    up = _signature_pairs(a, b, threshold, F.expr("s_len <= l_len")).select(F.col("s_id").alias("x"), F.col("l_id").alias("y"))
+    down = _signature_pairs(b, a, threshold, F.expr("s_len < l_len")).select(F.col("l_id").alias("x"), F.col("s_id").alias("y"))
+    return with_keys(up.union(down))
 
 
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -349,6 +359,38 @@ def score_candidates(pairs: DataFrame, ratio: str = "ratio", bonus: str | None =
     return pairs.withColumn("score", score).withColumn("reasons", reasons)
 
 
+def candidate_pairs(entries: DataFrame, threshold: float = MATCH_RATIO) -> DataFrame:
+    """(l_id, c_id, ratio) of entries worth scoring against each other.
+
+    `entries` has entry_id, ord, title, doi, arxiv_id and isbn. A candidate is the
+    first entry (by ord) of a title that is similar to the entry's, or the first
+    with its DOI, arXiv id or ISBN. Copies never meet pair by pair. `ratio` is that
+    of the title keys, 0 where one is empty.
+    """
+    known = cut(entries.select(
+        "entry_id", "ord", title_key(F.col("title")).alias("_key"), identifiers.normalize_doi(F.col("doi")).alias("_doi"),
+        F.lower(null_if_blank(F.col("arxiv_id"))).alias("_arxiv"), identifiers.normalize_isbn(F.col("isbn")).alias("_isbn"),
+    ))
+
+    def first(key: str) -> DataFrame:
+        return known.filter(F.col(key) != "").groupBy(key).agg(F.min(F.struct("ord", "entry_id", "_key")).alias("_c"))
+
+    keys = known.filter("_key <> ''").select(F.col("_key").alias("key")).distinct()
+    near = title_candidates(keys, keys, threshold)
+    by_title = near.join(first("_key").select(F.col("_key").alias("right_key"), "_c"), "right_key")
+    by_title = known.join(by_title, F.col("_key") == F.col("left_key")).select("entry_id", "_key", "_c", F.lit(True).alias("_by_title"))
+    found = by_title
+    for name in ("_doi", "_arxiv", "_isbn"):
+        found = found.union(known.join(first(name), name).select("entry_id", known["_key"], "_c", F.lit(False)))
+    pairs = found.filter(F.col("entry_id") != F.col("_c.entry_id")).groupBy(
+        F.col("entry_id").alias("l_id"), F.col("_c.entry_id").alias("c_id"), F.col("_key").alias("_lk"), F.col("_c._key").alias("_ck")
+    ).agg(F.bool_and("_by_title").alias("_by_title"))
+    # Each pair of title keys is compared once, however many entries share them.
+    ratios = pairs.select("_lk", "_ck").distinct().filter("_lk <> '' and _ck <> ''").withColumn("ratio", sequence_ratio("_lk", "_ck"))
+    scored = pairs.join(ratios, ["_lk", "_ck"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    return scored.filter((F.col("ratio") >= threshold) | ~F.col("_by_title")).select("l_id", "c_id", "ratio")
+
+
 def candidate_key(doi: Column, isbn: Column, title: Column) -> Column:
     """Identity of a candidate: DOI, else ISBN, else the folded title."""
     return F.coalesce(
@@ -379,7 +421,8 @@ def near_part_groups(bases: DataFrame, threshold: float = MATCH_RATIO) -> DataFr
     `bases` has base and ord; every base gets the earliest base it matches.
     """
     keyed = cut(bases.groupBy(title_key(F.col("base")).alias("key")).agg(F.min(F.struct("ord", "base")).alias("_f")))
-    near = similar_titles(keyed.select("key"), keyed.select("key"), threshold)
+    keys = keyed.select("key")
+    near = similar_titles(keys, keys, threshold)
     home = near.join(keyed.select(F.col("key").alias("right_key"), "_f"), "right_key").groupBy("left_key").agg(F.min("_f").alias("_home"))
     return bases.withColumn("left_key", title_key(F.col("base"))).join(home, "left_key", "left").select(
         "base", "ord", F.coalesce("_home.base", "base").alias("group_base")

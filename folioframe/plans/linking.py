@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-
 from folioframe.operators import linkage, merge, rank, stats
+from folioframe.plans.ratio import key_of, may_match, ratios, squashed_of
 from folioframe.plans.registry import query
 from folioframe.plans.scalars import STOP, creators_of
 from folioframe.plans.views import Inputs
@@ -211,13 +210,31 @@ def dedupe_doi(t: Inputs) -> DataFrame:
     return linkage.find_duplicates(with_doi, with_doi, earlier_only=True)
 
 
-@query("dedupe_title")
+@query("dedupe_title", f"""
+WITH RECURSIVE e AS (SELECT entry_id, ord, doi, {key_of('title')} AS k FROM v_entries),
+f AS (SELECT doi, min(ord) AS o FROM e WHERE doi IS NOT NULL GROUP BY doi),
+byd AS (SELECT e.entry_id, f.o AS match_id FROM e JOIN f ON f.doi = e.doi AND f.o < e.ord),
+rest AS (SELECT * FROM e WHERE k <> '' AND entry_id NOT IN (SELECT entry_id FROM byd)),
+t AS (SELECT k, min(ord) AS o FROM e WHERE k <> '' GROUP BY k),
+eqt AS (SELECT r.entry_id, t.o AS match_id FROM rest r JOIN t ON t.k = r.k AND t.o < r.ord),
+op AS (SELECT * FROM rest WHERE entry_id NOT IN (SELECT entry_id FROM eqt)),
+{ratios("SELECT op.k AS a, t.k AS b FROM op JOIN t ON " + may_match(0.92, 'op.k', 't.k'))},
+fz AS (SELECT op.entry_id, max((ratio, -t.o)) AS best FROM op JOIN rt ON rt.a = op.k JOIN t ON t.k = rt.b WHERE ratio >= 0.92 AND t.o < op.ord GROUP BY op.entry_id)
+SELECT entry_id, match_id, 'doi' AS reason, 1.0::DOUBLE AS score FROM byd UNION ALL SELECT entry_id, match_id, 'title', 1.0 FROM eqt
+UNION ALL SELECT entry_id, -best[2], 'title', best[1] FROM fz""")
 def dedupe_title(t: Inputs) -> DataFrame:
     """Every entry against all earlier ones, by DOI and by similar title."""
     return linkage.find_duplicates(t.v_entries, t.v_entries, earlier_only=True)
 
 
-@query("registry_match")
+@query("registry_match", f"""
+WITH RECURSIVE q AS (SELECT doc_id AS query_id, {squashed_of("topic || '：' || p1")} AS k FROM v_cn),
+r AS (SELECT * FROM (SELECT 0 AS tier, doc_id AS ord, {squashed_of("topic || p1 || '的研究'")} AS k FROM v_cn WHERE length(topic || p1 || '的研究') % 2 = 0
+  UNION ALL SELECT 1, doc_id, {squashed_of('topic')} FROM v_cn) s WHERE k <> ''),
+f AS (SELECT k, min((tier, ord)) AS r FROM r GROUP BY k), qk AS (SELECT DISTINCT k FROM q WHERE k <> ''),
+{ratios("SELECT qk.k AS a, f.k AS b FROM qk, f WHERE " + may_match(0.85, 'qk.k', 'f.k') + " OR contains(qk.k, f.k) OR contains(f.k, qk.k)")},
+best AS (SELECT a, max((-f.r[1], ratio, -f.r[2])) AS m FROM rt JOIN f ON f.k = rt.b WHERE ratio >= 0.85 OR contains(a, b) OR contains(b, a) GROUP BY a)
+SELECT query_id, -m[3] AS record_id, m[2] AS score, CASE m[1] WHEN 0 THEN 'precise' ELSE 'fallback' END AS tier FROM q JOIN best ON best.a = q.k""")
 def registry_match(t: Inputs) -> DataFrame:
     """Chinese titles against two registries, the second for what the first leaves open."""
     queries = t.v_cn.select(F.col("doc_id").alias("query_id"), F.concat("topic", F.lit("："), "p1").alias("title"))
@@ -242,34 +259,35 @@ def jaccard_match(t: Inputs) -> DataFrame:
     return linkage.jaccard_matches(queries, registry)
 
 
-PAIRS = """
-pr AS (SELECT a.entry_id AS a_id, b.entry_id AS b_id, a.doi AS ad, b.doi AS bd, a.arxiv_id AS ax, b.arxiv_id AS bx, a.isbn AS ai, b.isbn AS bi, a.year AS ay, b.year AS by_, a.item_type AS at_, b.item_type AS bt, [lower(a.family), lower(a.given)] AS af, [lower(b.family), lower(b.given)] AS bf, ((length(a.title) * 7 + b.entry_id) % 100) / 100.0 AS ratio FROM (SELECT e.entry_id AS l_id, f.c_id FROM v_entries e JOIN (SELECT doi, arg_min(entry_id, ord) AS c_id FROM v_entries WHERE doi IS NOT NULL GROUP BY 1) f USING (doi) WHERE e.entry_id <> f.c_id UNION SELECT e.entry_id, f.c_id FROM v_entries e JOIN (SELECT lower(title) AS k, arg_min(entry_id, ord) AS c_id FROM v_entries GROUP BY 1) f ON lower(e.title) = f.k WHERE e.entry_id <> f.c_id) w JOIN v_entries a ON a.entry_id = w.l_id JOIN v_entries b ON b.entry_id = w.c_id),
-sc AS (SELECT *, least(1.0, ratio * 0.58 + CASE WHEN ad = bd THEN 0.35 ELSE 0 END + CASE WHEN ax = bx THEN 0.35 ELSE 0 END + CASE WHEN ai = bi THEN 0.35 ELSE 0 END + CASE WHEN ay = by_ THEN 0.06 ELSE 0 END + least(0.12, 0.05 * len(list_intersect(list_distinct(af), list_distinct(bf)))) + CASE WHEN at_ = 'book' AND bt = 'book' THEN 0.05 ELSE 0 END)::DOUBLE AS score FROM pr)"""
+SCORED = f"""
+e AS (SELECT entry_id, ord, doi, arxiv_id, isbn, year, item_type, {key_of('title')} AS k, [lower(family), lower(given)] AS names FROM v_entries),
+t AS (SELECT k, min((ord, entry_id)) AS c FROM e WHERE k <> '' GROUP BY k),
+same AS (SELECT e.entry_id AS l, c[2] AS c FROM e JOIN (SELECT doi, min((ord, entry_id)) AS c FROM e WHERE doi <> '' GROUP BY doi) USING (doi)
+  UNION SELECT e.entry_id, c[2] FROM e JOIN (SELECT arxiv_id, min((ord, entry_id)) AS c FROM e WHERE arxiv_id <> '' GROUP BY arxiv_id) USING (arxiv_id)
+  UNION SELECT e.entry_id, c[2] FROM e JOIN (SELECT isbn, min((ord, entry_id)) AS c FROM e WHERE isbn <> '' GROUP BY isbn) USING (isbn)),
+{ratios("SELECT x.k AS a, y.k AS b FROM t x JOIN t y ON " + may_match(0.85, 'x.k', 'y.k') + " UNION ALL SELECT x.k, y.k FROM same JOIN e x ON x.entry_id = l JOIN e y ON y.entry_id = c WHERE x.k <> '' AND y.k <> ''")},
+w AS (SELECT l, c FROM same UNION SELECT e.entry_id, t.c[2] FROM e JOIN rt ON rt.a = e.k JOIN t ON t.k = rt.b WHERE ratio >= 0.85),
+pr AS (SELECT x.entry_id AS l_id, y.entry_id AS c_id, coalesce(ratio, 0) AS ratio, x.doi = y.doi AS sd, lower(x.arxiv_id) = lower(y.arxiv_id) AS sx, x.isbn = y.isbn AS si, x.year = y.year AS sy, x.item_type = 'book' AND y.item_type = 'book' AS st,
+  len(list_intersect(list_distinct(x.names), list_distinct(y.names))) AS shared FROM w JOIN e x ON x.entry_id = l JOIN e y ON y.entry_id = c LEFT JOIN rt ON rt.a = x.k AND rt.b = y.k WHERE l <> c),
+sc AS (SELECT *, least(1.0, ratio * 0.58 + CASE WHEN sd THEN 0.35 ELSE 0 END + CASE WHEN sx THEN 0.35 ELSE 0 END + CASE WHEN si THEN 0.35 ELSE 0 END + CASE WHEN sy THEN 0.06 ELSE 0 END + least(0.12, 0.05 * shared) + CASE WHEN st THEN 0.05 ELSE 0 END)::DOUBLE AS score FROM pr)"""
 
 
 def scored_pairs(t: Inputs) -> DataFrame:
     def side(p: str) -> DataFrame:
-        fold = lambda c: F.lower(c)
         return t.v_entries.select(
             F.col("entry_id").alias(f"{p}_id"), F.col("doi").alias(f"{p}_doi"), F.col("arxiv_id").alias(f"{p}_arxiv_id"),
             F.col("isbn").alias(f"{p}_isbn"), F.col("year").alias(f"{p}_year"), F.col("item_type").alias(f"{p}_item_type"),
-            F.array(fold("family"), fold("given")).alias(f"{p}_families"), F.col("title").alias(f"{p}_title"),
+            F.array(F.lower("family"), F.lower("given")).alias(f"{p}_families"),
         )
 
-    # Candidates: the first entry with the same DOI, and the first with the same title; copies never meet pair by pair.
-    entries = t.v_entries.select("entry_id", "ord", F.col("doi").alias("_doi"), F.lower("title").alias("_title"))
-    found = []
-    for key in ("_doi", "_title"):
-        first = entries.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("entry_id", "ord").alias("c_id"))
-        found.append(entries.join(first, key).filter("entry_id <> c_id").select(F.col("entry_id").alias("l_id"), "c_id"))
-    pairs = found[0].union(found[1]).distinct().join(side("l"), "l_id").join(side("c"), "c_id")
-    ratio = ((F.length("l_title") * 7 + F.col("c_id")) % 100) / F.lit(100.0)
-    return linkage.score_candidates(pairs.withColumn("ratio", ratio))
+    pairs = linkage.candidate_pairs(t.v_entries).join(side("l"), "l_id").join(side("c"), "c_id")
+    return linkage.score_candidates(pairs)
 
 
 @query("score_candidates", f"""
-WITH {PAIRS} SELECT a_id AS l_id, b_id AS c_id, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN ratio >= 0.82 THEN 'title' END, CASE WHEN ad = bd THEN 'doi' END, CASE WHEN ax = bx THEN 'arxiv' END, CASE WHEN ai = bi THEN 'isbn' END, CASE WHEN ay = by_ THEN 'year' END, CASE WHEN len(list_intersect(list_distinct(af), list_distinct(bf))) > 0 THEN 'authors' END, CASE WHEN at_ = 'book' AND bt = 'book' THEN 'type' END], lambda x: x IS NOT NULL), '|') AS reasons FROM sc""")
+WITH RECURSIVE {SCORED} SELECT l_id, c_id, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN ratio >= 0.82 THEN 'title' END, CASE WHEN sd THEN 'doi' END, CASE WHEN sx THEN 'arxiv' END, CASE WHEN si THEN 'isbn' END, CASE WHEN sy THEN 'year' END, CASE WHEN shared > 0 THEN 'authors' END, CASE WHEN st THEN 'type' END], lambda x: x IS NOT NULL), '|') AS reasons FROM sc""")
 def score_candidates(t: Inputs) -> DataFrame:
+    """Every entry with the entries it may be the same as, and why."""
     return scored_pairs(t).select("l_id", "c_id", F.round("score", 6).alias("score"), F.array_join("reasons", "|").alias("reasons"))
 
 
@@ -288,7 +306,11 @@ def dedupe_candidates(t: Inputs) -> DataFrame:
     return linkage.dedupe_candidates(candidates).select("query_id", "seq", "source", "score", "rank")
 
 
-@query("near_part_groups")
+@query("near_part_groups", f"""
+WITH RECURSIVE t AS (SELECT {key_of('title')} AS k, min((ord, title)) AS f FROM v_entries GROUP BY 1),
+{ratios("SELECT x.k AS a, y.k AS b FROM t x JOIN t y ON " + may_match(0.85, 'x.k', 'y.k') + " WHERE x.k <> '' AND y.k <> ''")},
+home AS (SELECT a, min(f) AS f FROM rt JOIN t ON t.k = rt.b WHERE ratio >= 0.85 GROUP BY a)
+SELECT title AS base, ord, coalesce(f[2], title) AS group_base FROM v_entries LEFT JOIN home ON home.a = {key_of('title')}""")
 def near_part_groups(t: Inputs) -> DataFrame:
     """Base titles that belong to one multi-part work."""
     return linkage.near_part_groups(t.v_entries.select(F.col("title").alias("base"), "ord"))

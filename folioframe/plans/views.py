@@ -218,9 +218,9 @@ def oracle(sql: str) -> str:
     visit(sql)
     ctes = [f"{n} AS ({_REFERENCE.sub(lambda m: m.group(1), _duck_types(VIEWS[n].oracle))})" for n in order]
     sql = sql.strip()
-    if sql[:5].upper() == "WITH ":
-        ctes.append(sql[5:])
-        return "WITH " + ", ".join(ctes)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(head):
+            return head + ", ".join([*ctes, sql[len(head) :]])
     return ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql
 
 
