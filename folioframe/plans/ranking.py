@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import paths
-from folioframe.operators import rank
+from folioframe.operators import rank, search
 from folioframe.plans.registry import query
 from folioframe.plans.scalars import creators_of
 from folioframe.plans.views import Inputs
@@ -79,6 +79,20 @@ def search_entries(t: Inputs) -> DataFrame:
     return rank.search(t.v_entries, " Tion", haystacks).select("entry_id", "title", "score")
 
 
+FIELDS = ("title", "publication_title", "doi", "arxiv_id", "authors", "folder", "keywords")
+
+
+@query("search_many", rf"""
+WITH q AS (SELECT DISTINCT lower(w) AS query FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM benchmark) WHERE w <> ''),
+e AS (SELECT entry_id, ord, title, [{', '.join(f"lower(coalesce({f}, ''))" for f in FIELDS)}] AS fields FROM v_entries),
+s AS (SELECT query, entry_id, len(list_filter(fields, lambda f: contains(f, query)))::INTEGER AS score, lower(title) AS t, ord FROM q, e)
+SELECT query AS query_id, entry_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, t, ord)::INTEGER AS rank FROM s WHERE score > 0 QUALIFY rank <= 20""")
+def search_many(t: Inputs) -> DataFrame:
+    """Every word of the benchmark searched for in the library; the 20 best entries of each."""
+    words = t.benchmark.select(F.explode(F.split("text", r"\s+")).alias("query")).filter("query <> ''").select(F.lower("query").alias("query")).distinct()
+    return search.search_table(t.v_entries, words.withColumn("query_id", F.col("query")), FIELDS)
+
+
 @query("main_file", r"""
 SELECT bundle, rel FROM (SELECT split_part(rel, '/', 1) AS bundle, rel, row_number() OVER (PARTITION BY split_part(rel, '/', 1) ORDER BY size % 10 = 0 DESC, length(rel) - length(replace(rel, '/', '')), size DESC, rel) AS r FROM v_paths) s WHERE r = 1""")
 def main_file(t: Inputs) -> DataFrame:
