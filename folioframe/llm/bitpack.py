@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.bpe import byte_letters
+from folioframe.llm.bpe import MARKS, Recent, byte_letters, is_word
 from folioframe.llm.common import batches, cut, worker_keep
-from folioframe.session import checkpoint_dir
+from folioframe.session import checkpoint_dir, hadoop_folder
 
 MAGIC = b"BITTOK01"
 BLOCK = 1 << 16
 FOOTER = 8
-# Text bytes that go into one shard, about.
-SHARD_BYTES = 64 << 20
+# Bytes of packed ids that go into one shard, about.
+SHARD_BYTES = 32 << 20
 
 # The split pattern of byte-level vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -55,30 +56,38 @@ class ByteEncoder:
     U+024F through the whole library.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._tokenize = self._library.model.tokenize
         self._letters = byte_letters()
         self._added = tuple(t.content for t in self._library.get_added_tokens_decoder().values())
-        self._pieces: dict[str, bytes] = {"": b""}
-        self._remember = remember
+        self._blank = self._letters[32]
+        self._pieces = Recent(remember)
 
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if piece.isascii() or max(piece) < "ɐ":
+        if (found := self._pieces.older(piece)) is not None:
+            return found
+        word = piece[1:] if piece[0] == " " else piece
+        if is_word(word):
+            plain = word if word.isascii() else "".join([self._letters[b] for b in word.encode()])
+            ids = [t.id for t in self._tokenize(plain if word is piece else self._blank + plain)]
+        elif len(word) > 1 and word[-1] in MARKS and is_word(word[:-1]):
+            found = (self._pieces.new.get(piece[:-1]) or self._piece(piece[:-1])) + self._piece(piece[-1])
+            self._pieces.keep(piece, found)
+            return found
+        elif piece.isascii() or max(piece) < "ɐ":
             letters, ids = self._letters, []
             for word in PATTERN.findall(piece):
                 ids += [t.id for t in self._tokenize("".join([letters[b] for b in word.encode()]))]
         else:
             ids = self._library.encode(piece, add_special_tokens=False).ids
-        found = np.array(ids, "<u4").tobytes()
+        found = array("I", ids).tobytes()
         if len(piece) <= 48:
-            if len(self._pieces) >= self._remember:
-                self._pieces.clear()
-            self._pieces[piece] = found
+            self._pieces.keep(piece, found)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -89,7 +98,7 @@ class ByteEncoder:
             pieces = PATTERN.findall(text) if text.isascii() or max(text) < "ɐ" else [text]
         else:
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        get, piece = self._pieces.get, self._piece
+        get, piece = self._pieces.new.get, self._piece
         return b"".join([get(p) or piece(p) for p in pieces])
 
 
@@ -208,33 +217,41 @@ def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], vocabulary: int, end_id: int, target: str,
-                 shards: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+                 key: str = "doc_id", text: str = "text", block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all documents in ascending key order; returns (shard, path, ids, documents), one row for each file.
 
-    Rows are dealt by ranges of the key and sorted within; a null text is empty;
-    `end_id` ends every document. Each task encodes its range and writes one file
-    under a name of its own attempt, then moves it to its final name, so that a
-    task that runs again replaces its file whole. Rows with a null key come
-    first. Rows that share a key stand together, ordered by a hash of the text. `target` is a folder that all
-    executors share.
+    Texts are read once: the scan's own tasks encode them and write key and
+    packed ids. These rows, a fraction of the text, give the number of shards and are dealt by
+    ranges of the key and sorted within; each task writes one file under a name of its own attempt, then moves
+    it to its final name, so that a task that runs again replaces its file whole.
+    A null text is empty; `end_id` ends every document. Rows with a null key come
+    first. Rows that share a key stand together, ordered by a hash of their ids.
+    `target` is a folder that all executors share.
     """
     width = bits_for(max(vocabulary, end_id + 1))
 
-    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_keep(("bit pack", name), encoder)
+        end = end_id.to_bytes(4, "little")
+        for batch in rows:
+            ids = [np.frombuffer((encode(t) if t else b"") + end, "<u4") for t in batch.column(1).to_pylist()]
+            if any(int(i.max()) >> width for i in ids):
+                raise ValueError("an id does not fit into the width")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([pack_bits(i, width) for i in ids], pa.binary())], ["id", "count", "packed"])
+
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         writer = handle = None
         documents = 0
         for batch in rows:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, count, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     files, folder = _place(target)
                     files.create_dir(folder, recursive=True)
                     draft, final = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/shard-{shard:07d}.bin"
                     handle = files.open_output_stream(draft)
                     writer = ShardWriter(handle, width, block)
-                ids = np.append(np.frombuffer(encode(t) if t else b"", "<u4"), np.uint32(end_id))
-                writer.add(k, ids)
+                writer.add(k, unpack_bits(packed, width, count))
                 documents += 1
         if writer is not None:
             writer.close()
@@ -245,7 +262,10 @@ def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
 
     name = encoder.__qualname__ + repr([c.cell_contents for c in encoder.__closure__ or ()])
     inner = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    dealt = inner.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    packed = cut(batches(inner, encoded, "id long, count long, packed binary").withColumn("tie", F.xxhash64("packed")))
+    total = packed.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    shards = max(1, -(-total * width // (8 * shard_bytes)))
+    dealt = packed.repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie").select("id", "count", "packed")
     return cut(batches(dealt, work, "shard long, path string, ids long, documents long"))
 
 
@@ -277,18 +297,14 @@ def read_shards(files: DataFrame) -> DataFrame:
     return batches(spread, work, "id long, start long, ids binary")
 
 
-def shards_for(docs: DataFrame, text: str = "text") -> int:
-    """Files for a table: one for each SHARD_BYTES of text."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    return max(1, -(-total // SHARD_BYTES))
-
-
 def write_and_read(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 2) -> DataFrame:
     """Write documents with the ids of a byte-level tokenizer file under the shared folder, and read them back: doc_id, start, ids."""
     target = f"{checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     target = target if "://" in target else "file://" + target
+    folder, files = hadoop_folder(docs.sparkSession, target)
+    files.deleteOnExit(folder)
 
     def make() -> Callable[[str], bytes]:
         return ByteEncoder(tokenizer).encode
 
-    return read_shards(write_shards(docs, make, vocabulary, end_id, target, shards_for(docs))).withColumnRenamed("id", "doc_id")
+    return read_shards(write_shards(docs, make, vocabulary, end_id, target)).withColumnRenamed("id", "doc_id")

@@ -117,7 +117,8 @@ class PrefixBpe:
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word (one piece of the pre-tokenizer)."""
         letters = self._letters
-        text = "".join([letters[b] for b in word.encode()]) + (WORD_END if self.suffix else "")
+        plain = word.isascii() and word.isalnum()  # printable ASCII stands for itself
+        text = (word if plain else "".join([letters[b] for b in word.encode()])) + (WORD_END if self.suffix else "")
         last: list[int | None] = [None] * (len(text) + 1)
         back = [0] * (len(text) + 1)
         known = self._fits
@@ -168,46 +169,73 @@ class WordSplitter:
         return [bytes([self._bytes[c] for c in piece]).decode() for piece, _ in pieces]
 
 
+# Marks that end a word and are a piece of the pattern on their own.
+MARKS = frozenset(".,;:!?")
+
+
+def is_word(text: str) -> bool:
+    """Whether a text of letters below U+0250 is one piece of the pattern."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250") and len(text) <= 40
+
+
+class Recent:
+    """A bounded memory in two generations: what is asked for again outlives what is not."""
+
+    def __init__(self, most: int):
+        self._half = max(1, most // 2)
+        self.new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def older(self, key: str) -> bytes | None:
+        """What is not in `new`, brought forward."""
+        if (found := self.new.get(key)) is None and (found := self._old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self._half:
+            self._old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class TextEncoder:
     """Ids of whole texts for a vocabulary that drops white space; chunks between white space are remembered up to a bound.
 
     `encode_word` turns one piece of the pre-tokenizer into ids.
     """
 
-    def __init__(self, path: str, encode_word: Callable[[str], list[int]], added: dict[str, int], remember: int = 300_000):
-        self._encode_word, self._added, self._remember = encode_word, added, remember
+    def __init__(self, path: str, encode_word: Callable[[str], list[int]], added: dict[str, int], remember: int = 600_000):
+        self._encode_word, self._added = encode_word, added
         self._splitter = WordSplitter(path)
         self._at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self._chunks: dict[str, bytes] = {}
-        self._words: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        if (ids := self._words.get(word)) is None:
-            ids = self._encode_word(word)
-            if len(word) <= 48:
-                if len(self._words) >= self._remember:
-                    self._words.clear()
-                self._words[word] = ids
-        return ids
+        self._chunks = Recent(remember)
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for part in self._at_added.split(chunk) if self._at_added and "<" in chunk else (chunk,):
-            if part in self._added:
-                ids.append(self._added[part])
-            elif part:
-                for word in self._splitter.words(part):
-                    ids += self._word(word)
+        if (found := self._chunks.older(chunk)) is not None:
+            return found
+        low = chunk.lower()
+        if is_word(low):
+            ids = self._encode_word(low)
+        elif len(chunk) > 1 and chunk[-1] in MARKS and is_word(low[:-1]):
+            found = (self._chunks.new.get(chunk[:-1]) or self._chunk(chunk[:-1])) + self._chunk(chunk[-1])
+            self._chunks.keep(chunk, found)
+            return found
+        else:
+            ids = []
+            for part in self._at_added.split(chunk) if self._at_added and "<" in chunk else (chunk,):
+                if part in self._added:
+                    ids.append(self._added[part])
+                elif part:
+                    for word in self._splitter.words(part):
+                        ids += self._encode_word(word)
         found = array("I", ids).tobytes()
         if len(chunk) <= 48:
-            if len(self._chunks) >= self._remember:
-                self._chunks.clear()
-            self._chunks[chunk] = found
+            self._chunks.keep(chunk, found)
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        get, chunk = self._chunks.get, self._chunk
+        get, chunk = self._chunks.new.get, self._chunk
         # The library's white space lacks U+001C to U+001F, which str.split takes for white space.
         pieces = BLANKS.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         return b"".join([get(c) or chunk(c) for c in pieces])
@@ -226,7 +254,12 @@ def library_encoder(path: str) -> TextEncoder:
     library = Tokenizer.from_file(path)
     tokenize, letters = library.model.tokenize, byte_letters()
     added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-    return TextEncoder(path, lambda word: [t.id for t in tokenize("".join([letters[b] for b in word.encode()]))], added)
+
+    def encode_word(word: str) -> list[int]:
+        # Printable ASCII stands for itself.
+        return [t.id for t in tokenize(word if word.isascii() and word.isalnum() else "".join([letters[b] for b in word.encode()]))]
+
+    return TextEncoder(path, encode_word, added)
 
 
 def decode(names: np.ndarray, ids: bytes) -> str:

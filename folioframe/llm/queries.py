@@ -96,9 +96,11 @@ def op7_bitpack(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_hosts(spark: SparkSession, folder: str) -> DataFrame:
-    """A verdict on every page url; a labelled page is good if its quality is 1 and it is not toxic."""
-    outcomes = read(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
-    return hosts.judge_urls(read(spark, folder, "pages"), outcomes)
+    """A verdict on every page url; a page is good if the document that its path numbers has quality 1 and is not toxic."""
+    pages, labels = read(spark, folder, "pages"), read(spark, folder, "labels")
+    numbered = pages.select("url", F.regexp_extract(hosts.path_of(F.col("url")), r"/([0-9]+)(?:[/.]|$)", 1).try_cast("long").alias("doc_id"))
+    outcomes = numbered.join(labels, "doc_id").select("url", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+    return hosts.judge_urls(pages, outcomes)
 
 
 ORACLES["op8_hosts"] = r"""
@@ -112,14 +114,13 @@ ruled AS (
   SELECT p.page_id, p.host, p.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS by_rule
   FROM parsed p LEFT JOIN rules r ON (p.host = r.name OR ends_with(p.host, '.' || r.name)) AND starts_with(p.path, r.prefix)
   GROUP BY p.page_id, p.host, p.path),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS name, try_cast(regexp_extract(path, '/([0-9]+)(?:[/.]|$)', 1) AS BIGINT) AS doc_id FROM parsed),
+ended AS (SELECT *, CASE WHEN regexp_matches(name, '^([0-9]+\.){3}[0-9]+$|^\[') THEN name WHEN regexp_matches(name, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(name, '((ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
+  ELSE regexp_extract(name, '([^.]*)$', 1) END AS suffix FROM named),
 seen AS (
-  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS g,
-    CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '(([^.]+\.)?(ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
-      ELSE regexp_extract(host, '(([^.]*\.)?[^.]*)$', 1) END AS domain,
-    CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN regexp_extract(host, '((ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
-      ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix
-  FROM parsed LEFT JOIN (SELECT doc_id AS page_id, CAST(quality = 1 AND toxic = 0 AS INT) AS good FROM labels) l USING (page_id)
-  GROUP BY host),
+  SELECT host, suffix, CASE WHEN length(name) > length(suffix) THEN string_split(left(name, length(name) - length(suffix) - 1), '.')[-1] || '.' || suffix ELSE name END AS domain, count(good) AS n, coalesce(sum(good), 0) AS g
+  FROM ended LEFT JOIN (SELECT doc_id, CAST(quality = 1 AND toxic = 0 AS INT) AS good FROM labels) l USING (doc_id)
+  GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(g) AS g, (sum(sum(g)) OVER () + 0.5e0) / (sum(sum(n)) OVER () + 1.0e0) AS m FROM seen GROUP BY suffix),
 sk AS (SELECT coalesce(greatest(0.001e0, least(0.999e0, CASE WHEN sum(n) > count(*) FILTER (n > 0)
     THEN (sum(n * (g / n - m) * (g / n - m) / (m * (1 - m))) FILTER (n > 0) - count(*) FILTER (n > 0)) / (sum(n) - count(*) FILTER (n > 0)) END)), 0.5e0) AS r FROM s0),

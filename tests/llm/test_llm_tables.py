@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import oracle
@@ -88,19 +89,38 @@ def test_components_grow_with_links(spark):
 def test_url_rules_and_odd_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x?q", "http://example.org/en/12#t", "https://example.org/en/2", "http://org", "http://x.com/fr/", "http://xcom/fr/", "http://x.com/de/1", "http://a.net/://b", "x\n://h\ny/p\nq?z", "http://a.co.uk/"]
     pages = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
-    none = spark.createDataFrame([], "page_id long, good int")
+    none = spark.createDataFrame([], "url string, good int")
     rows = {r.page_id: r for r in hosts.judge_urls(pages, none).collect()}
     assert [(rows[i].host, rows[i].path) for i in (0, 1, 2, 3, 6, 10, 11)] == [("", ""), ("", ""), ("", ""), ("a.example.org", "/es/x"), ("org", ""), ("a.net", "/://b"), ("h\ny", "/p\nq")]
     assert [rows[i].rule for i in range(len(urls))] == [None, None, None, "example.org/es/", "example.org/en/1", "org/", None, "com/fr/", None, "com/de/", None, None, None]
     assert [rows[i].verdict for i in (3, 4, 5, 7, 9)] == ["block", "block", "allow", "allow", "block"]
-    good = spark.createDataFrame([(10, 1)] * 40 + [(12, 0)] * 40 + [(6, None)], "page_id long, good int")
+    good = spark.createDataFrame([(urls[10], 1)] * 40 + [(urls[12], 0)] * 40 + [(urls[6], None), (None, None)], "url string, good int")
     rows = {r.page_id: r.verdict for r in hosts.judge_urls(pages, good).collect()}
     assert rows[10] == "allow" and rows[12] == "block"
     assert hosts.judge_urls(pages.limit(0), good).count() == 0
+    names = ["a.b.co.uk", "x@y.b.org:80", "10.0.0.1:8080", "[::1]:80", "localhost", "", "a.github.io", "co.uk", "deep.a.blog.example.ne.jp"]
+    table = spark.createDataFrame([(n,) for n in names], "host string").select(hosts.name_of(F.col("host")).alias("name"))
+    table = table.withColumn("suffix", hosts.suffix_of(F.col("name"), ["github.io", "blog.example.ne.jp"])).withColumn("domain", hosts.domain_of(F.col("name"), F.col("suffix")))
+    assert [tuple(r) for r in table.collect()] == [
+        ("a.b.co.uk", "co.uk", "b.co.uk"), ("y.b.org", "org", "b.org"), ("10.0.0.1",) * 3, ("[::1]",) * 3, ("localhost",) * 3, ("",) * 3,
+        ("a.github.io", "github.io", "a.github.io"), ("co.uk",) * 3, ("deep.a.blog.example.ne.jp", "blog.example.ne.jp", "a.blog.example.ne.jp"),
+    ]
     plan = hosts.judge_urls(pages, good)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_labels_belong_to_the_pages_of_their_documents(spark, tmp_path):
+    """The html holds the text of the document that the url numbers, so that document's label is the page's outcome."""
+    folder = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    numbered = [(p, int(p.url.split("?")[0].rsplit("/", 1)[1])) for p in pages if p.url and p.url.split("?")[0].rsplit("/", 1)[1].isdigit()]
+    # Forty letters of the text in a row, as markup and entities may break longer ones.
+    runs = [(p, n) for p, n in numbered if n in texts and len(texts[n]) > 200]
+    held = [any(texts[n][at : at + 40] in p.html for at in range(0, 160, 10)) for p, n in runs]
+    assert sum(held) > 0.9 * len(held) > 0
+
+
 @pytest.mark.parametrize("key", ["op1_topk", "op4_linededup", "op8_hosts"])
 def test_query_equals_its_sql(spark, key):
     folder = "/root/testdata/sf0.001"
