@@ -12,20 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import langid, linededup, minhash, packing
+from folioframe.llm.common import free_name
 from folioframe.llm.queries import WORD_BPE
 from folioframe.session import configure, cut
 
-# A language is rejected below this score; with two families of two languages a guess has 0.25.
-LEAST_SCORE = 0.3
 # Sites that make a line boilerplate.
 MIN_SITES = 10
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; a missing `lang` is filled in."""
-    judged = langid.identify(docs, langid.learn(docs), extra=tuple(docs.columns), into=("language found", "its score"))
-    known = judged.where((F.col("language found") != "und") & (F.col("its score") >= LEAST_SCORE))
-    return known.withColumn("lang", F.coalesce("lang", "language found")).select(*docs.columns)
+    found, score = free_name("language found", docs.columns), free_name("its score", docs.columns)
+    judged = langid.identify(docs, langid.learn(docs), extra=tuple(docs.columns), into=(found, score))
+    return judged.where(F.col(found) != "und").withColumn("lang", F.coalesce("lang", F.col(found))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     configure(spark)
-    groups = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.kept_documents(docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

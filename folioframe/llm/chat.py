@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.bpe import library_encoder
-from folioframe.llm.common import batches, worker_keep
+from folioframe.llm.common import batches, cut, numbered, worker_keep
 
 # A turn reads OPEN role BODY text CLOSE.
 OPEN, BODY, CLOSE = "<|turn|>", "<|says|>", "<|done|>"
 # Strings that must not come out of a text as they are: the template's own and the usual ones of chat models.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-# Turn numbers that one task formats together.
+# Turns that one task formats together.
 SEGMENT = 256
 
 _LONGEST = sorted(CONTROL, key=len, reverse=True)
@@ -79,24 +79,25 @@ def format_windows(turns: DataFrame, counter: Callable[[], Callable[[str], int]]
     inside texts are escaped, see `escape`. Conversations with a null id are
     taken as one. Repeated rows are turns like others; other columns are ignored.
 
-    Turns are dealt by conversation and by SEGMENT turn numbers, so a
-    conversation of any length is formatted by many tasks; a segment starts a
-    window of its own, with its system turn and history brought along.
+    Turns are numbered within their conversation and dealt by SEGMENT of them, so a
+    conversation of any length, gaps or repeats in its turn numbers, or with a null id is
+    formatted by many tasks; a segment starts a window of its own, with its
+    system turn and the last `history` turns in front of it brought along.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-                        F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(2**53))).cast("long").alias("segment"))
-    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("first"), F.min("segment").alias("least"), F.max("segment").alias("most"))
-    opening = first.where("least < most").select(F.col("conv_id").alias("conv"), "first", "least")
-    segments = rows.select("conv_id", "segment").distinct()
-    openings = segments.join(opening, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("segment") > F.col("least"))).select("conv_id", "first.turn", "first.role", "first.text", "segment", F.lit(0).alias("kind"))
-    last = F.pmod(F.col("turn"), F.lit(SEGMENT)) >= SEGMENT - history
-    before = rows.where(last).select(F.col("conv_id").alias("conv"), "turn", "role", "text", (F.col("segment") + 1).alias("next"))
-    earlier = before.join(segments, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("next") == F.col("segment"))).select("conv_id", "turn", "role", "text", "segment", F.lit(1).alias("kind"))
-    everything = rows.select("conv_id", "turn", "role", "text", "segment", F.lit(2).alias("kind")).union(openings).union(earlier)
+    if not 0 <= history < SEGMENT:
+        raise ValueError("the history must be shorter than a segment")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = cut(numbered(rows, ["conv_id"], ["turn", "role", "text"]).withColumn("segment", F.floor(F.col("number") / SEGMENT)))
+    columns = ["conv_id", "role", "text", "number"]
+    later = F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("count") - 1) / SEGMENT)))
+    openings = rows.where(f"number = 0 and count > {SEGMENT}").select(*columns, later.alias("segment"), F.lit(0).alias("kind"))
+    brought_on = rows.where((F.pmod("number", F.lit(SEGMENT)) >= SEGMENT - history) & ((F.col("segment") + 1) * SEGMENT < F.col("count")))
+    earlier = brought_on.select(*columns, F.col("segment") + 1, F.lit(1).alias("kind"))
+    everything = rows.select(*columns, "segment", F.lit(2).alias("kind")).union(openings).union(earlier)
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         count = worker_keep(("chat counter", name), counter)
-        group = group.sort_values(["kind", "turn", "role", "text"], na_position="first", kind="stable")
+        group = group.sort_values(["kind", "number"], kind="stable")
         kind, roles, texts = group["kind"].to_numpy(), group["role"].tolist(), group["text"].tolist()
         written, masks = [], []
         for role, text in zip(roles, texts, strict=True):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import batches, cut, worker_keep
+from folioframe.llm.common import batches, cut, free_name, worker_keep
 
 DIMENSIONS = 8192
 # The bound of the training sample: documents a language.
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", extra: tu
     A null text, one without a letter, or no model gives `und` and score 0. Rows
     stay as they are. No shuffle.
     """
-    inner = docs.select(*[F.col(f"`{c}`") for c in extra], F.col(text).alias("body to read"))
+    inner = docs.select(*[F.col(f"`{c}`") for c in extra], F.col(text).alias(free_name("body to read", extra)))
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = worker_keep("letters", _letters)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import cut
+from folioframe.llm.common import cut, free_name
 
 # Registers of the sketches as a power of two, and how far from the threshold (in parts of it) an estimate is not trusted.
 LOG_REGISTERS = 12
@@ -51,13 +51,14 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id",
     lines = cut(exploded.where(F.trim("string") != "").select("id", "body", "site", "at", F.xxhash64("string").alias("line")))
     shared = cut(shared_lines(lines.select("line", "site", F.struct("id", "body", "at").alias("place")), min_sites))
     hits = lines.join(shared, "line").where(~F.struct("id", "body", "at").eqNullSafe(F.col("first")))
-    drops = hits.groupBy(F.col("id").alias("drop id"), F.col("body").alias("drop body")).agg(F.collect_set("at").alias("drop at"))
-    joined = docs.join(drops, F.col(key).eqNullSafe(F.col("drop id")) & (F.xxhash64(text) == F.col("drop body")), "left")
+    its_id, its_body, gone = (free_name(n, docs.columns) for n in ("drop id", "drop body", "drop at"))
+    drops = hits.groupBy(F.col("id").alias(its_id), F.col("body").alias(its_body)).agg(F.collect_set("at").alias(gone))
+    joined = docs.join(drops, F.col(key).eqNullSafe(F.col(its_id)) & (F.xxhash64(text) == F.col(its_body)), "left")
     parts = _lines(F.col(text))
     total = F.when(F.col(text).isNotNull(), F.size(parts)).otherwise(0)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop at"))
-    clean = F.when(F.col("drop at").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    clean = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "lines_in", "lines_out")]
     return joined.select(
-        *others, clean.alias(text), total.cast("long").alias("lines_in"), (total - F.coalesce(F.size("drop at"), F.lit(0))).cast("long").alias("lines_out"),
+        *others, clean.alias(text), total.cast("long").alias("lines_in"), (total - F.coalesce(F.size(gone), F.lit(0))).cast("long").alias("lines_out"),
     )

@@ -18,10 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import batches, cut
+from folioframe.llm.common import batches, cut, numbered
 
 FAN = 16
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -112,21 +112,6 @@ class Manifest(NamedTuple):
     root: DataFrame  # the digest of the top tree, no row for an empty table
 
 
-def _numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds each row's `number` in its tree, from 0, and the tree's `count` of rows.
-
-    Rows are sorted by ranges, so a large tree is spread over many tasks; each
-    range's share of a tree is counted, and the counts before it added.
-    """
-    dealt = cut(rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order).withColumn("at", F.monotonically_increasing_id()))
-    dealt = dealt.withColumn("range", F.shiftright("at", 33))
-    counts = dealt.groupBy("tree", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    whole = Window.partitionBy("tree")
-    before = F.coalesce(F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("tree", "range", "first", before.alias("before"), F.sum("n").over(whole).alias("count"))
-    return dealt.join(counts, ["tree", "range"]).withColumn("number", F.col("at") - F.col("first") + F.col("before")).drop("at", "range", "first", "before")
-
-
 def _parents(groups: DataFrame) -> DataFrame:
     """Written parents of `groups`, whose last column `digests` lists the children; adds children, states and digest."""
     kept = [f for f in groups.schema.fields if f.name != "digests"]
@@ -181,7 +166,7 @@ def build(docs: DataFrame, leaf: Column, changed: Column, key: str = "doc_id", g
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
     leaves = cut(docs.select(tree.alias("tree"), F.col(key).cast("long").alias("key"), F.unhex(leaf).alias("digest"), F.unhex(changed).alias("changed"))
                  .withColumn("tie", F.monotonically_increasing_id()))
-    nodes = _numbered(leaves, "key", "digest", "tie")
+    nodes = numbered(leaves, ["tree"], ["key", "digest", "tie"])
     row = F.struct("number", "key", "digest", "changed")
     runs = nodes.groupBy("tree", F.floor(F.col("number") / FAN).alias("run")).agg(F.first("count").alias("count"), F.sort_array(F.collect_list(row)).alias("rows"))
     runs = _parents(runs.select("tree", "run", F.ceil(F.col("count") / FAN).alias("nodes"), (F.col("count") == 1).alias("lone"), "rows", F.col("rows.digest").alias("digests")))
@@ -191,7 +176,7 @@ def build(docs: DataFrame, leaf: Column, changed: Column, key: str = "doc_id", g
         "tree", F.when(F.col("lone"), 0).otherwise(1).alias("level"), F.when(F.col("lone"), F.col("rows")[0]["digest"]).otherwise(F.col("digest")).alias("digest"))
     for n, level in enumerate(levels, 2):
         ends = ends.union(level.where("nodes = 1").select("tree", F.lit(n), "digest"))
-    roots = cut(_numbered(ends.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "level", "digest"), "name"))
+    roots = cut(numbered(ends.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "level", "digest"), ["tree"], ["name"]))
     trees = roots.count()
     tops = _levels(roots.select("tree", "number", "count", "digest"), trees)
     return Manifest(runs, levels, tops, roots.withColumn("tree", F.col("name")).drop("name"), (tops[-1] if tops else roots).select("digest"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import batches, cut, discard, worker_keep
+from folioframe.llm.common import batches, cut, discard, free_name, worker_keep
 from folioframe.llm.components import connected_components, merged_components
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
@@ -333,24 +333,8 @@ def _dealt(rows: DataFrame, share: Column) -> DataFrame:
     return whole.unionByName(placed.select(*whole.columns))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of near-duplicate documents: key, n_shingles, component_id, kept, one row for each row of `docs`.
-
-    Words are runs of anything but ASCII white space, A-Z in lower case. Two
-    documents link if their sets of five-word shingles have a Jaccard similarity
-    of 0.75 or more; fewer words make one shingle; without words (or a null
-    text) a document links with nothing. The component is the smallest key
-    reachable. Equal sets are reduced to one node first. Then each node is
-    compared with the bucket leader it meets most often, then with its likeliest
-    partner outside its component so far. What is still plausible between
-    components is decided on full sets inside the buckets, which give only links
-    that join components: a group of copies is never written out as its pairs.
-
-    Rows with a null key link with nothing and have a null component; rows that
-    share a key count as one document. Other columns are not kept. The texts are
-    read once for the sketches and once for each of up to three rounds of
-    candidates; only the sets of candidates are shuffled.
-    """
+def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, n, home and set_hash (null where a row links with nothing) of every row; see `near_duplicates`."""
     base = cut(sketches(docs, key, text))
     classes = base.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
@@ -380,9 +364,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     homes = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("home"))
     placed = base.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
-    alone = placed.where("set_hash is null").select("doc_id", "n", F.col("doc_id").alias("home"))
-    result = placed.where("set_hash is not null").join(homes, "set_hash").select("doc_id", "n", "home").union(alone)
+    alone = placed.where("set_hash is null").select("doc_id", "n", F.col("doc_id").alias("home"), "set_hash")
+    return placed.where("set_hash is not null").join(homes, "set_hash").select("doc_id", "n", "home", "set_hash").union(alone)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Groups of near-duplicate documents: key, n_shingles, component_id, kept, one row for each row of `docs`.
+
+    Words are runs of anything but ASCII white space, A-Z in lower case. Two
+    documents link if their sets of five-word shingles have a Jaccard similarity
+    of 0.75 or more; fewer words make one shingle; without words (or a null
+    text) a document links with nothing. The component is the smallest key
+    reachable. Equal sets are reduced to one node first. Then each node is
+    compared with the bucket leader it meets most often, then with its likeliest
+    partner outside its component so far. What is still plausible between
+    components is decided on full sets inside the buckets, which give only links
+    that join components: a group of copies is never written out as its pairs.
+
+    Rows with a null key link with nothing and have a null component; rows that
+    share a key count as one document. Other columns are not kept. The texts are
+    read once for the sketches and once for each of up to three rounds of
+    candidates; only the sets of candidates are shuffled.
+    """
+    result = _classified(docs, key, text)
     return result.select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("home").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.col("home"), F.lit(True)).alias("kept"),
     )
+
+
+def _with_set_hash(docs: DataFrame, text: str, into: str) -> DataFrame:
+    """`docs` with the hash of each text's shingle set, null without words."""
+    place = docs.columns.index(text)
+
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = worker_keep("word hashes", dict)
+        for batch in rows:
+            sets = [shingle_set(t, words) for t in batch.column(place).to_pylist()]
+            hashes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, into])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return batches(docs, work, f"{kinds}, `{into}` binary")
+
+
+def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one document of each near-duplicate group: that of the smallest key.
+
+    Rows that share a key but not their text go or stay each by its own text;
+    rows equal in both stay or go together. All columns stay as they are. Only
+    texts of keys with rows of both kinds are read once more.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("home"), F.lit(True))
+    found = cut(_classified(docs, key, text).select("doc_id", "set_hash", kept.alias("kept")))
+    verdicts = found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).where("not every and doc_id is not null")
+    its_id, its_hash, tag = (free_name(n, docs.columns) for n in ("its id", "its hash", "set hash"))
+    odd = cut(verdicts.select(F.col("doc_id").alias(its_id), "some"))
+    same = F.col(key).cast("long") == F.col(its_id)
+    mixed = _with_set_hash(docs.join(odd.where("some"), same, "left_semi"), text, tag)
+    good = found.where("kept").select(F.col("doc_id").alias(its_id), F.col("set_hash").alias(its_hash)).distinct()
+    stay = mixed.join(good, same & F.col(tag).eqNullSafe(F.col(its_hash)), "left_semi").drop(tag)
+    return docs.join(odd, same, "left_anti").union(stay)

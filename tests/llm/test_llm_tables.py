@@ -153,7 +153,7 @@ def test_pipeline_equals_brute_force(spark):
     model = langid.learn(docs)
     with_letters = {d["doc_id"]: d for d in given if d["text"] and any(c.isalpha() for c in d["text"])}
     kept = {r.doc_id for r in stages[1].collect()}
-    assert kept == {r.doc_id for r in langid.identify(docs, model).where("lang_pred <> 'und' and score >= 0.3").collect()} <= set(with_letters)
+    assert kept == {r.doc_id for r in langid.identify(docs, model).where("lang_pred <> 'und'").collect()} <= set(with_letters)
     lines: dict[str, set] = {}
     first: dict[str, tuple] = {}
     for d in sorted((d for d in given if d["doc_id"] in kept), key=lambda d: d["doc_id"]):
@@ -171,3 +171,17 @@ def test_pipeline_equals_brute_force(spark):
     alone = {i for n, i in enumerate(clean) if label[n] == n}
     assert {r.doc_id for r in stages[3].collect()} == alone
     assert {r.doc_id for r in stages[4].collect()} == alone
+
+
+def test_pipeline_stages_with_clashing_columns_and_repeated_keys(spark):
+    names = ["drop id", "drop body", "drop at", "body to read", "language found", "its score", "set hash", "its id", "its hash", "number", "Node", "line"]
+    texts = ["the words of one document go on and on in a row for quite a while", "other words that have nothing to do with what the first one says at all", "12 34"]
+    rows = [(3, texts[0]), (7, texts[0]), (7, texts[1]), (7, None), (8, texts[2]), (None, texts[0]), (9, texts[1]), (9, texts[1] + " x"), (3, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"1 as `{n}`" for n in names])
+    kept = corpus_pipeline.near_dedup(spark, docs, "unused")
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(3, texts[0]), (3, texts[0]), (7, texts[1]), (7, None), (8, texts[2]), (None, texts[0])]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "unused")
+        assert set(names) <= set(docs.columns)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "unused").count() == docs.count()

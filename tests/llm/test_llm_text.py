@@ -284,3 +284,23 @@ def test_windows_hold_every_turn_once(spark):
         assert r.loss_sha256 == hashlib.sha256("".join(b for a, b in mine if a == "assistant").encode()).hexdigest()
     assert windows.where("conv_id = 3").first().repeated == 0
     assert chat.read_back(chat.format_with_tokenizer(turns.limit(0), WORD_BPE)).count() == 0
+
+
+def test_windows_of_gaps_null_keys_and_one_repeated_turn(spark):
+    rows = [(5, i, "system" if i == 0 else "user", f"turn {i}") for i in (0, 1, 300, 600, 900)]
+    rows += [(7, i * 1000, "assistant" if i % 2 else "user", f"far {i}") for i in range(600)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    hot = spark.range(20_000).selectExpr("cast(null as long) as conv_id", "id % 3 as turn", "'user' as role", "concat('t', id) as text")
+    same = spark.range(20_000).selectExpr("6L as conv_id", "1L as turn", "'assistant' as role", "'x' as text")
+    windows = chat.format_with_tokenizer(table.union(hot).union(same), WORD_BPE, 60, 2).cache()
+    held = windows.groupBy("conv_id", "segment").agg(chat.F.sum("n_new").alias("n"))
+    assert held.agg(chat.F.max("n")).first()[0] <= chat.SEGMENT
+    assert {r.conv_id: r.n for r in windows.groupBy("conv_id").agg(chat.F.sum("n_new").alias("n")).collect()} == {5: 5, 7: 600, None: 20_000, 6: 20_000}
+    assert [(r.repeated, r.n_new) for r in windows.where("conv_id = 5").orderBy("segment", "window").collect()] == [(0, 5)]
+    # Later segments repeat the two turns in front of them.
+    firsts = windows.where("conv_id = 7 and segment > 0 and window = 0").collect()
+    assert len(firsts) == 2
+    for r in firsts:
+        read = [t for _, t, _, _ in chat.read_turns(r.formatted)]
+        assert r.repeated == 2 and read[:3] == [f"far {256 * r.segment + n}" for n in (-2, -1, 0)]
+    assert {r.conv_id: r.n_turns for r in chat.read_back(windows).collect()} == {5: 5, 7: 600, None: 20_000, 6: 20_000}
