@@ -75,9 +75,9 @@ def year_of_date(c: Column) -> Column:
     return null_if_blank(F.regexp_extract(c, NOT_WORD_BEFORE + r"([12]\d{3})" + NOT_WORD_AFTER, 1))
 
 
-def year_from_text(text: Column, title: Column, probe_chars: int = 400, last: Column | None = None) -> Column:
-    """First plausible year in the title or the text that precedes the abstract."""
+def year_from_text(text: Column, title: Column, probe_chars: int | None = None, last: Column | None = None) -> Column:
+    """First plausible year in the title or the text (at most `probe_chars` of it) that precedes the abstract."""
     body = F.get(F.split(text, TEXT_CUT, 2), F.lit(0))
-    probe = F.concat(title, F.lit(" "), F.substring(body, 1, probe_chars))
+    probe = F.concat(title, F.lit(" "), body if probe_chars is None else F.substring(body, 1, probe_chars))
     years = F.transform(F.regexp_extract_all(probe, F.lit(YEAR), 1), lambda y: y.cast("int"))
     return F.get(F.filter(years, lambda y: _in_range(y, last).isNotNull()), F.lit(0))

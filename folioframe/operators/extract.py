@@ -14,8 +14,7 @@ from folioframe.functions.text import (
     unfold_ligatures,
 )
 
-# Patterns and limits of the front-page heuristics.
-TITLE_LINES, HEAD_LINES, BAR_LINES, PUBLISHER_LINES, AUTHOR_LINES = 80, 180, 240, 100, 4
+# Patterns of the front-page heuristics.
 VOLUME_HEADER = rf"(?i)^\d{{4}}\s*Vol|{NOT_WORD_BEFORE}Vol[.．]?\s*\d+\s*,\s*No[.．]?\s*\d+{NOT_WORD_AFTER}"
 AFFILIATION = (
     rf"(?i){NOT_WORD_BEFORE}(abstract|department|university|institute|laboratory|center|school|college|address){NOT_WORD_AFTER}"
@@ -64,16 +63,26 @@ def _author_names(line: Column) -> Column:
     return F.filter(names, lambda n: F.length(n).between(2, 80))
 
 
-def text_metadata(df: DataFrame, text: str = "text", filename: str | None = None) -> DataFrame:
+def _upto(items: Column | str, limit: int | None) -> Column:
+    return F.col(items) if limit is None and isinstance(items, str) else items if limit is None else F.slice(items, 1, limit)
+
+
+def text_metadata(
+    df: DataFrame, text: str = "text", filename: str | None = None, title_lines: int | None = None, head_lines: int | None = None,
+    bar_lines: int | None = None, publisher_lines: int | None = None, author_window: int = 4,
+) -> DataFrame:
     """Guess title, creators, year, venue, book fields and identifiers from free text.
 
     Adds title, creators, year, doi, arxiv_id, isbn, publication_title, publisher,
     edition, language and item_type. Each step is a projection; nothing shuffles.
+    Title, year and venue, running bars and publisher are looked for in whole texts, or
+    in as many lines from the top as the limits say. Authors stand in the
+    `author_window` lines below the title, by the rule of such pages.
     """
     stem = F.col(filename) if filename else F.lit("")
     df = df.withColumn("_lines", filled_lines(F.col(text)))
     bare = F.transform(
-        F.slice("_lines", 1, TITLE_LINES),
+        _upto("_lines", title_lines),
         lambda x, i: F.struct(F.trim(F.regexp_replace(x, r"^#{1,6}\s*", "")).alias("s"), i.alias("i")),
     )
     df = df.withColumn("_title", first_match(bare, lambda c: (
@@ -85,7 +94,7 @@ def text_metadata(df: DataFrame, text: str = "text", filename: str | None = None
         & c["s"].rlike(r"\p{L}")
     )))
     marks_gone = F.transform(
-        F.when(F.col("_title").isNotNull(), F.slice(F.col("_lines"), F.col("_title.i") + 2, F.lit(AUTHOR_LINES))),
+        F.when(F.col("_title").isNotNull(), F.slice(F.col("_lines"), F.col("_title.i") + 2, F.lit(author_window))),
         lambda x: F.trim(F.regexp_replace(unfold_ligatures(x), r"[*†‡§]+", "")),
     )
     df = df.withColumn("_next", marks_gone)
@@ -97,16 +106,16 @@ def text_metadata(df: DataFrame, text: str = "text", filename: str | None = None
     df = df.withColumn("_names", first_match(
         names, lambda n: (F.size(n) > 0) & F.forall(n, lambda x: x.rlike("[A-Za-z\u4e00-\u9fff]"))
     ))
-    df = df.withColumn("_head", F.array_join(F.slice("_lines", 1, HEAD_LINES), "\n"))
+    df = df.withColumn("_head", F.array_join(_upto("_lines", head_lines), "\n"))
     year = F.coalesce(*[
         null_if_blank(F.regexp_extract("_head", p, 1)) for p in (PUBLISHED_YEAR, JOURNAL_YEAR, FREE_YEAR)
     ])
     clean = F.transform("_lines", lambda x: F.trim(unfold_ligatures(x)))
     venue = F.coalesce(
-        first_match(F.slice(clean, 1, HEAD_LINES), lambda x: x.rlike(JOURNAL_LINE)),
+        first_match(_upto(clean, head_lines), lambda x: x.rlike(JOURNAL_LINE)),
         F.when(unfold_ligatures(F.col("_head")).rlike(REVIEW_HEADER), "Nature Reviews Physics"),
         fold_spaces(F.regexp_extract(
-            first_match(F.slice(clean, 1, BAR_LINES), lambda x: x.rlike(BAR_JOURNAL)), BAR_JOURNAL, 1
+            first_match(_upto(clean, bar_lines), lambda x: x.rlike(BAR_JOURNAL)), BAR_JOURNAL, 1
         )),
     )
     body = F.col(text)
@@ -120,7 +129,7 @@ def text_metadata(df: DataFrame, text: str = "text", filename: str | None = None
         "publication_title": venue,
     })
     df = df.withColumn("_book", F.col("isbn").isNotNull() | F.col("_head").rlike(BOOK_SIGNS))
-    press = first_match(F.slice(clean, 1, PUBLISHER_LINES), lambda x: x.rlike(PUBLISHER))
+    press = first_match(_upto(clean, publisher_lines), lambda x: x.rlike(PUBLISHER))
     return df.withColumns({
         "language": language_tag(F.col("title")),
         "edition": F.when(F.col("_book"), null_if_blank(fold_spaces(F.regexp_extract("_head", EDITION, 1)))),

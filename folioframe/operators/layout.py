@@ -143,13 +143,13 @@ def author_lines(
     return df.filter(accepted).groupBy(doc).agg(F.min_by("authors", F.struct("y0", "line_no")).alias("authors"))
 
 
-def front_page(lines: DataFrame, doc: str = "doc_id", surnames: Surnames = DEFAULT_SURNAMES) -> DataFrame:
-    """All layout fields of a Chinese first page, one row per document (`fm_*` columns)."""
+def front_page(lines: DataFrame, doc: str = "doc_id", surnames: Surnames = DEFAULT_SURNAMES, head_lines: int | None = None) -> DataFrame:
+    """All layout fields of a Chinese first page, one row per document (`fm_*` columns); year and book signs from the first `head_lines` lines, or all."""
     page = lines.groupBy(doc).agg(
         F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l")
     ).select(
         doc,
-        F.array_join(F.transform(F.slice("_l", 1, 10), lambda x: x["text"]), " ").alias("_head"),
+        F.array_join(F.transform("_l" if head_lines is None else F.slice("_l", 1, head_lines), lambda x: x["text"]), " ").alias("_head"),
         F.array_join(F.transform("_l", lambda x: x["text"]), " ").alias("_wide"),
     )
     years = F.transform(F.regexp_extract_all("_head", F.lit(identifiers.YEAR), 1), lambda y: y.cast("int"))

@@ -9,7 +9,6 @@ from folioframe.functions import identifiers
 from folioframe.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, dedupe_list, fold_spaces, let, lines, null_if_blank, text_or_empty
 
 # Thresholds, patterns and tag rules.
-SAMPLE_CHARS = 30000
 PDF_OBJECT = rf"/(?:Type|Length|Filter|Font|XObject){NOT_WORD_AFTER}"
 SUPPLEMENT_NAME = (
     r"(?i)(?:^|[._\-\s])(supp(?:lement(?:ary)?)?|supporting[._\-\s]*info(?:rmation)?|si|esm|mmc|suppmat)(?:$|[._\-\s\d])"
@@ -41,9 +40,9 @@ TAG_RULES: dict[str, tuple[str, ...]] = {
 }
 
 
-def looks_scanned(c: Column) -> Column:
-    """Text too poor to use: the file needs OCR. Judged on the first 30 000 characters."""
-    sample = F.substring(text_or_empty(c), 1, SAMPLE_CHARS)
+def looks_scanned(c: Column, sample_chars: int | None = None) -> Column:
+    """Text too poor to use: the file needs OCR. Judged on the whole text, or on its first `sample_chars` characters."""
+    sample = text_or_empty(c) if sample_chars is None else F.substring(text_or_empty(c), 1, sample_chars)
     words = F.regexp_extract_all(sample, F.lit("([A-Za-z一-鿿]{3,})"), 1)
     n_words = F.size(words)
     joined = F.length(F.array_join(words, " "))
@@ -79,17 +78,19 @@ def supplement_relation(metadata_json: Column) -> Column:
 
 def detect_supplement(
     df: DataFrame, text: str = "text", filename: str | None = None, relation: str | None = None,
-    extracted_doi: str | None = None,
+    extracted_doi: str | None = None, header_lines: int | None = None, title_lines: int | None = None,
 ) -> DataFrame:
     """Additive evidence that a document is supplementary material.
 
     Adds is_supplement, confidence, label, parent_doi, parent_title and reasons.
+    The header is looked for in the first `header_lines` lines and the parent's
+    title in `title_lines` lines after it; without these limits in all lines.
     """
     source = text_or_empty(F.col(text))
     name = F.coalesce(F.col(filename), F.lit("")) if filename else F.lit("")
     link = null_if_blank(F.col(relation)) if relation else F.lit(None).cast("string")
     own_doi = identifiers.normalize_doi(F.col(extracted_doi)) if extracted_doi else F.lit(None).cast("string")
-    df = df.withColumn("_first", F.array_join(F.slice(lines(source), 1, 80), "\n"))
+    df = df.withColumn("_first", F.array_join(lines(source) if header_lines is None else F.slice(lines(source), 1, header_lines), "\n"))
     df = df.withColumn("_strong", F.col("_first").rlike(SUPPLEMENT_HEADER))
     named = F.trim(fold_spaces(F.regexp_extract("_first", SUPPLEMENT_FOR, 1)), F.lit(" :-"))
     named = F.trim(F.get(F.split(named, rf"(?i){NOT_WORD_BEFORE}Authors?\s*:", 2), F.lit(0)))
@@ -97,7 +98,7 @@ def detect_supplement(
     # Without "for <title>" the first fitting line after the header is the parent's title.
     header = F.regexp_extract("_first", r"(?s)\A.*?" + SUPPLEMENT_HEADER, 0)
     at = F.length(header) - F.length(F.replace(header, F.lit("\n"), F.lit("")))
-    following = F.transform(F.slice(lines(F.col("_first")), at + 2, F.lit(5)), lambda x: F.trim(fold_spaces(x), F.lit(" :-")))
+    following = F.transform(F.slice(lines(F.col("_first")), at + 2, F.size(lines(F.col("_first"))) if title_lines is None else F.lit(title_lines)), lambda x: F.trim(fold_spaces(x), F.lit(" :-")))
 
     def fits(x: Column) -> Column:
         low = F.lower(x)

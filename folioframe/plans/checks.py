@@ -11,7 +11,7 @@ from folioframe.plans.views import Inputs
 
 
 @query("looks_scanned", r"""
-WITH s AS (SELECT doc_id, left(text, 30000) AS x FROM documents),
+WITH s AS (SELECT doc_id, text AS x FROM documents),
 m AS (SELECT doc_id, x, regexp_extract_all(x, '[A-Za-z\x{4e00}-\x{9fff}]{3,}') AS w FROM s)
 SELECT doc_id, trim(x) = '' OR length(array_to_string(w, ' ')) < 700 OR 1 - len(regexp_extract_all(x, '[\p{C}\p{Zl}\p{Zp}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]')) / greatest(length(x), 1) < 0.82
   OR (len(regexp_extract_all(x, '/(?:Type|Length|Filter|Font|XObject)(?:$|[^\p{L}\p{N}_])')) > 25 AND len(w) < 120) AS scanned FROM m""")
@@ -36,10 +36,10 @@ SUPPLEMENT_NAME = "CASE length(text) % 3 WHEN 0 THEN 'paper_SI.pdf' WHEN 1 THEN
 
 @query("detect_supplement", rf"""
 WITH d AS (SELECT doc_id, {SUPPLEMENT_TEXT} AS x, {SUPPLEMENT_NAME} AS f, CASE WHEN length(text) % 10 = 0 THEN '10.1000/p' || CAST(doc_id AS VARCHAR) END AS rel FROM documents),
-l AS (SELECT *, array_to_string(string_split(x, chr(10))[1:80], chr(10)) AS first, string_split(x, chr(10)) AS ls FROM d),
+l AS (SELECT *, x AS first, string_split(x, chr(10)) AS ls FROM d),
 h AS (SELECT *, regexp_matches(first, '(?im)^\s*(?:supporting|supplementary|supplemental)\s+(?:information|material(?:s)?)(?:\s+(?:for|to)[^\p{{L}}\p{{N}}_]|\s*$)') AS strong,
    trim(regexp_replace(regexp_extract(first, '(?is)(?:supporting|supplementary|supplemental)\s+(?:information|material(?:s)?)\s+(?:for|to)\s*[:\-]?\s*([^\n]{{8,300}})', 1), '\s+', ' ', 'g'), ' :-') AS named FROM l),
-a AS (SELECT *, CASE WHEN strong AND length(named) < 8 THEN list_filter(list_transform(ls[1 + (length(regexp_extract(first, '(?s)^(.*?)(?im:^\s*(?:supporting|supplementary|supplemental)\s+(?:information|material(?:s)?)\s*$)', 0)) - length(replace(regexp_extract(first, '(?s)^(.*?)(?im:^\s*(?:supporting|supplementary|supplemental)\s+(?:information|material(?:s)?)\s*$)', 0), chr(10), ''))) + 1:][1:5], lambda y: trim(trim(regexp_replace(y, '[\s\p{{Z}}]+', ' ', 'g')), ' :-')),
+a AS (SELECT *, CASE WHEN strong AND length(named) < 8 THEN list_filter(list_transform(ls[1 + (length(regexp_extract(first, '(?s)^(.*?)(?im:^\s*(?:supporting|supplementary|supplemental)\s+(?:information|material(?:s)?)\s*$)', 0)) - length(replace(regexp_extract(first, '(?s)^(.*?)(?im:^\s*(?:supporting|supplementary|supplemental)\s+(?:information|material(?:s)?)\s*$)', 0), chr(10), ''))) + 1:], lambda y: trim(trim(regexp_replace(y, '[\s\p{{Z}}]+', ' ', 'g')), ' :-')),
    lambda y: length(y) BETWEEN 8 AND 300 AND NOT regexp_matches(lower(y), 'doi:|https?://|authors?:|affiliation|abstract|contents') AND NOT regexp_matches(y, '(?i)(^|[^\p{{L}}\p{{N}}_])(university|institute|department|laboratory|college|school)($|[^\p{{L}}\p{{N}}_])') AND NOT (length(y) - length(replace(y, ',', '')) >= 3 AND len(string_split(y, ' ')) < 18))[1] END AS after,
    (SELECT count(*) FROM (SELECT unnest(['abstract:', chr(10) || 'abstract' || chr(10), chr(10) || '■ introduction', chr(10) || 'introduction' || chr(10), 'received:', 'revised:', 'published:', 'article' || chr(10) || 'pubs.', 'journal of ']) AS m) q WHERE contains(lower(h.x), m)) AS markers FROM h),
 s AS (SELECT *, greatest(0.0, least(1.0, round(CASE WHEN rel IS NOT NULL THEN 0.9 ELSE 0 END + CASE WHEN regexp_matches(regexp_replace(f, '\.[^.]+$', ''), '(?i)(?:^|[._\-\s])(supp|si|esm|mmc|suppmat)(?:$|[._\-\s0-9])') THEN 0.45 ELSE 0 END + CASE WHEN strong THEN 0.65 ELSE 0 END + CASE WHEN length(named) >= 8 THEN 0.15 ELSE 0 END

@@ -52,14 +52,14 @@ def split_authors_sql(x: str) -> str:
 
 @query("text_metadata", rf"""
 WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM v_text),
-c AS (SELECT doc_id, text, ls, list_transform(ls[1:80], lambda x: trim(regexp_replace(x, '^#{{1,6}}\s*', ''))) AS bare FROM l),
+c AS (SELECT doc_id, text, ls, list_transform(ls, lambda x: trim(regexp_replace(x, '^#{{1,6}}\s*', ''))) AS bare FROM l),
 t AS (SELECT *, list_position(list_transform(bare, lambda s: length(s) BETWEEN 8 AND 350 AND NOT regexp_matches(s, '(?i)^(doi:|arxiv:|abstract|摘要)') AND NOT regexp_matches(s, '(?i)^[0-9]{{4}}\s*Vol|(^|{W})Vol[.．]?\s*[0-9]+\s*,\s*No[.．]?\s*[0-9]+($|{W})')
    AND NOT regexp_matches(s, '^[0-9]{{1,4}}[\s.,;:]*$') AND NOT (upper(s) = s AND lower(s) <> s AND length(s) >= 8 AND (length(s) - length(replace(s, ' ', ''))) / length(s) > 0.25) AND regexp_matches(s, '\p{{L}}')), true) AS pos FROM c),
 n AS (SELECT *, CASE WHEN pos > 0 THEN list_transform(ls[pos + 1:pos + 4], lambda x: trim(regexp_replace(x, '[*†‡§]+', '', 'g'))) END AS nx FROM t),
 s AS (SELECT *, list_position(list_transform(nx, lambda x: regexp_matches(x, '(?i)(^|{W})(abstract|department|university|institute|laboratory|center|school|college|address)($|{W})')), true) AS stop FROM n),
 a AS (SELECT *, list_filter(list_transform(list_filter(CASE WHEN stop > 0 THEN nx[1:stop - 1] ELSE nx END, lambda x: length(x) <= 600 AND NOT regexp_matches(x, '\p{{Nd}}')), lambda x: CASE WHEN len(list_filter(list_transform(regexp_split_to_array(x, '\s*,\s*|\s+(?:and|&)\s+|\s*;\s*'), lambda y: trim(y, ' ,')), lambda y: y <> '')) = 2 AND NOT contains(list_filter(list_transform(regexp_split_to_array(x, '\s*,\s*|\s+(?:and|&)\s+|\s*;\s*'), lambda y: trim(y, ' ,')), lambda y: y <> '')[1], ' ') AND NOT contains(list_filter(list_transform(regexp_split_to_array(x, '\s*,\s*|\s+(?:and|&)\s+|\s*;\s*'), lambda y: trim(y, ' ,')), lambda y: y <> '')[2], ' ')
    THEN list_filter([x], lambda y: length(y) BETWEEN 2 AND 80) ELSE list_filter(list_transform(regexp_split_to_array(x, '\s*,\s*|\s+(?:and|&)\s+|\s*;\s*'), lambda y: trim(y, ' ,')), lambda y: length(y) BETWEEN 2 AND 80) END), lambda x: len(x) > 0 AND list_bool_and(list_transform(x, lambda y: regexp_matches(y, '[A-Za-z\x{{4e00}}-\x{{9fff}}]'))))[1] AS names,
-   array_to_string(ls[1:180], chr(10)) AS head FROM s)
+   array_to_string(ls, chr(10)) AS head FROM s)
 SELECT doc_id, title, families, CASE WHEN y BETWEEN 1900 AND year(current_date) + 1 THEN y END AS year FROM (
 SELECT doc_id, CASE WHEN pos > 0 THEN bare[pos] ELSE '' END AS title,
   coalesce(array_to_string(list_transform(names, lambda x: CASE WHEN contains(x, ',') THEN trim(split_part(x, ',', 1)) ELSE regexp_extract(x, '(\S+)$', 1) END), '|'), '') AS families,

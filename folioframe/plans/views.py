@@ -22,7 +22,9 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-STORED_VIEWS = ("v_entries", "v_text", "v_cn", "v_md", "v_paths")
+STORED_VIEWS = ("documents", "v_entries", "v_text", "v_cn", "v_md", "v_paths")
+# Rows in a file of a stored view: readers get many files, as a real library has, whatever row groups the given file has.
+FILE_ROWS = 1000
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -240,21 +242,22 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stored(self, name: str) -> DataFrame:
-        """A view written once per application: its columns are data then, as in a real library."""
+        """A view (or the documents) written once per application: its columns are data then, as in a real library."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
             path = f"{checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-            self.spark.sql(self._resolve(VIEWS[name].spark)).write.parquet(path)
+            rows = self.table(name) if name in TABLES else self.spark.sql(self._resolve(VIEWS[name].spark))
+            rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in STORED_VIEWS:
+            return self.stored(name)
         if name in TABLES:
             return self.table(name)
         if name not in VIEWS:
             raise AttributeError(name)
-        if name in STORED_VIEWS:
-            return self.stored(name)
         return self.spark.sql(self._resolve(VIEWS[name].spark))
 
     def _resolve(self, sql: str) -> str:
