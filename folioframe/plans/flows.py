@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions import identifiers
-from folioframe.operators import catalog, extract, linkage, merge, quality
+from folioframe.functions import identifiers, people
+from folioframe.operators import catalog, extract, identify, linkage, merge, quality
 from folioframe.plans.registry import STATEMENTS, query
 from folioframe.plans.scalars import creators_of
 from folioframe.plans.views import Inputs
@@ -29,6 +29,53 @@ def identified(t: Inputs) -> DataFrame:
     return merge.merge_fill(cut(judged), answers, "doc_id")
 
 
+def planted(t: Inputs) -> DataFrame:
+    """The waterfall over documents and registries planted for each of its tiers."""
+    rows = cut(t.v_planted)
+    person = lambda c: F.array(people.parse_name(c))
+    year = F.col("y").cast("int").alias("year")
+    arxiv = rows.filter("doc_id % 8 = 0").select(F.col("own_arxiv").alias("arxiv_id"), F.concat(F.lit("Preprint "), "h").alias("title"), person(F.concat("p1", F.lit(" X"))).alias("creators"), year)
+    def shelf(label: str, tiers: str, title: Column) -> DataFrame:
+        return rows.filter(tiers).select(
+            F.when(F.expr("doc_id % 8 < 3"), F.col("own_doi")).alias("doi"), F.col("doc_id").alias("ord"), title.alias("title"), person(F.lit(f"Ann {label}")).alias("creators"), year,
+            F.concat(F.lit(f"{label} Letters "), F.when(F.expr("doc_id % 8 < 3"), F.left("h", F.lit(4))).otherwise(F.col("topic"))).alias("publication_title"), F.lit("7").alias("volume"), F.lit("3").alias("issue"), F.lit(label).alias("publisher"))
+    by_title = lambda label: F.when(F.expr("doc_id % 8 < 3"), F.concat(F.lit(f"{label} "), "h")).otherwise(F.concat("cn_title", F.lit("续")))
+    crossref, openalex = shelf("Crossref", "doc_id % 8 in (1, 4)", by_title("Crossref")), shelf("OpenAlex", "doc_id % 8 in (1, 2, 3)", by_title("OpenAlex"))
+    tex = F.concat(F.lit("\\documentclass{article}\n\\title{"), "topic", F.lit("研究}\n\\author{"), "p1", F.lit(" \\and "), "p2", F.lit("}\n\\date{"), "y", F.lit("-05}\n\\begin{document}\n"), "text")
+    parsed = rows.filter("doc_id % 16 = 6").select("doc_id", tex.alias("text"))
+    return identify.identify(rows.select("doc_id", "filename", "text"), arxiv, crossref, openalex, parsed)
+
+
+IDENTIFIED = """
+ax AS (SELECT own_arxiv AS a, min(h) AS h, min(p1) AS p1, min(y) AS y FROM v_planted WHERE doc_id % 8 = 0 GROUP BY 1),
+dois AS (SELECT own_doi AS d, min(h) AS h, min(y) AS y, bool_or(doc_id % 8 = 1) AS cr, bool_or(doc_id % 8 IN (1, 2)) AS oa FROM v_planted WHERE doc_id % 8 IN (1, 2) GROUP BY 1),
+cn AS (SELECT cn_title, doc_id % 8 AS k, arg_min(topic, doc_id) AS topic FROM v_planted WHERE doc_id % 8 IN (3, 4) GROUP BY ALL),
+m AS (SELECT p.*, doc_id % 8 AS k, CASE WHEN doc_id % 8 = 0 THEN own_arxiv WHEN doc_id % 8 = 1 THEN '9' || substr(own_arxiv, 2) END AS arx, CASE WHEN doc_id % 8 IN (1, 2) THEN own_doi END AS dd FROM v_planted p),
+idn AS (SELECT m.doc_id, m.filename, m.text AS whole, m.site, CASE WHEN ax.a IS NOT NULL THEN 'arXiv' WHEN cr THEN 'Crossref' WHEN oa THEN 'OpenAlex' WHEN m.k = 3 THEN 'OpenAlex' WHEN m.k = 4 THEN 'Crossref' WHEN m.k = 5 THEN 'cn-filename' WHEN m.doc_id % 16 = 6 THEN 'local' WHEN m.k = 7 THEN 'local-text' END AS source,
+  CASE WHEN ax.a IS NOT NULL THEN 'Preprint ' || ax.h WHEN cr THEN 'Crossref ' || dois.h WHEN oa THEN 'OpenAlex ' || dois.h WHEN m.k IN (3, 4, 5) THEN m.cn_title WHEN m.doc_id % 16 = 6 THEN m.topic || '研究' WHEN m.k = 7 THEN 'A Study of ' || substr(m.h, 1, 6) || ' in ' || m.site END AS title,
+  CASE WHEN ax.a IS NOT NULL THEN 'X' WHEN cr THEN 'Crossref' WHEN oa THEN 'OpenAlex' WHEN m.k IN (3, 4, 5) THEN m.p1 WHEN m.doc_id % 16 = 6 THEN m.p1 || '|' || m.p2 WHEN m.k = 7 THEN substr(translate(m.h, '0123456789', 'ghijklmnop'), 1, 6) || '|Stone|' || m.lang END AS families,
+  CASE WHEN ax.a IS NOT NULL THEN ax.y WHEN cr OR oa THEN dois.y WHEN m.k IN (3, 4, 5) OR m.doc_id % 16 = 6 THEN m.y END::INTEGER AS year,
+  CASE WHEN ax.a IS NOT NULL THEN NULL WHEN cr THEN 'Crossref Letters ' || substr(dois.h, 1, 4) WHEN oa THEN 'OpenAlex Letters ' || substr(dois.h, 1, 4) WHEN m.k = 3 THEN 'OpenAlex Letters ' || cn.topic WHEN m.k = 4 THEN 'Crossref Letters ' || cn.topic END AS venue,
+  CASE WHEN m.k IN (3, 4) THEN 'publication_title|volume|issue|publisher' ELSE '' END AS filled, dd AS doi, m.k
+  , CASE WHEN arx IS NOT NULL AND ax.a IS NULL THEN 'arXiv-' ELSE '' END AS before, CASE WHEN m.k IN (3, 4) THEN m.cn_title || '续' END AS net_title
+  FROM m LEFT JOIN ax ON ax.a = m.arx LEFT JOIN dois ON dois.d = m.dd LEFT JOIN cn ON cn.cn_title = m.cn_title AND cn.k = m.k)"""
+
+
+@query("identify_waterfall", f"""
+WITH {IDENTIFIED} SELECT doc_id, source, title, families, CASE WHEN k <> 7 THEN year END AS year, CASE WHEN k <> 7 THEN venue END AS venue, filled, doi,
+  before || CASE WHEN source IS NULL THEN '' ELSE source || '+' || coalesce(net_title, title) END AS attempts, k = 2 AND doc_id % 3 = 0 AS is_supplement,
+  CASE WHEN k = 2 AND doc_id % 3 = 0 THEN 'The parent of ' || site END AS parent_title FROM idn""")
+def identify_waterfall(t: Inputs) -> DataFrame:
+    """Every document through all tiers: where its record comes from, what it holds and what was tried."""
+    tried = F.transform("attempts", lambda a: F.concat(a["source"], F.when(a["ok"], F.concat(F.lit("+"), a["message"])).otherwise("-")))
+    other = F.expr("doc_id % 8 <> 7")
+    return planted(t).select(
+        "doc_id", "source", "title", F.when(F.col("source").isNotNull(), F.array_join(F.transform("creators", lambda p: p["family"]), "|")).alias("families"),
+        F.when(other, F.col("year")).alias("year"), F.when(other, F.col("publication_title")).alias("venue"), F.array_join("filled", "|").alias("filled"), "doi",
+        F.array_join(tried, "").alias("attempts"), "is_supplement", "parent_title",
+    )
+
+
 @query("batch_identify")
 def batch_identify(t: Inputs) -> DataFrame:
     """Documents to a move plan: identify, fill, find duplicates in the library, name, place."""
