@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,8 +36,8 @@ from folioframe.session import checkpoint_dir, hadoop_folder
 MAGIC = b"BITTOK01"
 BLOCK = 1 << 16
 FOOTER = 8
-# Bytes of packed ids that go into one shard, about.
-SHARD_BYTES = 32 << 20
+# Text bytes that go into one shard, about.
+SHARD_BYTES = 64 << 20
 
 # The split pattern of byte-level vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -216,28 +216,54 @@ def _place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
+def shard_starts(rows: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
+    """(has a key, key, tie) of the first row of each shard, over `rows` (id, tie, size) in order of id and tie, nulls first.
+
+    Sizes are summed up by ranges of the order, and inside each range by a window.
+    The driver gets one row for each `shard_bytes` of the table.
+    """
+    light = cut(rows)
+    ranged = cut(light.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("range").agg(F.sum("size").alias("n")).select("range", before.alias("before"))  # one row for each range
+    inside = Window.partitionBy("range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("sum", F.sum("size").over(inside)).join(offsets, "range")
+    shard = F.floor((F.col("before") + F.col("sum") - F.col("size")) / shard_bytes)
+    firsts = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "tie")).alias("first"))
+    table = firsts.select("first.*").distinct().orderBy("known", "id", "tie").toArrow()
+    return list(zip(*(table.column(n).to_pylist() for n in ("known", "id", "tie")), strict=True))
+
+
 def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], vocabulary: int, end_id: int, target: str,
                  key: str = "doc_id", text: str = "text", block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all documents in ascending key order; returns (shard, path, ids, documents), one row for each file.
 
-    Texts are read once: the scan's own tasks encode them and write key and
-    packed ids. These rows, a fraction of the text, give the number of shards and are dealt by
-    ranges of the key and sorted within; each task writes one file under a name of its own attempt, then moves
-    it to its final name, so that a task that runs again replaces its file whole.
-    A null text is empty; `end_id` ends every document. Rows with a null key come
-    first. Rows that share a key stand together, ordered by a hash of their ids.
-    `target` is a folder that all executors share.
+    First a pass over keys, text hashes and lengths finds where shards begin (see
+    `shard_starts`). Then the scan's own tasks encode the texts, and only key and
+    packed ids are dealt to the shards and sorted within; each task writes one
+    file under a name of its own attempt, then moves it to its final name, so that
+    a task that runs again replaces its file whole. A null text is empty; `end_id` ends
+    every document. Rows with a null key come first. Rows that share a key stand
+    together, ordered by a hash of their text. `target` is a folder that all executors share.
     """
     width = bits_for(max(vocabulary, end_id + 1))
 
+    inner = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    starts = shard_starts(inner.select("id", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), shard_bytes)
+
     def encoded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_keep(("bit pack", name), encoder)
         end = end_id.to_bytes(4, "little")
         for batch in rows:
-            ids = [np.frombuffer((encode(t) if t else b"") + end, "<u4") for t in batch.column(1).to_pylist()]
+            keys, ties, texts = (c.to_pylist() for c in batch.columns)
+            ids = [np.frombuffer((encode(t) if t else b"") + end, "<u4") for t in texts]
             if any(int(i.max()) >> width for i in ids):
                 raise ValueError("an id does not fit into the width")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([pack_bits(i, width) for i in ids], pa.binary())], ["id", "count", "packed"])
+            shard = [max(0, bisect_right(starts, (k is not None, k or 0, t)) - 1) for k, t in zip(keys, ties, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard, pa.int32()), batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array([pack_bits(i, width) for i in ids], pa.binary())],
+                ["shard", "id", "tie", "count", "packed"],
+            )
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -261,11 +287,8 @@ def write_shards(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]],
                                              ["shard", "path", "ids", "documents"])
 
     name = encoder.__qualname__ + repr([c.cell_contents for c in encoder.__closure__ or ()])
-    inner = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    packed = cut(batches(inner, encoded, "id long, count long, packed binary").withColumn("tie", F.xxhash64("packed")))
-    total = packed.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    shards = max(1, -(-total * width // (8 * shard_bytes)))
-    dealt = packed.repartitionByRange(shards, "id", "tie").sortWithinPartitions("id", "tie").select("id", "count", "packed")
+    packed = batches(inner, encoded, "shard int, id long, tie long, count long, packed binary")
+    dealt = packed.repartitionById(max(1, len(starts)), "shard").sortWithinPartitions("id", "tie").select("id", "count", "packed")
     return cut(batches(dealt, work, "shard long, path string, ids long, documents long"))
 
 

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from folioframe.llm import licences, merkle, negatives
+from folioframe.llm import bitpack, licences, merkle, negatives
+from folioframe.llm.queries import BYTE_BPE
 
 
 def sha(text):
@@ -205,3 +206,23 @@ def test_licence_notes_of_the_documents_are_labelled(spark):
     for row in rows.collect():
         assert row.labels.split(",") == (sorted(v for k, v in notes.items() if k in (row.text or "")) or [""])
         assert row.score == 1.0 if row.labels else row.score < 0.8
+
+
+def test_shards_begin_where_the_sizes_say(spark, tmp_path):
+    """Many small shards: keys ascend over all files, nulls first, a repeated key is spread by its texts, nothing is lost."""
+    turn = random.Random(7)
+    rows = [(turn.choice([None, 5, 5, 5, i, -i]), turn.choice(["", None, "word " * turn.randint(1, 60), f"text {i}"])) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as tie", "3 as shard").repartition(5)
+    files = bitpack.write_shards(table, lambda: bitpack.ByteEncoder(BYTE_BPE).encode, 50257, 2, f"file://{tmp_path}/t", shard_bytes=500)
+    assert files.count() > 10 and files.agg(F.sum("documents")).first()[0] == 400
+    back = bitpack.read_shards(files).orderBy("start", F.length("ids")).collect()
+    assert [r.id for r in back] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    whole = bitpack.ByteEncoder(BYTE_BPE)
+    expected = sorted((str(k), whole.encode(t or "") + (2).to_bytes(4, "little")) for k, t in rows)
+    assert sorted((str(r.id), bytes(r.ids)) for r in back) == expected
+    start = 0
+    for r in back:
+        assert r.start == start
+        start += len(r.ids) // 4
+    sizes = [r.ids for r in files.collect()]
+    assert max(sizes) < 4 * (sum(sizes) / len(sizes)) + 600
