@@ -6,35 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import identifiers, people
-from folioframe.operators import catalog, extract, identify, linkage, merge, quality
+from folioframe.operators import catalog, identify, linkage
+from folioframe.plans.ratio import key_of, may_match, ratios
 from folioframe.plans.registry import STATEMENTS, query
 from folioframe.plans.scalars import creators_of
 from folioframe.plans.views import Inputs
 from folioframe.session import cut
-from folioframe.sources import registries
 from folioframe.streaming import running
 
 
-def identified(t: Inputs) -> DataFrame:
-    """Text guess, then the registry by DOI, then the empty fields filled; with the supplement verdict."""
-    texts = t.v_text.join(t.v_entries.select(F.col("entry_id").alias("doc_id"), F.col("doi").alias("known_doi")), "doc_id")
-    guess = extract.text_metadata(texts.select("doc_id", "text", "known_doi")).withColumn("doi", F.coalesce("known_doi", "doi"))
-    guess = cut(guess)
-    guess = guess.withColumn("filename", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")))
-    judged = quality.detect_supplement(guess, "text", "filename", None, "doi").drop("text", "reasons", "label")
-    registry = registries.crossref_entries(t.v_registry).drop("source").withColumn("source", F.lit("crossref"))
-    answers = judged.select("doc_id", "doi").join(
-        registry.select("doi", "publication_title", "volume", "issue", "year", "publisher", "source"), "doi"
-    ).drop("doi")
-    return merge.merge_fill(cut(judged), answers, "doc_id")
-
-
 def planted(t: Inputs) -> DataFrame:
     """The waterfall over documents and registries planted for each of its tiers."""
     rows = cut(t.v_planted)
     person = lambda c: F.array(people.parse_name(c))
     year = F.col("y").cast("int").alias("year")
-    arxiv = rows.filter("doc_id % 8 = 0").select(F.col("own_arxiv").alias("arxiv_id"), F.concat(F.lit("Preprint "), "h").alias("title"), person(F.concat("p1", F.lit(" X"))).alias("creators"), year)
+    arxiv = rows.filter("doc_id % 8 = 0").select(F.col("own_arxiv").alias("arxiv_id"), F.concat("lib_title", F.lit(" v2")).alias("title"), person(F.concat("p1", F.lit(" X"))).alias("creators"), year)
     def shelf(label: str, tiers: str, title: Column) -> DataFrame:
         return rows.filter(tiers).select(
             F.when(F.expr("doc_id % 8 < 3"), F.col("own_doi")).alias("doi"), F.col("doc_id").alias("ord"), title.alias("title"), person(F.lit(f"Ann {label}")).alias("creators"), year,
@@ -47,12 +33,12 @@ def planted(t: Inputs) -> DataFrame:
 
 
 IDENTIFIED = """
-ax AS (SELECT own_arxiv AS a, min(h) AS h, min(p1) AS p1, min(y) AS y FROM v_planted WHERE doc_id % 8 = 0 GROUP BY 1),
+ax AS (SELECT own_arxiv AS a, min(lib_title) AS title, min(p1) AS p1, min(y) AS y FROM v_planted WHERE doc_id % 8 = 0 GROUP BY 1),
 dois AS (SELECT own_doi AS d, min(h) AS h, min(y) AS y, bool_or(doc_id % 8 = 1) AS cr, bool_or(doc_id % 8 IN (1, 2)) AS oa FROM v_planted WHERE doc_id % 8 IN (1, 2) GROUP BY 1),
 cn AS (SELECT cn_title, doc_id % 8 AS k, arg_min(topic, doc_id) AS topic FROM v_planted WHERE doc_id % 8 IN (3, 4) GROUP BY ALL),
 m AS (SELECT p.*, doc_id % 8 AS k, CASE WHEN doc_id % 8 = 0 THEN own_arxiv WHEN doc_id % 8 = 1 THEN '9' || substr(own_arxiv, 2) END AS arx, CASE WHEN doc_id % 8 IN (1, 2) THEN own_doi END AS dd FROM v_planted p),
 idn AS (SELECT m.doc_id, m.filename, m.text AS whole, m.site, CASE WHEN ax.a IS NOT NULL THEN 'arXiv' WHEN cr THEN 'Crossref' WHEN oa THEN 'OpenAlex' WHEN m.k = 3 THEN 'OpenAlex' WHEN m.k = 4 THEN 'Crossref' WHEN m.k = 5 THEN 'cn-filename' WHEN m.doc_id % 16 = 6 THEN 'local' WHEN m.k = 7 THEN 'local-text' END AS source,
-  CASE WHEN ax.a IS NOT NULL THEN 'Preprint ' || ax.h WHEN cr THEN 'Crossref ' || dois.h WHEN oa THEN 'OpenAlex ' || dois.h WHEN m.k IN (3, 4, 5) THEN m.cn_title WHEN m.doc_id % 16 = 6 THEN m.topic || '研究' WHEN m.k = 7 THEN 'A Study of ' || substr(m.h, 1, 6) || ' in ' || m.site END AS title,
+  CASE WHEN ax.a IS NOT NULL THEN ax.title || ' v2' WHEN cr THEN 'Crossref ' || dois.h WHEN oa THEN 'OpenAlex ' || dois.h WHEN m.k IN (3, 4, 5) THEN m.cn_title WHEN m.doc_id % 16 = 6 THEN m.topic || '研究' WHEN m.k = 7 THEN 'A Study of ' || substr(m.h, 1, 6) || ' in ' || m.site END AS title,
   CASE WHEN ax.a IS NOT NULL THEN 'X' WHEN cr THEN 'Crossref' WHEN oa THEN 'OpenAlex' WHEN m.k IN (3, 4, 5) THEN m.p1 WHEN m.doc_id % 16 = 6 THEN m.p1 || '|' || m.p2 WHEN m.k = 7 THEN substr(translate(m.h, '0123456789', 'ghijklmnop'), 1, 6) || '|Stone|' || m.lang END AS families,
   CASE WHEN ax.a IS NOT NULL THEN ax.y WHEN cr OR oa THEN dois.y WHEN m.k IN (3, 4, 5) OR m.doc_id % 16 = 6 THEN m.y END::INTEGER AS year,
   CASE WHEN ax.a IS NOT NULL THEN NULL WHEN cr THEN 'Crossref Letters ' || substr(dois.h, 1, 4) WHEN oa THEN 'OpenAlex Letters ' || substr(dois.h, 1, 4) WHEN m.k = 3 THEN 'OpenAlex Letters ' || cn.topic WHEN m.k = 4 THEN 'Crossref Letters ' || cn.topic END AS venue,
@@ -76,18 +62,41 @@ def identify_waterfall(t: Inputs) -> DataFrame:
     )
 
 
-@query("batch_identify")
+NAME = r"trim(regexp_replace(trim(regexp_replace(regexp_replace({0}, '[<>:\"/\\|?*]+', '-', 'g'), '\s+', ' ', 'g'), ' .'), '\s*[-–—]\s*[-–—]+\s*', ' - ', 'g'), ' .')"
+W = r"[^\p{L}\p{N}_]"
+TEXT_YEAR = rf"""TRY_CAST(coalesce(nullif(regexp_extract(whole, '(?im)^\s*Published\s*:[^\n]*{W[:-1]}\n]((?:19|20)[0-9]{{2}})(?:$|{W})', 1), ''),
+  nullif(regexp_extract(whole, '(?i)(?:^|{W})(?:Journal|Nature|Science){W[:-1]}\n](?:[^\n]{{0,98}}?{W[:-1]}\n])?((?:19|20)[0-9]{{2}})(?:$|{W})', 1), ''), nullif(regexp_extract(whole, '(?:^|{W})((?:19|20)[0-9]{{2}})(?:$|{W})', 1), '')) AS INTEGER)"""
+
+
+@query("batch_identify", f"""
+WITH RECURSIVE {IDENTIFIED},
+f AS (SELECT doc_id AS entry_id, title, doi, filename, k = 2 AND doc_id % 3 = 0 AS sup, coalesce(split_part(families, '|', 1), '') AS family, {key_of("coalesce(title, '')")} AS key,
+  coalesce(CASE WHEN k <> 7 THEN year WHEN {TEXT_YEAR} BETWEEN 1900 AND year(current_date) + 1 THEN {TEXT_YEAR} END::VARCHAR, '') AS y FROM idn),
+lib AS (SELECT e.entry_id + 1000000000 AS entry_id, e.ord, e.doi, e.folder, {key_of('e.title')} AS key, coalesce(l.quality = 1, length(e.title) % 2 = 0) AS taken FROM v_entries e LEFT JOIN labels l ON l.doc_id = e.entry_id),
+byd AS (SELECT f.entry_id, m[2] AS match_id FROM f JOIN (SELECT doi, min((ord, entry_id)) AS m FROM lib WHERE doi IS NOT NULL GROUP BY doi) USING (doi)),
+t AS (SELECT key, min((ord, entry_id)) AS m FROM lib WHERE key <> '' GROUP BY key),
+rest AS (SELECT * FROM f WHERE key <> '' AND entry_id NOT IN (SELECT entry_id FROM byd)),
+eqt AS (SELECT entry_id, m[2] AS match_id FROM rest JOIN t USING (key)),
+op AS (SELECT * FROM rest WHERE entry_id NOT IN (SELECT entry_id FROM eqt)),
+{ratios("SELECT op.key AS a, t.key AS b FROM op JOIN t ON " + may_match(0.92, 'op.key', 't.key'))},
+fz AS (SELECT op.entry_id, max((ratio, -t.m[1], t.m[2])) AS best FROM op JOIN rt ON rt.a = op.key JOIN t ON t.key = rt.b WHERE ratio >= 0.92 GROUP BY op.entry_id),
+dup AS (SELECT * FROM byd UNION ALL SELECT * FROM eqt UNION ALL SELECT entry_id, best[3] FROM fz),
+c AS (SELECT f.*, {NAME.format("family || ' - ' || y")} AS name, lib.folder, CASE WHEN coalesce(title, '') = '' THEN 'not identified' WHEN lib.folder IS NOT NULL AND taken AND NOT sup THEN 'the parent already has a primary file' END AS reason
+  FROM f LEFT JOIN dup USING (entry_id) LEFT JOIN lib ON lib.entry_id = dup.match_id),
+u AS (SELECT entry_id, name || CASE WHEN row_number() OVER (PARTITION BY name ORDER BY entry_id) > 1 THEN ' (' || row_number() OVER (PARTITION BY name ORDER BY entry_id) || ')' ELSE '' END AS fresh FROM c WHERE folder IS NULL AND reason IS NULL),
+p AS (SELECT c.*, CASE WHEN reason IS NULL THEN coalesce(folder, fresh) END AS place FROM c LEFT JOIN u USING (entry_id))
+SELECT entry_id, filename AS rel, place || '/' || split_part(place, '/', -1) || CASE WHEN sup THEN ' - Supporting Information.pdf' ELSE '.pdf' END AS target, CASE WHEN sup THEN 'supplement' ELSE 'primary' END AS role,
+  CASE WHEN reason IS NOT NULL THEN 'failed' WHEN sup THEN 'supplement' ELSE 'organized' END AS status, reason FROM p""")
 def batch_identify(t: Inputs) -> DataFrame:
-    """Documents to a move plan: identify, fill, find duplicates in the library, name, place."""
-    found = cut(identified(t).withColumnRenamed("doc_id", "entry_id").withColumn("ord", F.col("entry_id")))
-    found = found.withColumn("rel", F.col("filename"))
-    labels = t.labels.select(F.col("doc_id").alias("entry_id"), (F.col("quality") == 1).alias("has_primary"))
-    library = t.v_entries.join(labels, "entry_id").select(
-        (F.col("entry_id") + 10**9).alias("entry_id"), "ord", "doi", "title", "folder", "has_primary"
-    )
+    """Documents to a move plan: all tiers of identification, duplicates in the library by DOI and title, name, place."""
+    found = cut(planted(t).join(t.v_planted.select("doc_id", F.col("filename").alias("rel")), "doc_id").withColumn("ord", F.col("doc_id")).withColumnRenamed("doc_id", "entry_id"))
+    labels = t.labels.select(F.col("doc_id").alias("entry_id"), (F.col("quality") == 1).alias("good"))
+    library = cut(t.v_entries.join(labels, "entry_id", "left").select(
+        (F.col("entry_id") + 10**9).alias("entry_id"), "ord", "doi", "title", "folder", F.coalesce("good", F.length("title") % 2 == 0).alias("has_primary")
+    ))
     duplicates = linkage.find_duplicates(found.select("entry_id", "ord", "doi", "title"), library)
     names = library.select(F.substring_index("folder", "/", -1).alias("name")).distinct()
-    return catalog.archive_plan(found, duplicates, library, names)
+    return catalog.archive_plan(found, duplicates, library, names, '{{ authors max="1" name="family" }} - {{ year }}')
 
 
 @query("archive_plan", r"""

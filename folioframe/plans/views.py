@@ -49,7 +49,7 @@ def _lines(base: str, columns: str, text: str) -> View:
 # Documents planted for every tier: by doc_id modulo 8 an arXiv id, an arXiv id that no registry has and a DOI, a DOI that OpenAlex alone has,
 # three Chinese file names (found in OpenAlex, in Crossref, nowhere), parser output or nothing at all, and a text with a title block.
 CN_TITLE = "topic || CASE doc_id % 8 WHEN 3 THEN '导论甲甲甲甲' WHEN 4 THEN '图说乙乙乙乙' ELSE '札记丙丙丙丙' END"
-PLANTED = f"""SELECT c.doc_id, c.p1, c.p2, c.y, c.source AS site, h.h, h.lang, '10.' || CAST(1000 + length(h.text) % 7 AS STRING) || '/' || substr(h.h, 1, 10) AS own_doi, substr(h.d, 1, 4) || '.' || substr(h.d, 5, 5) AS own_arxiv, {CN_TITLE.replace('topic', 'c.topic').replace('doc_id', 'c.doc_id')} AS cn_title, c.topic,
+PLANTED = f"""SELECT c.doc_id, e.title AS lib_title, c.p1, c.p2, c.y, c.source AS site, h.h, h.lang, '10.' || CAST(1000 + length(h.text) % 7 AS STRING) || '/' || substr(h.h, 1, 10) AS own_doi, substr(h.d, 1, 4) || '.' || substr(h.d, 5, 5) AS own_arxiv, {CN_TITLE.replace('topic', 'c.topic').replace('doc_id', 'c.doc_id')} AS cn_title, c.topic,
   CASE WHEN c.doc_id % 8 IN (3, 4, 5) THEN c.p1 || ' - ' || c.y || ' - ' || {CN_TITLE.replace('topic', 'c.topic').replace('doc_id', 'c.doc_id')} ELSE 'doc' || CAST(c.doc_id AS STRING) END || '.pdf' AS filename,
   CASE c.doc_id % 8 WHEN 0 THEN h.text || chr(10) || 'arXiv:' || substr(h.d, 1, 4) || '.' || substr(h.d, 5, 5) || 'v2'
     WHEN 1 THEN h.text || chr(10) || 'arXiv:9' || substr(h.d, 2, 3) || '.' || substr(h.d, 5, 5) || chr(10) || 'https://doi.org/10.' || CAST(1000 + length(h.text) % 7 AS STRING) || '/' || substr(h.h, 1, 10)
@@ -57,7 +57,7 @@ PLANTED = f"""SELECT c.doc_id, c.p1, c.p2, c.y, c.source AS site, h.h, h.lang, '
     WHEN 6 THEN '12 34'
     WHEN 7 THEN '# A Study of ' || substr(h.h, 1, 6) || ' in ' || c.source || chr(10) || 'Ann ' || substr(translate(h.h, '0123456789', 'ghijklmnop'), 1, 6) || ', Bob Stone and Carl ' || h.lang || chr(10) || h.text
     ELSE h.text END AS text
-FROM {{v_cn}} c JOIN {{v_hashed}} h ON h.doc_id = c.doc_id"""
+FROM {{v_cn}} c JOIN {{v_hashed}} h ON h.doc_id = c.doc_id JOIN {{v_entries}} e ON e.entry_id = c.doc_id"""
 
 _HASHED = "SELECT *, md5(text) AS h, translate(md5(text), 'abcdef', '012345') AS d FROM {documents}"
 
