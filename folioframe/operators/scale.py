@@ -1,9 +1,9 @@
 """Ordered work that no single task has to do alone.
 
 A plain window sorts each key in one task, so one key with a third of all rows
-would stall the job. The functions here cut a key's order into spans, total the
-spans with a combining aggregate and add what came before to a window inside
-each span. The rows move once: the span window and the join share their keys.
+would stall the job. The functions here cut the order of keys and rows into ranges, total
+each key's part of a range with a combining aggregate and add what came before
+to a window inside the range.
 """
 
 from __future__ import annotations
@@ -13,31 +13,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 65536
+from folioframe.session import cut
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Rows sorted by keys and order, cut into ranges of about equal size; adds `_range` and `_spot` (rising within it).
+
+    The bounds are Spark's own sampled quantiles, so a key with most of the rows, hashed
+    ids and epoch seconds spread alike. Only rows equal in keys and order are never parted.
+    The rows are written, so every later step sees the same ranges.
+    """
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    written = cut(dealt.sortWithinPartitions(*by).withColumn("_spot", F.monotonically_increasing_id()))
+    return written.withColumn("_range", F.shiftright("_spot", 33))
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, output: str,
-    ties: Sequence[str] = (), span: int = SPAN,
+    ties: Sequence[str] = (), ranges: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of `value` per key by the integer column `order`.
+    """Inclusive running sum of `value` per key by `order`.
 
-    Keys and order must not be NULL. `ties` makes the order total.
+    Null keys are keys like others and a null order comes first. `ties` makes the
+    order total. Each range of the order is summed up by a window of its own; what
+    stands in the ranges before it comes from one total for each key and range.
     """
-    rows = df.withColumn("_span", F.floor(F.col(order) / span)).withColumn("_value", value)
-    totals = rows.groupBy(*keys, "_span").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_span", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_span").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_ranges(df.withColumn("_value", value), keys, [order, *ties], ranges)
+    totals = rows.groupBy(*keys, "_range").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    offsets = totals.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("_range").alias("_its"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_spot").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.sum("_value").over(inside))
-    return local.join(offsets, [*keys, "_span"]).withColumn(output, F.col("_local") + F.col("_before")).drop(
-        "_span", "_value", "_local", "_before"
-    )
+    same = F.col("_range") == F.col("_its")
+    for key, name in names.items():
+        same &= F.col(key).eqNullSafe(F.col(name))
+    return local.join(offsets, same).select(*df.columns, (F.col("_local") + F.col("_before")).alias(output))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: str, output: str, ties: Sequence[str] = (), span: int = SPAN) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: str, output: str, ties: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Row number per key by `order`, from 1."""
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), output, ties, span)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), output, ties, ranges)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -41,11 +41,24 @@ def test_duplicates_prefer_doi_then_best_then_earliest(spark):
     assert got == {10: (1, "doi"), 11: (2, "title")}
 
 
-def test_running_total_with_small_spans(spark):
-    df = spark.range(500).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 7).alias("v"))
-    got = {r.id: r.s for r in scale.running_total(df, ["k"], "id", F.col("v"), "s", span=16).collect()}
-    for i in range(500):
-        assert got[i] == sum(j % 7 for j in range(i % 3, i + 1, 3))
+def test_running_total_over_ranges(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") > 9, F.xxhash64("id")).alias("o"), "id", (F.col("id") % 7).alias("v"))
+    order = lambda r: (r.o is not None, r.o or 0, r.id)
+    rows, want = df.collect(), {}
+    for key in (None, 1, 2):
+        total = 0
+        for r in sorted((r for r in rows if r.k == key), key=order):
+            want[r.id] = total = total + r.v
+    assert {r.id: r.s for r in scale.running_total(df, ["k"], "o", F.col("v"), "s", ["id"], ranges=16).collect()} == want
+    assert scale.running_total(df.limit(0), ["k"], "o", F.col("v"), "s").count() == 0
+
+
+def test_one_key_with_sparse_orders_is_spread(spark):
+    df = spark.range(1_000_000).select(F.lit("one").alias("k"), F.xxhash64("id").alias("o"))
+    sizes = [r["count"] for r in scale.in_ranges(df, ["k"], ["o"], 32).groupBy("_range").count().collect()]
+    assert len(sizes) > 24 and max(sizes) < 2 * 1_000_000 / 32
+    top = scale.numbered(df, ["k"], "o", "n", ranges=32).agg(F.min("n"), F.max("n"), F.sum("n"), F.max(F.struct("o", "n"))["n"]).first()
+    assert tuple(top) == (1, 1_000_000, 1_000_000 * 1_000_001 // 2, 1_000_000)
 
 
 def test_eviction_with_equal_times(spark):
