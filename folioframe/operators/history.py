@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import paths
-from folioframe.operators.scale import first_per_key, top_per_key
+from folioframe.operators.scale import as_of, first_per_key, running_total, top_per_key
 
 # Kinds of change and conflict.
 CREATE, MODIFY, DELETE = "create", "modify", "delete"
@@ -124,6 +124,27 @@ def undo_state(history: DataFrame, snapshots: DataFrame, listings: DataFrame, fi
     return kept.unionByName(back), history.join(undone, "seq", "left_anti")
 
 
+def undo_every_step(history: DataFrame, snapshots: DataFrame, listing_log: DataFrame) -> DataFrame:
+    """What undoing each step of the log does: step, first_seq, rel, action, content_hash.
+
+    A step is a run of rows of one group, numbered from 1. `listing_log` (seq, rel,
+    present) holds the baseline listing and its changes. Per step and path the
+    oldest snapshot comes back, if the listing as of the step's first row
+    knows the path; otherwise the path goes. One as-of join serves all steps.
+    """
+    keyed = history.select("seq", group_of(F.col("group_id"), F.col("seq")).alias("_gid"))
+    marked = as_of(keyed, keyed.withColumnRenamed("_gid", "_before"), [], "seq", "_before", "_last")
+    starts = F.when(F.col("_gid").eqNullSafe(F.col("_last")), 0).otherwise(1)
+    steps = running_total(marked, [], "seq", starts, "step").select("seq", "step")
+    touched = snapshots.join(steps, "seq").groupBy("step", "rel").agg(F.min_by(F.struct("content_hash", "existed"), "seq").alias("_old"))
+    firsts = steps.groupBy("step").agg(F.min("seq").alias("seq"))
+    known = as_of(touched.join(firsts, "step"), listing_log, ["rel"], "seq", "present", "_known")
+    back = F.coalesce("_known", F.lit(False)) & F.col("_old.existed")
+    return known.select(
+        "step", F.col("seq").alias("first_seq"), "rel", F.when(back, "restore").otherwise("remove").alias("action"), F.when(back, F.col("_old.content_hash")).alias("content_hash"),
+    )
+
+
 def undo_backup(changes: DataFrame, saved: DataFrame) -> DataFrame:
     """What to do with each written file: created ones go, the others come back; a missing copy is an error."""
     copies = saved.select("rel", F.lit(True).alias("_saved")).distinct()

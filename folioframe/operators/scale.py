@@ -51,6 +51,34 @@ def running_total(
     return local.join(offsets, same).select(*df.columns, (F.col("_local") + F.col("_before")).alias(output))
 
 
+def as_of(targets: DataFrame, log: DataFrame, keys: Sequence[str], order: str, value: str, output: str, inclusive: bool = False, ranges: int | None = None) -> DataFrame:
+    """`targets` with the `value` of the last row of `log` that has the same keys and a smaller `order` (or an equal one, if inclusive).
+
+    Both sides have the keys and `order`; without an earlier row `output` is null.
+    Among log rows of equal order the greatest value counts. Rows of both sides
+    are sorted together in ranges: inside a range a window carries the last value
+    on, and one value for each key and range carries it into the next ones. No pair of rows
+    is compared, and a key with most of the rows is spread.
+    """
+    held = F.struct(F.col(value).alias("v"))
+    asked = targets.select(*keys, order, F.lit(1 if inclusive else 0).alias("_kind"), F.struct(*targets.columns).alias("_row"), F.lit(None).cast(log.select(held.alias("x")).schema["x"].dataType).alias("_held"))
+    said = log.groupBy(*keys, order).agg(F.max(value).alias(value)).select(*keys, order, F.lit(0 if inclusive else 1).alias("_kind"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), held.alias("_held"))
+    rows = in_ranges(asked.union(said), keys, [order, "_kind"], ranges)
+    ends = rows.filter("_held is not null").groupBy(*keys, "_range").agg(F.max_by("_held", "_spot").alias("_end"))
+    # Every range that has targets of a key asks for the last value in front of it.
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.select(*keys, "_range").distinct()
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    both = spans.withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType)).unionByName(ends).groupBy(*keys, "_range").agg(F.max("_end").alias("_end"))
+    carried = both.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("_range").alias("_its"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_spot").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_last", F.last("_held", ignorenulls=True).over(inside)).filter("_row is not null")
+    same = F.col("_range") == F.col("_its")
+    for key, name in names.items():
+        same &= F.col(key).eqNullSafe(F.col(name))
+    return local.join(carried, same).select("_row.*", F.coalesce("_last", "_carried")["v"].alias(output))
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: str, output: str, ties: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Row number per key by `order`, from 1."""
     return running_total(df, keys, order, F.lit(1).cast("bigint"), output, ties, ranges)

@@ -107,11 +107,25 @@ def undo_state(t: Inputs) -> DataFrame:
     files = h.select("rel", F.lit("now").alias("content_hash")).distinct()
     snapshots = h.select("seq", "rel", F.concat(F.lit("v"), F.col("seq").cast("string")).alias("content_hash"), (F.col("value") > 3).alias("existed"))
     # The listing of a step holds every path of an earlier row.
-    first = history.undo_step(h).agg(F.min("seq").alias("_first"))
-    listings = h.filter("value < 900").join(first, F.col("seq") < F.col("_first")).select(F.col("_first").alias("seq"), "rel").distinct()
+    first = history.undo_step(h).agg(F.min("seq")).scalar()
+    listings = h.filter("value < 900").filter(F.col("seq") < first).select(first.alias("seq"), "rel").distinct()
     return history.undo_state(h, snapshots, listings, files)[0]
 
 
+@query("undo_every_step", """
+WITH g AS (SELECT *, coalesce(group_id, seq::VARCHAR) AS gid FROM v_history),
+st AS (SELECT *, sum(starts) OVER (ORDER BY seq)::BIGINT AS step FROM (SELECT *, CASE WHEN gid = lag(gid) OVER (ORDER BY seq) THEN 0 ELSE 1 END AS starts FROM g)),
+tc AS (SELECT step, rel, arg_min('v' || CAST(seq AS VARCHAR), seq) AS h, arg_min(value > 3, seq) AS existed FROM st GROUP BY ALL),
+fs AS (SELECT step, min(seq) AS first_seq FROM st GROUP BY step)
+SELECT step, first_seq, tc.rel, CASE WHEN existed AND coalesce(l.value < 900, false) THEN 'restore' ELSE 'remove' END AS action, CASE WHEN existed AND coalesce(l.value < 900, false) THEN h END AS content_hash
+FROM tc JOIN fs USING (step) ASOF LEFT JOIN v_history l ON l.rel = tc.rel AND fs.first_seq > l.seq""")
+def undo_every_step(t: Inputs) -> DataFrame:
+    """The effect of undoing each step of the whole log, against the listing as of its start."""
+    h = t.v_history
+    snapshots = h.select("seq", "rel", F.concat(F.lit("v"), F.col("seq").cast("string")).alias("content_hash"), (F.col("value") > 3).alias("existed"))
+    return history.undo_every_step(h, snapshots, h.select("seq", "rel", (F.col("value") < 900).alias("present")))
+
+
 @query("undo_backup", f"""
 WITH {DIFF} SELECT rel, kind, CASE WHEN kind = 'create' THEN 'delete' WHEN rel IN (SELECT rel FROM v_paths WHERE size % 2 = 0) THEN 'restore' ELSE 'error: backup copy missing' END AS action FROM df""")
 def undo_backup(t: Inputs) -> DataFrame:

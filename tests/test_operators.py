@@ -61,6 +61,25 @@ def test_one_key_with_sparse_orders_is_spread(spark):
     assert tuple(top) == (1, 1_000_000, 1_000_000 * 1_000_001 // 2, 1_000_000)
 
 
+def test_as_of_equals_brute_force(spark):
+    rng = random.Random(11)
+    keys = [None, "a", "a", "a", "a", "b"]
+    log = [(rng.choice(keys), rng.randrange(300), rng.choice([None, 1, 2, 3])) for _ in range(300)]
+    asked = [(i, rng.choice([*keys, "c"]), rng.randrange(300)) for i in range(400)]
+    left = spark.createDataFrame(asked, "i long, k string, at long")
+    right = spark.createDataFrame(log, "k string, at long, v long")
+    for inclusive in (False, True):
+        want = {}
+        for i, k, at in asked:
+            earlier = [(a, v is not None, v or 0, v) for key, a, v in log if key == k and (a < at or inclusive and a == at)]
+            want[i] = max(earlier, key=lambda x: x[:3])[3] if earlier else None
+        found = scale.as_of(left, right, ["k"], "at", "v", "last", inclusive, ranges=9)
+        assert {r.i: r.last for r in found.collect()} == want and found.columns == ["i", "k", "at", "last"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert scale.as_of(left, right.limit(0), ["k"], "at", "v", "last").filter("last is null").count() == 400
+
+
 def test_eviction_with_equal_times(spark):
     rows = [(i, f"2024-01-0{1 + i // 40} 00:00:00", (i * 37) % 11) for i in range(200)]
     df = spark.createDataFrame(rows, "key long, mtime string, size long").withColumn("mtime", F.to_timestamp("mtime"))
