@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from folioframe.operators import catalog
 from folioframe.plans.registry import query
 from folioframe.plans.views import Inputs
-from folioframe.sources import files
+from folioframe.session import cut
+from folioframe.sources import files, results
+from folioframe.streaming import running
 
 STAMP = "2024-05-01T10:00:00"
 SCAN = r"""
@@ -244,3 +246,24 @@ def invalidate_results(t: Inputs) -> DataFrame:
     stored = t.documents.select(F.md5("text").alias("doc_hash"), "doc_id")
     bad = t.documents.join(t.labels.filter("quality = 0"), "doc_id", "left_semi").select(F.md5("text").alias("doc_hash"))
     return stored.join(bad, "doc_hash", "left_anti").groupBy("doc_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("result_store", r"""
+WITH c AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+SELECT left(sha256('translate' || chr(0) || CAST(conv_id AS VARCHAR)), 20) AS doc_hash, turn AS seg_idx,
+  md5(CASE WHEN conv_id % 6 = 0 AND turn < 2 THEN 'B' || text WHEN conv_id % 3 <> 0 AND turn < 4 THEN text ELSE 'C' || text END) AS result, turn < 4 AND conv_id % 3 <> 0 OR conv_id % 6 = 0 AND turn < 2 AS in_third FROM c""")
+def result_store(t: Inputs) -> DataFrame:
+    """Results of all turns set, set again, invalidated, replaced, compacted and resumed; `in_third` tells what the third version held."""
+    turns = t.conversations.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    turns = cut(turns.select("conv_id", results.doc_hash("translate", F.col("conv_id").cast("string")).alias("doc_hash"), F.col("turn").alias("seg_idx"), F.col("text").alias("result")))
+    store = results.ResultStore(t.spark, running.new_folder(t.spark, "results"))
+    store.set(turns.filter("seg_idx < 4"))
+    if store.set(turns.filter("seg_idx < 4")) is not None:
+        raise AssertionError("a repeated run has written")
+    store.invalidate(turns.filter("conv_id % 3 = 0"))
+    third = store.set(turns.filter("conv_id % 6 = 0 and seg_idx < 2").withColumn("result", F.concat(F.lit("B"), "result")))
+    held = cut(store.read(third).select("doc_hash", "seg_idx", F.lit(True).alias("in_third")))
+    store.compact()
+    store.set(catalog.pending_segments(turns, store.read()).withColumn("result", F.concat(F.lit("C"), "result")))
+    now = store.read().join(held, ["doc_hash", "seg_idx"], "left")
+    return now.select("doc_hash", "seg_idx", F.md5("result").alias("result"), F.coalesce("in_third", F.lit(False)).alias("in_third"))
