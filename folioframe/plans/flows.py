@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import identifiers, people
-from folioframe.operators import catalog, identify, linkage
+from folioframe.operators import catalog, identify, linkage, moves, scale
 from folioframe.plans.ratio import key_of, may_match, ratios
 from folioframe.plans.registry import STATEMENTS, query
 from folioframe.plans.scalars import creators_of
@@ -131,6 +131,26 @@ def rename_plan(t: Inputs) -> DataFrame:
     return catalog.rename_plan(entries, t.v_attachments).select("entry_id", "pos", "src", "dst")
 
 
+@query("move_order", """
+WITH n AS (SELECT rel, row_number() OVER (ORDER BY rel) - 1 AS n FROM (SELECT DISTINCT rel FROM v_paths)),
+b AS (SELECT rel, n // 6 AS b, n % 6 AS k, count(*) OVER (PARTITION BY n // 6) AS size, lead(rel) OVER (PARTITION BY n // 6 ORDER BY n) AS nxt, first_value(rel) OVER (PARTITION BY n // 6 ORDER BY n) AS head, nth_value(rel, 2) OVER (PARTITION BY n // 6 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM n)
+SELECT size - 1 - k AS step, rel AS src, coalesce(nxt, rel || '.new') AS dst, 'move' AS kind, NULL::VARCHAR AS reason FROM b WHERE b % 4 = 0
+UNION ALL SELECT size - k, rel, coalesce(nxt, head), 'move', NULL FROM b WHERE b % 4 = 1 AND k > 0
+UNION ALL SELECT 0, rel, regexp_extract(rel, '^(.*/)[^/]*$', 1) || '.moving-' || md5(rel), 'to temporary', NULL FROM b WHERE b % 4 = 1 AND k = 0 AND size > 1
+UNION ALL SELECT size, regexp_extract(rel, '^(.*/)[^/]*$', 1) || '.moving-' || md5(rel), second, 'from temporary', NULL FROM b WHERE b % 4 = 1 AND k = 0 AND size > 1
+UNION ALL SELECT 0, rel, rel || '.twin', 'move', NULL FROM b WHERE b % 4 = 2 AND k = 0
+UNION ALL SELECT NULL, rel, head || '.twin', 'move', 'another move has the target' FROM b WHERE b % 4 = 2 AND k = 1
+UNION ALL SELECT NULL, rel, nxt, 'move', CASE WHEN k = size - 2 THEN 'the target exists' ELSE 'a move behind the target cannot be made' END FROM b WHERE b % 4 = 3 AND nxt IS NOT NULL""")
+def move_order(t: Inputs) -> DataFrame:
+    """All files of the inventory in groups of six: chains, rings, one target wanted twice, and chains that end at a file that stays."""
+    rows = scale.numbered(t.v_paths.select("rel").distinct(), [], "rel", "n").select("rel", F.expr("n - 1").alias("n"))
+    group = Window.partitionBy("b").orderBy("n")
+    rows = rows.select("rel", "n", F.expr("n div 6").alias("b"), F.expr("n % 6").alias("k")).withColumns({"next": F.lead("rel").over(group), "head": F.first("rel").over(group)})
+    dst = F.expr("""CASE b % 4 WHEN 0 THEN coalesce(next, rel || '.new') WHEN 1 THEN coalesce(next, head) WHEN 2 THEN CASE WHEN k < 2 THEN head || '.twin' END ELSE next END""")
+    plan = rows.select(F.col("rel").alias("src"), dst.alias("dst")).filter("dst is not null")
+    return moves.in_order(plan, t.v_paths)
+
+
 def _finish(stream) -> None:
     stream.awaitTermination()
 
