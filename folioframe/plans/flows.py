@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.functions import identifiers, people
-from folioframe.operators import catalog, identify, linkage, moves, scale
+from folioframe.functions import people
+from folioframe.operators import catalog, extract, identify, linkage, moves, scale
 from folioframe.plans.ratio import key_of, may_match, ratios
 from folioframe.plans.registry import STATEMENTS, query
 from folioframe.plans.scalars import creators_of
@@ -180,17 +180,24 @@ def stream_sessions(t: Inputs) -> DataFrame:
     return running.session_totals(t.spark, out).withColumns({"created_at": shown("created_at"), "updated_at": shown("updated_at")})
 
 
-@query("stream_intake", r"""
-WITH d AS (SELECT doc_id, CASE WHEN length(text) % 5 > 0 THEN '10.1/' || md5(text) END AS doi FROM documents)
-SELECT doc_id AS entry_id, doi, CASE WHEN doi IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY doi) THEN 'duplicate' ELSE 'organized' END AS status FROM d""")
+INTAKE_TEXT = """'# Report ' || substr(md5(text), 1, 2) || ' of ' || source || chr(10) || 'Ann Stone' || substr(translate(md5(text), '0123456789', 'ghijklmnop'), 1, 1) || ' and Bob Reed' || chr(10) || 'Published: 12 March 2021' || chr(10) || text
+  || CASE WHEN length(text) % 5 > 0 THEN chr(10) || 'doi: 10.1234/' || substr(md5(text), 1, 12) ELSE '' END"""
+
+
+@query("stream_intake", """
+WITH d AS (SELECT doc_id, CASE WHEN length(text) % 5 > 0 THEN '10.1234/' || substr(md5(text), 1, 12) END AS doi, 'Report ' || substr(md5(text), 1, 2) || ' of ' || source AS title, 'Stone' || substr(translate(md5(text), '0123456789', 'ghijklmnop'), 1, 1) || ' - 2021' AS name FROM documents),
+f AS (SELECT *, CASE WHEN doi IS NOT NULL THEN min(doc_id) OVER (PARTITION BY doi) END AS fd, min(doc_id) OVER (PARTITION BY lower(title)) AS ft FROM d),
+s AS (SELECT *, CASE WHEN fd < doc_id THEN 'doi' WHEN ft < doc_id THEN 'title' END AS reason FROM f),
+n AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY name, reason IS NULL ORDER BY doc_id) END AS n FROM s),
+o AS (SELECT *, name || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END AS own FROM n)
+SELECT doc_id AS entry_id, doi, title, CASE WHEN reason IS NULL THEN 'organized' ELSE 'duplicate' END AS status, CASE reason WHEN 'doi' THEN fd WHEN 'title' THEN ft END AS match_id, reason, CASE WHEN reason IS NULL THEN own || '/' || own || '.pdf' END AS target FROM o""")
 def stream_intake(t: Inputs) -> DataFrame:
-    def identify(batch: DataFrame) -> DataFrame:
-        own = F.when(F.length("text") % 5 > 0, F.concat(F.lit("doi:10.1/"), F.md5("text")))
-        return batch.select(
-            F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("ord"), identifiers.normalize_doi(own).alias("doi"), F.lit("t").alias("title")
-        )
+    """Documents as a stream: identified from their whole text, checked for a repeated DOI or title, named and placed."""
+    def identified(rows: DataFrame) -> DataFrame:
+        guess = extract.text_metadata(rows.select("doc_id", F.expr(INTAKE_TEXT).alias("text")))
+        return guess.select(F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("ord"), "doi", "title", "creators", "year")
 
-    files = running.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    arriving = running.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet")
     plan = running.new_folder(t.spark, "plan")
-    _finish(running.intake(files, identify, plan, running.new_folder(t.spark, "plan-state"), available_now=True))
-    return t.spark.read.parquet(plan).select("entry_id", "doi", "status")
+    _finish(running.intake(arriving, identified, plan, running.new_folder(t.spark, "plan-state"), '{{ authors max="1" name="family" }} - {{ year }}', available_now=True))
+    return t.spark.read.parquet(plan).select("entry_id", "doi", "title", "status", "match_id", "reason", "target")

@@ -11,13 +11,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from folioframe.operators.scale import first_per_key
-from folioframe.session import checkpoint_dir, hadoop_folder
+from folioframe.functions import naming
+from folioframe.functions.text import title_key
+from folioframe.operators.scale import first_per_key, numbered
+from folioframe.session import checkpoint_dir, cut, hadoop_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -70,29 +74,90 @@ def session_totals(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
+class _FirstSeen(StatefulProcessor):
+    """Per key (a DOI or a title) the first document that had it; every row learns it. Only numbers of a key's rows are held."""
+
+    def __init__(self, ttl_ms: int | None):
+        self._ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._first = handle.getValueState("first", "ord bigint, entry_id bigint", self._ttl)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        kind = key[0].partition(":")[0]
+        if kind == "self":
+            for part in rows:
+                yield pd.DataFrame({"entry_id": part["entry_id"], "kind": kind, "first_id": part["entry_id"], "payload": part["payload"]})
+            return
+        parts = [part[["ord", "entry_id"]].astype("int64") for part in rows]
+        first = self._first.get()
+        if first is None:
+            first = min(min(zip(part["ord"], part["entry_id"], strict=True)) for part in parts)
+            self._first.update((int(first[0]), int(first[1])))
+        for part in parts:
+            yield pd.DataFrame({"entry_id": part["entry_id"], "kind": kind, "first_id": int(first[1]), "payload": None})
+
+    def close(self) -> None:
+        pass
+
+
 def intake(
-    files: DataFrame, identify: Callable[[DataFrame], DataFrame], plan: str, checkpoint: str, available_now: bool = False
+    files: DataFrame, identify: Callable[[DataFrame], DataFrame], plan: str, checkpoint: str, template: str | None = None, ttl_days: int | None = None, available_now: bool = False
 ) -> StreamingQuery:
-    """Identify new files, drop those whose DOI is already planned, append the rest to the plan.
+    """Identify new files, mark those whose DOI or title has been seen, name and place the rest; append all to the plan.
+
+    `identify` maps new rows to entry_id, ord, doi, title, creators and year; it runs on the stream. The
+    first document of a DOI and of a title is keyed state (kept for `ttl_days`, or
+    for good), so a trigger reads its own rows and not the plan: the earlier one
+    wins, of one trigger the smaller ord. A repeated DOI comes before a
+    repeated title. Names are counted on: the n-th document of a name is placed in `name (n)`.
 
-    `identify` maps new rows to entry_id, ord, doi and title. Every micro-batch
-    writes its own partition, replaced whole when the batch is repeated.
+    The plan has entry_id, ord, doi, title, status, match_id, reason and target.
+    Every trigger writes a partition of its own, and the totals of the names it
+    used below `plan`-names; both are replaced whole when the trigger is repeated.
     """
+    found = identify(files)
+    pair = lambda kind, value: F.concat(F.lit(f"{kind}:"), value)
+    title = title_key(F.coalesce("title", F.lit("")))
+    keys = F.array_compact(F.array(
+        pair("self", F.col("entry_id").cast("string")), F.when(F.col("doi").isNotNull(), pair("doi", F.col("doi"))), F.when(title != "", pair("title", title)),
+    ))
+    packed = F.to_json(F.struct(*found.columns))
+    keyed = found.select("entry_id", "ord", packed.alias("_payload"), F.explode(keys).alias("key")).select(
+        "entry_id", "ord", "key", F.when(F.col("key").startswith("self:"), F.col("_payload")).alias("payload"))
+    seen = keyed.groupBy("key").transformWithStateInPandas(
+        _FirstSeen(ttl_days * 86_400_000 if ttl_days else None), "entry_id long, kind string, first_id long, payload string", "append", "ProcessingTime" if ttl_days else "None")
+    schema, counters = found.schema, f"{plan}-names"
+
     def place(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        found = identify(batch)
-        folder, files_there = hadoop_folder(spark, plan)
-        first = found.filter("doi is not null").groupBy("doi").agg(F.min("ord").alias("_first"))
-        # Rows without a DOI stay out of the joins, else they would meet in one task.
-        rows = found.filter("doi is not null").join(first, "doi").withColumn("_known", F.lit(False))
-        if files_there.exists(folder):  # else nothing is planned yet
-            known = spark.read.parquet(plan).filter(F.col("batch") != number).filter("status = 'organized' and doi is not null")
-            known = known.select("doi").distinct().withColumn("_known", F.lit(True))
-            rows = rows.drop("_known").join(known, "doi", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-        rows = rows.unionByName(found.filter("doi is null"), allowMissingColumns=True)
-        repeated = F.coalesce((F.col("ord") > F.col("_first")) | F.col("_known"), F.lit(False))
-        status = F.when(F.coalesce("title", F.lit("")) == "", "failed").when(repeated, "duplicate").otherwise("organized")
-        rows.select("entry_id", "ord", "doi", "title", status.alias("status")).write.mode("overwrite").parquet(f"{plan}/batch={number}")
-
-    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(place)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+        rows = cut(batch)  # the state is asked once
+        documents = rows.filter("kind = 'self'").select(F.from_json("payload", schema).alias("_d")).select("_d.*")
+        earlier = rows.filter("kind <> 'self' and first_id <> entry_id")
+        matches = earlier.groupBy("entry_id").agg(F.min(F.struct("kind", "first_id")).alias("_m"))  # doi sorts before title
+        status = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "failed").when(F.col("_m").isNotNull(), "duplicate").otherwise("organized")
+        judged = cut(naming.with_name(documents.join(matches, "entry_id", "left").withColumn("status", status), template))
+        new = numbered(judged.filter("status = 'organized'").select("entry_id", "name", "ord"), ["name"], "ord", "_n", ["entry_id"])
+        folder, files_there = hadoop_folder(spark, counters)
+        known = spark.createDataFrame([], "name string, total long")
+        if files_there.exists(folder):
+            before = spark.read.parquet(counters).filter(F.col("batch") != number)
+            known = before.groupBy("name").agg(F.max("total").alias("total"))
+        numbers = cut(new.join(known, "name", "left").select("entry_id", "name", (F.col("_n") + F.coalesce("total", F.lit(0))).alias("_n")))
+        numbers.groupBy("name").agg(F.max("_n").alias("total")).write.mode("overwrite").parquet(f"{counters}/batch={number}")
+        own = F.when(F.col("_n") > 1, F.concat("name", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col("name"))
+        out = judged.drop("name").join(numbers, "entry_id", "left").withColumn("_own", own)
+        out.select(
+            "entry_id", "ord", "doi", "title", "status", F.col("_m.first_id").alias("match_id"), F.col("_m.kind").alias("reason"),
+            F.when(F.col("status") == "organized", F.concat("_own", F.lit("/"), "_own", F.lit(".pdf"))).alias("target"),
+        ).write.mode("overwrite").parquet(f"{plan}/batch={number}")
+
+    writer = seen.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(place)
+    spark = files.sparkSession
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the query keeps the setting it has started with
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        spark.conf.set(setting, usual)
