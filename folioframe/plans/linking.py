@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import linkage, merge, rank, stats
 from folioframe.plans.ratio import key_of, may_match, ratios, squashed_of
-from folioframe.plans.registry import query
+from folioframe.plans.registry import STATEMENTS, query
 from folioframe.plans.scalars import STOP, creators_of
 from folioframe.plans.views import Inputs
 from folioframe.sources import records, registries
+from folioframe.streaming import running
 
 CLEAN = """jr AS (SELECT *, replace(replace(title, chr(92), ''), chr(34), '') AS jt, replace(replace(family, chr(92), ''), chr(34), '') AS jf, replace(replace(given, chr(92), ''), chr(34), '') AS jg, replace(replace(publication_title, chr(92), ''), chr(34), '') AS jp, replace(replace(publisher, chr(92), ''), chr(34), '') AS jpub FROM v_entries WHERE doi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doi ORDER BY entry_id) = 1)"""
 
@@ -83,6 +84,17 @@ def export_bibtex(t: Inputs) -> DataFrame:
     return records.bibtex_record(keyed).select("entry_id", "bibtex")
 
 
+@query("citation_bundles", STATEMENTS["export_bibtex"].replace("SELECT entry_id, array_to_string", ", bt AS (SELECT entry_id, array_to_string", 1) + """)
+SELECT folder || '/citation.bib' AS rel, octet_length(encode(x)) AS size, md5(x) AS content_md5 FROM (SELECT folder, string_agg(bibtex || chr(10), chr(10) ORDER BY split_part(bibtex, chr(10), 1), bibtex) AS x FROM bt JOIN v_entries USING (entry_id) GROUP BY folder)""")
+def citation_bundles(t: Inputs) -> DataFrame:
+    """The citation file of every folder, written and read back as bytes."""
+    keyed = export_bibtex(t).join(t.v_entries.select("entry_id", "folder"), "entry_id").withColumn("cite_key", F.substring_index("bibtex", "\n", 1))
+    root = running.new_folder(t.spark, "bundles")
+    records.write_citation_bundles(keyed, root)
+    back = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bib").load(root)
+    return back.select(F.regexp_extract("path", r"/bundles-[0-9a-f]+/(.*)$", 1).alias("rel"), F.col("length").alias("size"), F.md5("content").alias("content_md5"))
+
+
 @query("registry_by_doi", f"""
 WITH {CLEAN} SELECT e.entry_id, CASE WHEN length(e.doi) % 2 = 0 THEN 'crossref' WHEN j.doi IS NOT NULL THEN 'openalex' END AS registry, CASE WHEN j.doi IS NOT NULL THEN regexp_replace(trim(jt || '.'), '\\.+$', '') END AS title FROM v_entries e LEFT JOIN jr j ON j.doi = e.doi""".replace("length(e.doi) % 2 = 0", "j.volume::INT % 2 = 0"))
 def registry_by_doi(t: Inputs) -> DataFrame:

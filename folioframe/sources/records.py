@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from folioframe.functions import identifiers, paths
 from folioframe.functions.people import authors, bibtex_name, parse_name
 from folioframe.functions.text import dedupe_list, let, null_if_blank, text_or_empty
+from folioframe.operators.scale import numbered
 from folioframe.schemas import INDEX_FILE, MESSAGE
+from folioframe.sources.textfiles import write_files
 
 INDEX_VERSION = 3
+CITATION_FILE = "citation.bib"
 # BibTeX types and field order.
 BIB_TYPES = {
     "journalArticle": "article", "book": "book", "bookSection": "incollection", "conferencePaper": "inproceedings", "preprint": "misc",
@@ -167,13 +170,15 @@ def write_bibtex(records: DataFrame, path: str) -> None:
 
 
 def write_citation_bundles(records: DataFrame, path: str) -> None:
-    """Each folder's records in a directory of its own."""
-    records.select("folder", F.col("bibtex").alias("value")).write.mode("overwrite").partitionBy("folder").text(path)
+    """Each folder's records in its `citation.bib`, by cite key, a blank line between them."""
+    numbered_ = numbered(records.select(F.concat("folder", F.lit(f"/{CITATION_FILE}")).alias("target"), "cite_key", "bibtex"), ["target"], "cite_key", "n", ["bibtex"])
+    part = F.concat(F.when(F.col("n") > 1, "\n").otherwise(""), "bibtex", F.lit("\n"))
+    write_files(numbered_.select("target", "n", part.alias("part")), path, "n")
 
 
 def write_rendered(documents: DataFrame, path: str) -> None:
-    """Rendered documents as text, partitioned by their target path."""
-    documents.select("target", F.col("text").alias("value")).write.mode("overwrite").partitionBy("target").text(path)
+    """Rendered documents, each (target, text) in a file of its own."""
+    write_files(documents.select("target", F.col("text").alias("part")), path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:

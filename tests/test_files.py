@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from folioframe.sources import files, records, registries
+from folioframe.sources import files, records, registries, textfiles
 
 
 def test_index_and_logs(spark, tmp_path):
@@ -34,8 +35,22 @@ def test_atom_inventory_and_sinks(spark, tmp_path):
     records.write_bibtex(df, str(tmp_path / "out.bib"))
     text = "\n".join(r[0] for r in spark.read.option("wholetext", "true").text(str(tmp_path / "out.bib")).collect())
     assert text.startswith("@book{k1,\n  title = {T \\{x\\}},\n}")
-    records.write_citation_bundles(df, str(tmp_path / "bundles"))
-    assert (tmp_path / "bundles" / "folder=f1").is_dir()
-    records.write_rendered(df.select(F.lit("t.md").alias("target"), F.col("title").alias("text")), str(tmp_path / "docs"))
+    for _ in range(2):  # a second run leaves the same files
+        records.write_citation_bundles(df.unionByName(df.withColumns({"cite_key": F.lit("k0"), "bibtex": F.lit("@book{k0,}")})), str(tmp_path / "bundles"))
+        assert [p.name for p in (tmp_path / "bundles" / "f1").iterdir()] == ["citation.bib"]
+    assert (tmp_path / "bundles" / "f1" / "citation.bib").read_text() == "@book{k0,}\n\n@book{k1,\n  title = {T \\{x\\}},\n}\n"
+    assert not [p for p in (tmp_path / "bundles").iterdir() if p.name.startswith(".drafts")]
+    documents = spark.createDataFrame([(f"d{i % 7}/t{i}.md", f"text {i} ü") for i in range(50)] + [("empty.md", None)], "target string, text string")
+    records.write_rendered(documents, str(tmp_path / "docs"))
+    found = {str(p.relative_to(tmp_path / "docs")): p.read_text() for p in (tmp_path / "docs").rglob("*.md")}
+    assert found == {r.target: r.text or "" for r in documents.collect()}
+    records.write_rendered(documents.limit(0), str(tmp_path / "docs"))
     records.write_report(df, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
+
+
+def test_files_stay_below_their_root(spark, tmp_path):
+    for target in (None, "", "/etc/x", "a/../../x", "a//b", ".", ".drafts-x/y"):
+        with pytest.raises(Exception, match="not a path below the root"):
+            textfiles.write_files(spark.createDataFrame([("ok.md", "x"), (target, "x")], "target string, part string"), str(tmp_path / "root"))
+    assert not [p for p in (tmp_path / "root").rglob("*") if p.name.startswith(".drafts")]
