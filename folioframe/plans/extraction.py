@@ -172,19 +172,27 @@ def affiliation(t: Inputs) -> DataFrame:
     return layout.affiliations(t.v_cn_lines, titles)
 
 
-@query("title_block")
+@query("title_block", "SELECT doc_id, topic AS title, 66.0::DOUBLE AS title_y1, 18.0::DOUBLE AS title_size FROM v_cn")
 def title_block(t: Inputs) -> DataFrame:
     return layout.title_blocks(t.v_cn_lines)
 
 
-@query("author_line")
+@query("author_line", "SELECT doc_id, p1 || '|' || p2 AS authors FROM v_cn")
 def author_line(t: Inputs) -> DataFrame:
     lines = t.v_cn_lines
     found = layout.author_lines(lines, layout.title_blocks(lines))
     return found.select("doc_id", F.array_join("authors", "|").alias("authors"))
 
 
-@query("cn_record")
+@query("cn_record", r"""
+SELECT c.doc_id, CASE c.doc_id % 7 WHEN 1 THEN topic || '（上）' WHEN 2 THEN '规划' || topic || ' - 梁陈方案新考' WHEN 4 THEN topic || '第三卷' WHEN 5 THEN topic || '全集' WHEN 6 THEN topic || ' Part II' ELSE topic END AS title,
+  'cn-filename' AS source, CASE WHEN c.doc_id % 7 = 5 THEN 'book' ELSE 'journalArticle' END AS item_type,
+  CASE c.doc_id % 7 WHEN 0 THEN p1 WHEN 3 THEN '欧阳' || substr(p1, 2, 1) ELSE p1 || '|' || p2 END AS authors, CAST(y AS INTEGER) AS year,
+  CAST(1 + length(h.text) % 60 AS VARCHAR) AS volume, CAST(1 + length(h.text) % 12 AS VARCHAR) AS issue, '10.' || substr(d, 1, 4) || '/j.issn.' || substr(d, 5, 4) AS doi, topic AS publication_title, NULL::VARCHAR AS isbn,
+  CASE WHEN c.doc_id % 3 = 0 THEN '1000-' || substr(d, 1, 4) || '(' || y || ')02-0123-07' END AS article_no, CASE WHEN c.doc_id % 3 = 1 THEN 'TU' || substr(d, 1, 3) || '; TP391' END AS clc,
+  CASE WHEN c.doc_id % 3 = 2 THEN y || '-03-1' || substr(d, 1, 1) END AS received_date, CASE WHEN c.doc_id % 2 = 0 THEN CAST(1 + length(h.text) % 300 AS VARCHAR) END AS page_start,
+  CASE WHEN c.doc_id % 2 = 0 THEN CAST(1 + length(h.text) % 300 AS VARCHAR) || '9' END AS page_end, topic || '大学规划学院，北京 100045' AS affiliation
+FROM v_cn c JOIN v_hashed h ON h.doc_id = c.doc_id""")
 def cn_record(t: Inputs) -> DataFrame:
     names = cjk.filename_metadata(t.v_cn.select("doc_id", "stem", "text"))
     record = cjk.chinese_record(names, layout.front_page(t.v_cn_lines))

@@ -328,7 +328,7 @@ def near_part_groups(t: Inputs) -> DataFrame:
     return linkage.near_part_groups(t.v_entries.select(F.col("title").alias("base"), "ord"))
 
 
-@query("read_index")
+@query("read_index", "SELECT CAST(entry_id AS VARCHAR) AS id, title, item_type, year, source AS note FROM v_entries")
 def read_index(t: Inputs) -> DataFrame:
     """Index objects rebuilt from the entries, read back as rows."""
     raw = F.create_map(
