@@ -23,8 +23,6 @@ from folioframe.llm.common import batches, cut, free_name, worker_keep
 DIMENSIONS = 8192
 # The bound of the training sample: documents a language.
 SAMPLE = 400
-# Parts of a language that are ranked on their own first.
-PARTS = 64
 # Families of closely related languages. Others are a family of their own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -122,12 +120,12 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     machine a task; only weights come to the driver.
     """
     rows = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    # First within parts of a language, then over what is left of them: no task ranks a whole language.
-    keyed = rows.select(F.col(key).alias("id"), F.col(lang).alias("label"), F.xxhash64(key).alias("hash"), F.pmod(F.xxhash64(key, F.lit("part")), F.lit(PARTS)).alias("part"))
-    order = [F.col("hash"), F.col("id")]
-    some = keyed.withColumn("n", F.row_number().over(Window.partitionBy("label", "part").orderBy(*order))).where(F.col("n") <= sample)
-    first = some.select("id", "label", F.row_number().over(Window.partitionBy("label").orderBy(*order)).alias("n")).where(F.col("n") <= sample)
-    chosen = cut(first.select("id", "label").distinct())
+    # The smallest hashes lie below a bound that four times as many rows meet: only those are ranked.
+    totals = rows.groupBy(F.col(lang).alias("label")).agg(F.count("*").alias("total"))
+    keyed = rows.select(F.col(key).alias("id"), F.col(lang).alias("label"), F.xxhash64(key).alias("hash")).join(totals, "label")
+    low = keyed.where(F.col("hash") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * sample) / F.col("total")).select("id", "label", "hash").distinct()
+    first = low.select("id", "label", F.row_number().over(Window.partitionBy("label").orderBy("hash", "id")).alias("n")).where(F.col("n") <= sample)
+    chosen = cut(first.select("id", "label"))
     languages = sorted(r.label for r in chosen.select("label").distinct().collect())
     if not languages:
         return None
