@@ -23,6 +23,8 @@ from folioframe.llm.common import batches, cut, free_name, worker_keep
 DIMENSIONS = 8192
 # The bound of the training sample: documents a language.
 SAMPLE = 400
+# Beyond this the languages are not labels of languages; their counts are broadcast.
+MOST_LANGUAGES = 10_000
 # Families of closely related languages. Others are a family of their own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -121,9 +123,13 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     rows = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     # The smallest hashes lie below a bound that four times as many rows meet: only those are ranked.
-    totals = rows.groupBy(F.col(lang).alias("label")).agg(F.count("*").alias("total"))
-    keyed = rows.select(F.col(key).alias("id"), F.col(lang).alias("label"), F.xxhash64(key).alias("hash")).join(totals, "label")
-    low = keyed.where(F.col("hash") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * sample) / F.col("total")).select("id", "label", "hash").distinct()
+    # The smallest one counts anyway, in case a few keys make up a language.
+    totals = cut(rows.groupBy(F.col(lang).alias("label")).agg(F.count("*").alias("total"), F.min(F.xxhash64(key)).alias("least")))
+    if totals.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    keyed = rows.select(F.col(key).alias("id"), F.col(lang).alias("label"), F.xxhash64(key).alias("hash")).join(F.broadcast(totals), "label")
+    is_low = F.col("hash") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * sample) / F.col("total")
+    low = keyed.where(is_low | (F.col("hash") == F.col("least"))).select("id", "label", "hash").distinct()
     first = low.select("id", "label", F.row_number().over(Window.partitionBy("label").orderBy("hash", "id")).alias("n")).where(F.col("n") <= sample)
     chosen = cut(first.select("id", "label"))
     languages = sorted(r.label for r in chosen.select("label").distinct().collect())
