@@ -291,6 +291,28 @@ def archive_plan(
     )
 
 
+def archive_effects(plan: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings, bundles) after an archive plan has been carried out.
+
+    `plan` is a result of `archive_plan`, `mappings` has rel, status, entry_id,
+    original_name and folder. A placed file's mapping replaces what `drop_stale`
+    says; of several files with one target the highest entry_id counts. A file that
+    stays gets a failed mapping with its reason. Bundles are the citation files to
+    write: entry_id and target of every folder that has received a file.
+    """
+    original = paths.name(F.col("rel"))
+    placed = cut(plan.filter("target is not null").select("entry_id", "rel", "target", "role", "status", original.alias("original_name"), paths.parent(F.col("target")).alias("folder")))
+    left = drop_stale(mappings, placed.select("rel", "entry_id", "original_name", (F.col("role") == SUPPLEMENT).alias("keep_entry")))
+    new = placed.select(F.col("target").alias("rel"), "status", "entry_id", "original_name", "folder", F.col("entry_id").alias("_latest"))
+    failures = plan.filter("target is null").select(
+        "rel", F.lit(FAILED).alias("status"), F.lit(None).cast(plan.schema["entry_id"].dataType).alias("entry_id"), original.alias("original_name"), F.lit(None).cast("string").alias("folder"),
+        F.col("reason").alias("message"), F.col("entry_id").alias("_latest"),
+    )
+    after = upsert(upsert(left, new, ["rel"], "_latest"), failures, ["rel"], "_latest")
+    bundles = placed.groupBy("folder").agg(F.max("entry_id").alias("entry_id")).select("entry_id", paths.join(F.col("folder"), F.lit("citation.bib")).alias("target"))
+    return after, bundles
+
+
 def rename_plan(entries: DataFrame, attachments: DataFrame, template: str | None = None) -> DataFrame:
     """Moves that follow a metadata change: folder, primary, parts and supplements.
 

@@ -119,6 +119,29 @@ def archive_plan(t: Inputs) -> DataFrame:
     return plan.select("entry_id", "target", "role", "status", "reason")
 
 
+EFFECTS = f"""pl AS (SELECT *, 'in/doc' || CAST(entry_id AS VARCHAR) || '.pdf' AS rel, 'doc' || CAST(entry_id AS VARCHAR) || '.pdf' AS orig FROM ({STATEMENTS["archive_plan"]}))"""
+
+
+@query("archive_mappings", f"""
+WITH {EFFECTS}, k AS (SELECT rel, status, entry_id, original_name, folder, NULL AS message FROM v_mappings WHERE rel NOT IN (SELECT rel FROM pl WHERE target IS NOT NULL)
+  AND coalesce(entry_id NOT IN (SELECT entry_id FROM pl WHERE target IS NOT NULL AND role <> 'supplement'), true) AND NOT (status = 'failed' AND split_part(rel, '/', -1) IN (SELECT orig FROM pl WHERE target IS NOT NULL))),
+nw AS (SELECT target AS rel, arg_max(status, entry_id) AS status, max(entry_id) AS entry_id, arg_max(orig, entry_id) AS original_name, arg_max(regexp_extract(target, '^(.*)/[^/]*$', 1), entry_id) AS folder, NULL AS message FROM pl WHERE target IS NOT NULL GROUP BY target)
+SELECT * FROM k WHERE rel NOT IN (SELECT rel FROM nw) UNION ALL SELECT * FROM nw UNION ALL SELECT rel, 'failed', NULL, orig, NULL, reason FROM pl WHERE target IS NULL""")
+def archive_mappings(t: Inputs) -> DataFrame:
+    """The mapping table after the archive plan of all files."""
+    plan = archive_plan(t).withColumn("rel", F.concat(F.lit("in/doc"), F.col("entry_id").cast("string"), F.lit(".pdf")))
+    after, _ = catalog.archive_effects(plan, t.v_mappings.withColumn("message", F.lit(None).cast("string")))
+    return after.select("rel", "status", "entry_id", "original_name", "folder", "message")
+
+
+@query("archive_bundles", f"""
+WITH {EFFECTS} SELECT max(entry_id) AS entry_id, regexp_extract(target, '^(.*)/[^/]*$', 1) || '/citation.bib' AS target FROM pl WHERE target IS NOT NULL GROUP BY regexp_extract(target, '^(.*)/[^/]*$', 1)""")
+def archive_bundles(t: Inputs) -> DataFrame:
+    """The citation files that the archive plan leaves to write."""
+    plan = archive_plan(t).withColumn("rel", F.concat(F.lit("in/doc"), F.col("entry_id").cast("string"), F.lit(".pdf")))
+    return catalog.archive_effects(plan, t.v_mappings.withColumn("message", F.lit(None).cast("string")))[1]
+
+
 RENAMED = STATEMENTS["render_name"].rsplit("SELECT entry_id, CASE WHEN length(x)", 1)
 
 
