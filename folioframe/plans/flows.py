@@ -180,7 +180,7 @@ def _finish(stream) -> None:
 
 @query("stream_usage", "SELECT provider, strftime(ts, '%Y-%m') AS month, sum(chars)::BIGINT AS chars FROM v_usage WHERE chars > 0 GROUP BY ALL")
 def stream_usage(t: Inputs) -> DataFrame:
-    lines = running.file_stream(t.spark, t.folder, t.lineitem.schema, "lineitem.parquet")
+    lines = running.table_stream(t.spark, t.folder, "lineitem", t.lineitem.schema)
     usage = lines.select(
         F.concat(F.lit("p"), (F.col("l_suppkey") % 10).cast("string")).alias("provider"), F.col("l_shipdate").cast("timestamp").alias("ts"),
         (F.col("l_quantity").cast("bigint") - 5).alias("chars"),
@@ -193,7 +193,7 @@ def stream_usage(t: Inputs) -> DataFrame:
 @query("stream_sessions", """
 SELECT conv_id AS session_id, count(*) AS message_count, strftime(make_timestamp((1704067200 + conv_id * 3600 + min(turn) * 60) * 1000000), '%H:%M') AS created_at, strftime(make_timestamp((1704067200 + conv_id * 3600 + max(turn) * 60) * 1000000), '%H:%M') AS updated_at FROM conversations GROUP BY conv_id""")
 def stream_sessions(t: Inputs) -> DataFrame:
-    rows = running.file_stream(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
+    rows = running.table_stream(t.spark, t.folder, "conversations", t.conversations.schema)
     messages = rows.select(
         F.col("conv_id").alias("session_id"), F.timestamp_seconds(1704067200 + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts")
     )
@@ -220,7 +220,7 @@ def stream_intake(t: Inputs) -> DataFrame:
         guess = extract.text_metadata(rows.select("doc_id", F.expr(INTAKE_TEXT).alias("text")))
         return guess.select(F.col("doc_id").alias("entry_id"), F.col("doc_id").alias("ord"), "doi", "title", "creators", "year")
 
-    arriving = running.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    arriving = running.table_stream(t.spark, t.folder, "documents", t.documents.schema)
     plan = running.new_folder(t.spark, "plan")
     _finish(running.intake(arriving, identified, plan, running.new_folder(t.spark, "plan-state"), '{{ authors max="1" name="family" }} - {{ year }}', available_now=True))
     return t.spark.read.parquet(plan).select("entry_id", "doi", "title", "status", "match_id", "reason", "target")

@@ -34,6 +34,12 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType, per_trigger: int = 1000) -> DataFrame:
+    """A parquet table of a folder as a stream, whether the table is one file or a folder of files."""
+    # The name as a pattern: a plain path must be a folder.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def running_usage(usage: DataFrame, lateness: str = "40 days") -> DataFrame:
     """Characters per provider and day as events come in; positive amounts only. A day's state goes once the watermark has passed it."""
     return usage.withWatermark("ts", lateness).filter("chars > 0").groupBy("provider", F.window("ts", "1 day")).agg(
