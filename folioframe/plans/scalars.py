@@ -194,10 +194,14 @@ def access_date(t: Inputs) -> DataFrame:
     return t.v_raw.select("entry_id", naming.access_date(F.col("raw_access"), "Asia/Shanghai").alias("accessed"))
 
 
+# Numbers that follow each other share the blank or sign between them. The first rule marks their ends beforehand, the last one runs twice.
 @query("clean_authors", r"""
-WITH a AS (SELECT entry_id, regexp_replace(raw_authors, '[✉†‡§*]+', ' ', 'g') AS x FROM v_raw),
-b AS (SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(x, '([^0-9])\s+[0-9]+(\s|$)', '\1 \2', 'g'), '([A-Za-z])[0-9]+', '\1', 'g'), ',\s*[0-9]+', ' ', 'g') AS x FROM a)
-SELECT entry_id, trim(regexp_replace(regexp_replace(x, '(^|[^\p{L}\p{N}_])[0-9]+($|[^\p{L}\p{N}_])', '\1 \2', 'g'), '\s+', ' ', 'g'), ' ,;') AS authors FROM b""")
+WITH l AS (SELECT entry_id, replace(replace(replace(replace(replace(replace(raw_authors, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(173), '') AS x FROM v_raw),
+a AS (SELECT entry_id, regexp_replace(regexp_replace(x, '[✉†‡§*]+', ' ', 'g'), '([0-9])(\s|$)', '\1' || chr(57344) || '\2', 'g') AS x FROM l),
+b AS (SELECT entry_id, replace(regexp_replace(x, '([^0-9\x{E000}])\s+[0-9]+\x{E000}', '\1 ', 'g'), chr(57344), '') AS x FROM a),
+c AS (SELECT entry_id, regexp_replace(regexp_replace(x, '([A-Za-z])[0-9]+', '\1', 'g'), ',\s*[0-9]+', ' ', 'g') AS x FROM b),
+d AS (SELECT entry_id, regexp_replace(regexp_replace(x, '(^|[^\p{L}\p{N}_])[0-9]+($|[^\p{L}\p{N}_])', '\1 \2', 'g'), '(^|[^\p{L}\p{N}_])[0-9]+($|[^\p{L}\p{N}_])', '\1 \2', 'g') AS x FROM c)
+SELECT entry_id, trim(regexp_replace(x, '\s+', ' ', 'g'), ' ,;') AS authors FROM d""")
 def clean_authors(t: Inputs) -> DataFrame:
     return t.v_raw.select("entry_id", people.clean_author_line(F.col("raw_authors")).alias("authors"))
 

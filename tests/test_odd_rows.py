@@ -3,6 +3,7 @@
 import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 import oracle
@@ -31,6 +32,12 @@ ROWS = [
 ]
 
 
+@pytest.mark.parametrize("key", ["clean_authors"])
+def test_odd_text(spark, tmp_path, key):
+    folder = folder_with(spark, tmp_path, ROWS)
+    assert oracle.compare(spark, oracle.connect(folder), key, folder)[0] is None
+
+
 def test_streams_read_a_table_of_many_files(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     folder = folder_with(spark, tmp_path / "in", ROWS, files=3)
