@@ -319,7 +319,9 @@ def extract_arxiv(t: Inputs) -> DataFrame:
     return t.v_text.select("doc_id", identifiers.first_arxiv_id(F.col("text")).alias("arxiv_id"))
 
 
+# Letters and digits beyond ASCII become Z first, as \b knows ASCII words only.
 @query("extract_isbn", r"""
-SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:ISBN(?:-1[03])?\s*[:：]?\s*)?((?:97[89][ -]?)?[0-9][0-9Xx -]{8,16}[0-9Xx])', 1), lambda m: upper(regexp_replace(m, '[^0-9Xx]', '', 'g'))), lambda m: length(m) IN (10, 13))[1] AS isbn FROM v_text""")
+WITH w AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]', 'Z', 'g') AS text FROM v_text)
+SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?i)\b(?:ISBN(?:-1[03])?\s*[:：]?\s*)?((?:97[89][ -]?)?[0-9][0-9Xx -]{8,16}[0-9Xx])\b', 1), lambda m: upper(regexp_replace(m, '[^0-9Xx]', '', 'g'))), lambda m: length(m) IN (10, 13))[1] AS isbn FROM w""")
 def extract_isbn(t: Inputs) -> DataFrame:
     return t.v_text.select("doc_id", identifiers.first_isbn(F.col("text")).alias("isbn"))
