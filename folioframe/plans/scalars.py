@@ -33,9 +33,9 @@ def dedupe_list(t: Inputs) -> DataFrame:
 
 @query("year_extract", r"""
 SELECT entry_id, TRY_CAST(nullif(regexp_extract(raw_date, '[0-9]{4}'), '') AS INTEGER) AS leading_year,
-  TRY_CAST(nullif(regexp_extract(raw_date, '(?:19|20)[0-9]{2}'), '') AS INTEGER) AS plausible_year,
+  CASE WHEN TRY_CAST(nullif(regexp_extract(raw_date, '(?:19|20)[0-9]{2}'), '') AS INTEGER) <= year(current_date) + 1 THEN TRY_CAST(nullif(regexp_extract(raw_date, '(?:19|20)[0-9]{2}'), '') AS INTEGER) END AS plausible_year,
   nullif(regexp_extract(raw_date, '(?:^|[^\p{L}\p{N}_])([12][0-9]{3})(?:$|[^\p{L}\p{N}_])', 1), '') AS year_of_date,
-  TRY_CAST(nullif(regexp_extract(title || ' ' || regexp_replace(raw_list || ' ' || raw_date, '(?is)(摘要|关键词|abstract).*$', ''), '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:$|[^0-9])', 1), '') AS INTEGER) AS text_year
+  list_filter(list_transform(list_filter(regexp_extract_all(title || ' ' || regexp_replace(raw_list || ' ' || raw_date, '(?is)(摘要|关键词|abstract).*$', ''), '[0-9]+'), lambda x: regexp_matches(x, '^(19|20)[0-9]{2}$')), lambda x: CAST(x AS INTEGER)), lambda x: x <= year(current_date) + 1)[1] AS text_year
 FROM v_raw""")
 def year_extract(t: Inputs) -> DataFrame:
     d = F.col("raw_date")

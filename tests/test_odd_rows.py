@@ -32,7 +32,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("key", ["clean_authors", "extract_isbn", "spaced_header"])
+@pytest.mark.parametrize("key", ["clean_authors", "extract_isbn", "spaced_header", "year_extract"])
 def test_odd_text(spark, tmp_path, key):
     folder = folder_with(spark, tmp_path, ROWS)
     assert oracle.compare(spark, oracle.connect(folder), key, folder)[0] is None
