@@ -47,8 +47,14 @@ idn AS (SELECT m.doc_id, m.filename, m.text AS whole, m.site, CASE WHEN ax.a IS
   FROM m LEFT JOIN ax ON ax.a = m.arx LEFT JOIN dois ON dois.d = m.dd LEFT JOIN cn ON cn.cn_title = m.cn_title AND cn.k = m.k)"""
 
 
+# Unlike texts can have one arXiv id: title and year come from one record, as in `merge.one_per_key` the first by its JSON text.
+ONE_RECORD = IDENTIFIED.replace(
+    "min(lib_title) AS title, min(p1) AS p1, min(y) AS y FROM v_planted WHERE doc_id % 8 = 0",
+    "arg_min(lib_title, r) AS title, arg_min(y, r) AS y FROM (SELECT *, CAST(to_json(lib_title || ' v2') AS VARCHAR) || p1 || y AS r FROM v_planted WHERE doc_id % 8 = 0)")
+
+
 @query("identify_waterfall", f"""
-WITH {IDENTIFIED} SELECT doc_id, source, title, families, CASE WHEN k <> 7 THEN year END AS year, CASE WHEN k <> 7 THEN venue END AS venue, filled, doi,
+WITH {ONE_RECORD} SELECT doc_id, source, title, families, CASE WHEN k <> 7 THEN year END AS year, CASE WHEN k <> 7 THEN venue END AS venue, filled, doi,
   before || CASE WHEN source IS NULL THEN '' ELSE source || '+' || coalesce(net_title, title) END AS attempts, k = 2 AND doc_id % 3 = 0 AS is_supplement,
   CASE WHEN k = 2 AND doc_id % 3 = 0 THEN 'The parent of ' || site END AS parent_title FROM idn""")
 def identify_waterfall(t: Inputs) -> DataFrame:
