@@ -83,13 +83,15 @@ def openalex_entries(dump: DataFrame, payload: str = "payload") -> DataFrame:
 
 ATOM_ENTRY = """
 id STRING, title STRING, summary STRING, published STRING, author ARRAY<STRUCT<name: STRING>>, doi STRING, `arxiv:doi` STRING"""
+ATOM_COLUMNS = ("id", "title", "summary", "published", "author", "doi", "arxiv:doi")
 
 
 def arxiv_entries(feed: DataFrame) -> DataFrame:
-    """Entries from parsed Atom records (`read_arxiv`, or `from_xml` with ATOM_ENTRY)."""
+    """Entries from parsed Atom records (`read_arxiv`, or `from_xml` with ATOM_ENTRY); columns beside the record stay."""
     names = F.transform("author", lambda a: parse_name(F.coalesce(a["name"], F.lit(""))))
     year = F.left("published", F.lit(4))
     return feed.select(
+        *[c for c in feed.columns if c not in ATOM_COLUMNS],
         F.lit("preprint").alias("item_type"), null_if_blank(fold_spaces(F.col("title"))).alias("title"), names.alias("creators"),
         F.when(year.rlike(r"^\d{4}$"), year.try_cast("int")).alias("year"), F.col("published").alias("date"),
         identifiers.normalize_doi(F.coalesce("arxiv:doi", "doi")).alias("doi"),

@@ -56,6 +56,12 @@ def test_two_records_of_one_arxiv_id(spark, tmp_path):
     assert oracle.compare(spark, oracle.connect(folder), "identify_waterfall", folder)[0] is None
 
 
+def test_records_of_one_arxiv_id_stay_apart(spark, tmp_path):
+    one, other = same_arxiv_id(lambda i: f"{i * 7919 % 400_000:06d} note" + "x" * (11 * (i % 5)))
+    folder = folder_with(spark, tmp_path, [(0, one), (8, other)])
+    assert oracle.compare(spark, oracle.connect(folder), "registry_arxiv", folder)[0] is None
+
+
 def test_streams_read_a_table_of_many_files(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     folder = folder_with(spark, tmp_path / "in", ROWS, files=3)
