@@ -1,4 +1,4 @@
-"""The signature join and candidate pairs against brute force."""
+"""The similarity join and candidate pairs against brute force."""
 
 import random
 from difflib import SequenceMatcher
@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import duckdb
 import pytest
 
-from folioframe.functions.similarity import common_length
+from folioframe.functions.similarity import TitleBlock, common_length, matching_pairs
 from folioframe.operators import linkage
 from folioframe.plans.ratio import may_match, ratios
 
@@ -104,3 +104,23 @@ def test_ratio_in_sql():
     assert len(found) == len(pairs)
     for a, b, ratio, may in found:
         assert ratio == SequenceMatcher(None, a, b).ratio() and (may or ratio < 0.85)
+
+
+def test_unlike_titles_of_one_language_stay_in_their_task(spark):
+    """Titles that share letters and pieces but do not match must not be shuffled as pairs."""
+    rng = random.Random(11)
+    syllables = ["the", "an", "er", "in", "ou", "tion", "st", "ha", "en", "re"]
+    titles = sorted({" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(14)) for _ in range(1500)})
+    df = spark.createDataFrame([(t,) for t in titles], "key string").repartition(4).cache()
+    near = linkage.title_candidates(df, df, 0.85)
+    assert near.count() < 2 * len(titles)
+    likely = linkage._block_pairs(df.selectExpr("key", "true as is_left", "true as is_right", "length(key) as len"), 0.85)
+    assert likely.count() < 8 * len(titles)
+
+
+def test_blocks_with_wide_and_mixed_titles():
+    titles = some_titles(5, "abcd efghi", (3, 150, 300, 420, 500), 20)
+    block, some = TitleBlock(titles), TitleBlock(titles[::2])
+    reach = lambda a, b: 2 * common_length(a, b) >= 0.85 * (len(a) + len(b)) - 1e-9
+    assert set(matching_pairs(block, block, 0.85)) == {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if reach(titles[i], titles[j])}
+    assert set(matching_pairs(some, block, 0.85)) == {(i, j) for i, a in enumerate(titles[::2]) for j, b in enumerate(titles) if reach(a, b)}
