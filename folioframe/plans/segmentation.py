@@ -114,7 +114,7 @@ def translation_job(t: Inputs) -> DataFrame:
     The work function changes nothing, so every document must come back as it was.
     """
     protected = cut(segment.protect(t.v_md))
-    pieces = segment.segments(protected).withColumnRenamed("doc_id", "doc_hash")
+    pieces = cut(segment.segments(protected).withColumnRenamed("doc_id", "doc_hash"))
     stored = pieces.join(t.labels.select(F.col("doc_id").alias("doc_hash")), "doc_hash", "left_semi").select("doc_hash", "seg_idx", F.col("text").alias("result"))
     fresh = segment.apply_segments(catalog.pending_segments(pieces, stored), lambda s: s)
     results = stored.unionByName(fresh).withColumnRenamed("doc_hash", "doc_id")
