@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 from folioframe.functions import identifiers
 from folioframe.functions.people import parse_name
 from folioframe.functions.text import (
-    NOT_WORD_AFTER, NOT_WORD_BEFORE, clean_text, dedupe_list, filled_lines, fold_spaces, has_cjk,
+    NOT_WORD_AFTER, NOT_WORD_BEFORE, clean_text, dedupe_list, filled_lines, first_group, fold_spaces, has_cjk,
     is_letter_spaced_header, language_tag, latex_body, let, lines, null_if_blank, strip_latex, text_or_empty,
     unfold_ligatures,
 )
@@ -24,14 +27,14 @@ JOURNAL_LINE = (
     r"|Nature(?: Physics| Photonics| Chemistry| Materials| Communications)?"
     r"|Science(?: Advances| Translational Medicine| Robotics)?)$"
 )
-REVIEW_HEADER = rf"(?i){NOT_WORD_BEFORE}natrevphys{NOT_WORD_AFTER}|Nature\s+Rev\w*\s*\|?\s*Phys\w*"
+REVIEW_HEADER = rf"(?=[Nn])(?i)(?:{NOT_WORD_BEFORE}natrevphys{NOT_WORD_AFTER}|Nature\s+Rev\w*\s*\|?\s*Phys\w*)"
 BAR_JOURNAL = r"\|\s*([A-Z][A-Za-z. ]{3,60})\s+(?:19|20)\d{2}\s*,"
 PUBLISHED_YEAR = rf"(?im)^\s*Published\s*:[^\n]*({NOT_WORD_BEFORE}(?:19|20)\d{{2}}{NOT_WORD_AFTER})"
 JOURNAL_YEAR = (
-    rf"(?i){NOT_WORD_BEFORE}(?:J\.|Journal|Phys\.|Chem\.|Nature|Science)(?<=[.A-Za-z])(?:(?<=\.)(?=[\p{{L}}\p{{N}}_])|(?<=[A-Za-z]){NOT_WORD_AFTER})"
+    rf"(?=[JPCNSjpcns])(?i){NOT_WORD_BEFORE}(?:J\.|Journal|Phys\.|Chem\.|Nature|Science)(?<=[.A-Za-z])(?:(?<=\.)(?=[\p{{L}}\p{{N}}_])|(?<=[A-Za-z]){NOT_WORD_AFTER})"
     rf"[^\n]{{0,100}}?({NOT_WORD_BEFORE}(?:19|20)\d{{2}}{NOT_WORD_AFTER})"
 )
-FREE_YEAR = rf"{NOT_WORD_BEFORE}((?:19|20)\d{{2}}){NOT_WORD_AFTER}"
+FREE_YEAR = rf"(?=[12]){NOT_WORD_BEFORE}((?:19|20)\d{{2}}){NOT_WORD_AFTER}"
 BOOK_SIGNS = (
     rf"(?i){NOT_WORD_BEFORE}(?:\d+(?:st|nd|rd|th)\s+edition|revised\s+edition|publisher|published\s+by|isbn"
     rf"|library\s+of\s+congress|university\s+press|[\p{{L}}\p{{N}}_]+\s+press){NOT_WORD_AFTER}"
@@ -45,6 +48,12 @@ PUBLISHER = (
     rf"|Springer(?:-Verlag)?|Elsevier|Wiley(?:-VCH)?|CRC Press|Taylor\s*&\s*Francis|McGraw[- ]Hill|World Scientific"
     rf"|(?:[A-Z][A-Za-z&. -]{{2,50}}\s+Press)){NOT_WORD_AFTER}"
 )
+# Words without which the patterns above cannot match, in lower case; the patterns themselves try every word of a text.
+BOOK_WORDS = ("edition", "publish", "isbn", "congress", "press")
+PUBLISHER_WORDS = ("press", "springer", "elsevier", "wiley", "taylor", "mcgraw", "world scientific")
+REVIEW_WORDS = ("natrevphys", "nature")
+# Lines from the top that are tried for a title before all are.
+FIRST_LINES = 8
 KEYWORD_HEADING = rf"(?i)^#{{1,6}}\s*(关键词|keywords){NOT_WORD_AFTER}"
 KEYWORD_INLINE = r"(?i)(?:关键词|keywords)\s*[:：]\s*([^\n]+)"
 KEYWORD_GAP = r"[,，;；、|/]+"
@@ -63,6 +72,10 @@ def _author_names(line: Column) -> Column:
     return F.filter(names, lambda n: F.length(n).between(2, 80))
 
 
+def _has_any(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [low.contains(w) for w in words])
+
+
 def _upto(items: Column | str, limit: int | None) -> Column:
     return F.col(items) if limit is None and isinstance(items, str) else items if limit is None else F.slice(items, 1, limit)
 
@@ -81,18 +94,20 @@ def text_metadata(
     """
     stem = F.col(filename) if filename else F.lit("")
     df = df.withColumn("_lines", filled_lines(F.col(text)))
-    bare = F.transform(
-        _upto("_lines", title_lines),
-        lambda x, i: F.struct(F.trim(F.regexp_replace(x, r"^#{1,6}\s*", "")).alias("s"), i.alias("i")),
-    )
-    df = df.withColumn("_title", first_match(bare, lambda c: (
-        F.length(c["s"]).between(8, 350)
-        & ~c["s"].rlike(r"(?i)^(doi:|arxiv:|abstract|摘要)")
-        & ~c["s"].rlike(VOLUME_HEADER)
-        & ~c["s"].rlike(r"^\d{1,4}[\s.,;:]*$")
-        & ~is_letter_spaced_header(c["s"])
-        & c["s"].rlike(r"\p{L}")
-    )))
+
+    def title_in(items: Column) -> Column:
+        bare = F.transform(items, lambda x, i: F.struct(F.trim(F.regexp_replace(x, r"^#{1,6}\s*", "")).alias("s"), i.alias("i")))
+        return first_match(bare, lambda c: (
+            F.length(c["s"]).between(8, 350)
+            & ~c["s"].rlike(r"(?i)^(doi:|arxiv:|abstract|摘要)")
+            & ~c["s"].rlike(VOLUME_HEADER)
+            & ~c["s"].rlike(r"^\d{1,4}[\s.,;:]*$")
+            & ~is_letter_spaced_header(c["s"])
+            & c["s"].rlike(r"\p{L}")
+        ))
+
+    tried = _upto("_lines", title_lines)
+    df = df.withColumn("_title", F.coalesce(title_in(F.slice(tried, 1, FIRST_LINES)), title_in(tried)))
     marks_gone = F.transform(
         F.when(F.col("_title").isNotNull(), F.slice(F.col("_lines"), F.col("_title.i") + 2, F.lit(author_window))),
         lambda x: F.trim(F.regexp_replace(unfold_ligatures(x), r"[*†‡§]+", "")),
@@ -107,18 +122,19 @@ def text_metadata(
         names, lambda n: (F.size(n) > 0) & F.forall(n, lambda x: x.rlike("[A-Za-z\u4e00-\u9fff]"))
     ))
     df = df.withColumn("_head", F.array_join(_upto("_lines", head_lines), "\n"))
-    year = F.coalesce(*[
-        null_if_blank(F.regexp_extract("_head", p, 1)) for p in (PUBLISHED_YEAR, JOURNAL_YEAR, FREE_YEAR)
-    ])
-    clean = F.transform("_lines", lambda x: F.trim(unfold_ligatures(x)))
+    # The last pattern finds any year: without it the others have nothing to find.
+    year = F.when(F.col("_head").rlike(FREE_YEAR), F.coalesce(*[first_group(F.col("_head"), p) for p in (PUBLISHED_YEAR, JOURNAL_YEAR, FREE_YEAR)]))
+    body = F.col(text)
+    df = df.withColumns({"_unfolded": unfold_ligatures(F.col("_head")), "_bound": unfold_ligatures(body) != body})
+    df = df.withColumn("_low", F.lower("_unfolded"))
+    # Lines are trimmed already; they change only where the text has ligatures.
+    clean = F.when(F.col("_bound"), F.transform("_lines", lambda x: F.trim(unfold_ligatures(x)))).otherwise(F.col("_lines"))
+    bar = first_match(_upto(clean, bar_lines), lambda x: x.rlike(BAR_JOURNAL))
     venue = F.coalesce(
         first_match(_upto(clean, head_lines), lambda x: x.rlike(JOURNAL_LINE)),
-        F.when(unfold_ligatures(F.col("_head")).rlike(REVIEW_HEADER), "Nature Reviews Physics"),
-        fold_spaces(F.regexp_extract(
-            first_match(_upto(clean, bar_lines), lambda x: x.rlike(BAR_JOURNAL)), BAR_JOURNAL, 1
-        )),
+        F.when(_has_any(F.col("_low"), REVIEW_WORDS) & F.col("_unfolded").rlike(REVIEW_HEADER), "Nature Reviews Physics"),
+        F.when(body.contains("|"), fold_spaces(F.regexp_extract(bar, BAR_JOURNAL, 1))),
     )
-    body = F.col(text)
     df = df.withColumns({
         "title": F.coalesce(unfold_ligatures(F.col("_title.s")), F.trim(F.replace(stem, F.lit("_"), F.lit(" ")))),
         "creators": F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: parse_name(n)),
@@ -128,15 +144,15 @@ def text_metadata(
         "isbn": identifiers.first_isbn(body),
         "publication_title": venue,
     })
-    df = df.withColumn("_book", F.col("isbn").isNotNull() | F.col("_head").rlike(BOOK_SIGNS))
+    df = df.withColumn("_book", F.col("isbn").isNotNull() | (_has_any(F.col("_low"), BOOK_WORDS) & F.col("_head").rlike(BOOK_SIGNS)))
     press = first_match(_upto(clean, publisher_lines), lambda x: x.rlike(PUBLISHER))
     return df.withColumns({
         "language": language_tag(F.col("title")),
-        "edition": F.when(F.col("_book"), null_if_blank(fold_spaces(F.regexp_extract("_head", EDITION, 1)))),
-        "publisher": F.when(F.col("_book"), null_if_blank(fold_spaces(F.regexp_extract(press, PUBLISHER, 1)))),
+        "edition": F.when(F.col("_book") & F.col("_low").contains("edition"), let(fold_spaces(F.regexp_extract("_head", EDITION, 1)), null_if_blank)),
+        "publisher": F.when(F.col("_book") & _has_any(F.lower(unfold_ligatures(body)), PUBLISHER_WORDS), let(fold_spaces(F.regexp_extract(press, PUBLISHER, 1)), null_if_blank)),
         "item_type": F.when(F.col("_book") & F.col("doi").isNull() & F.col("arxiv_id").isNull(), "book")
         .otherwise("journalArticle"),
-    }).drop("_lines", "_title", "_next", "_names", "_head", "_book")
+    }).drop("_lines", "_title", "_next", "_names", "_head", "_unfolded", "_bound", "_low", "_book")
 
 
 def is_latex(c: Column) -> Column:
