@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from folioframe.functions import identifiers
 from folioframe.functions.people import DEFAULT_SURNAMES, Surnames, clean_author_line, looks_like_person, split_authors
 from folioframe.functions.text import (
-    cjk_count, clean_text, fold_spaces, is_letter_spaced_header, let, null_if_blank, unfold_ligatures,
+    cjk_count, clean_text, fold_spaces, is_letter_spaced_header, let, may_have_cjk, null_if_blank, unfold_ligatures,
 )
 from folioframe.operators.cjk import NOISE, front_identifiers, plausible_title, volume_issue
+from folioframe.session import cut
 
 # Layout patterns and bands.
-VOLUME_MARK = r"(?i)第\s*\d{1,3}\s*卷|Vol[.．]?\s*\d+|(?:19|20)\d{2}\s*年\s*第?\s*\d+\s*期"
+VOLUME_MARK = r"(?=[第Vv12])(?i)(?:第\s*\d{1,3}\s*卷|Vol[.．]?\s*\d+|(?:19|20)\d{2}\s*年\s*第?\s*\d+\s*期)"
 SECTION_LABELS = ("摘要", "关键词", "引言", "参考文献", "作者简介", "规划研究", "本刊专稿")
 BRACKETED = r"^[（(]\s*([^（()）]{2,70})\s*[)）]$"
 ORGANISATION = (
@@ -42,20 +43,25 @@ def venue_near_volume(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     are never paired with each other.
     """
     anchors = lines.filter(F.col("text").rlike(VOLUME_MARK)).groupBy(doc).agg(F.min_by("y0", "line_no").alias("anchor_y"))
-    cleaned = clean_text(F.col("text"))
-    short = lines.select(doc, "line_no", "y0", cleaned.alias("t")).filter(
-        (F.col("t") != "") & ~F.col("t").rlike("[0-9A-Za-z《》“”、，。；：]") & (cjk_count(F.col("t")) >= 2)
-        & (F.length("t") <= 14) & ~F.col("t").isin(*SECTION_LABELS) & ~F.col("t").rlike(NOISE)
-    )
+    short = lines.filter(may_have_cjk(F.col("text"), 2) & ~F.col("text").rlike(NOISE) & let(clean_text(F.col("text")), lambda t: (
+        (F.length(t) <= 14) & (t != "") & ~t.rlike("[0-9A-Za-z《》“”、，。；：]") & (cjk_count(t) >= 2)
+        & ~t.isin(*SECTION_LABELS) & ~t.rlike(NOISE)
+    ))).select(doc, "line_no", "y0", clean_text(F.col("text")).alias("t"))
     near = short.join(anchors, doc).filter(F.abs(F.col("y0") - F.col("anchor_y")) <= VENUE_BAND)
     return near.groupBy(doc).agg(F.min_by("t", "line_no").alias("journal"))
 
 
+def _bracket_or_note(c: Column) -> Column:
+    """Lines that `affiliations` can use: they begin with a bracket or with the author's sign."""
+    return c.rlike("\\A[\\s\u3000\u00a0\u200b]*[（(作]")
+
+
 def affiliations(lines: DataFrame, titles: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Bracketed organisation below the title, else the organisation in an author note.
 
     `titles` has one `title_y1` per document.
     """
+    lines = lines.filter(_bracket_or_note(F.col("text")))
     t = clean_text(F.col("text"))
     bracketed = F.regexp_extract(t, BRACKETED, 1)
     in_band = (F.col("y0") > F.col("title_y1")) & (F.col("y0") <= F.col("title_y1") + F.col("page_h") * AFFILIATION_BAND)
@@ -114,56 +120,70 @@ def title_blocks(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
+def _names_in(c: Column, surnames: Surnames) -> Column:
+    """The names of an author line, NULL for other lines. Each step is computed once and only for lines that passed the one before."""
+    footnote = r"[（(]?[\d,，、\s\-]+[)）]?$"
+
+    def run_of(t: Column) -> Column:
+        bare = F.trim(F.regexp_replace(t, "^[■●◆▣□○·★☆※]+", ""))
+        return F.when(
+            ~t.startswith("——") & (cjk_count(t) >= 2) & ~t.rlike(NOISE) & ~t.rlike("[。；！？《》“”]"),
+            F.trim(F.regexp_extract(bare, "^([一-鿿、，和\\s]+)", 1)),
+        )
+
+    def names_of(run: Column) -> Column:
+        names = F.transform(
+            split_authors(run, surnames), lambda n: F.trim(F.regexp_replace(n, footnote, ""), F.lit(" ,，、"))
+        )
+        return F.when((F.length(run) <= 26) & (cjk_count(run) >= 2), F.filter(names, lambda n: cjk_count(n) >= 2))
+
+    def accepted(names: Column) -> Column:
+        single = F.get(names, F.lit(0))
+        return F.when((F.size(names) > 0) & (F.forall(names, lambda n: looks_like_person(n, surnames)) | (
+            (F.size(names) == 1) & F.length(single).between(2, 6)
+            & (F.substring(single, 1, 2).isin(*surnames.compound) | F.substring(single, 1, 1).isin(*surnames.single))
+        )), names)
+
+    return let(let(let(clean_text(c), run_of), names_of), accepted)
+
+
 def author_lines(
     lines: DataFrame, titles: DataFrame, doc: str = "doc_id", surnames: Surnames = DEFAULT_SURNAMES
 ) -> DataFrame:
     """First line below the title whose leading Chinese run is names only."""
-    df = lines.join(titles.select(doc, "title_y1"), doc).filter(
+    named = lines.filter(may_have_cjk(F.col("text"), 2) & ~F.col("text").rlike(NOISE)).select(
+        doc, "line_no", "y0", "page_h", _names_in(F.col("text"), surnames).alias("authors")
+    ).filter("authors is not null")
+    below = named.join(titles.select(doc, "title_y1"), doc).filter(
         (F.col("y0") > F.col("title_y1")) & (F.col("y0") <= F.col("title_y1") + F.col("page_h") * AUTHOR_BAND)
     )
-    t = clean_text(F.col("text"))
-    df = df.withColumn("_t", t).filter(
-        (cjk_count(F.col("_t")) >= 2) & ~F.col("_t").rlike(NOISE) & ~F.col("_t").rlike("[。；！？《》“”]")
-        & ~F.col("_t").startswith("——")
-    )
-    bare = F.trim(F.regexp_replace("_t", "^[■●◆▣□○·★☆※]+", ""))
-    df = df.withColumn("_run", F.trim(F.regexp_extract(bare, "^([一-鿿、，和\\s]+)", 1))).filter(
-        (cjk_count(F.col("_run")) >= 2) & (F.length("_run") <= 26)
-    )
-    footnote = r"[（(]?[\d,，、\s\-]+[)）]?$"
-    names = F.transform(
-        split_authors(F.col("_run"), surnames), lambda n: F.trim(F.regexp_replace(n, footnote, ""), F.lit(" ,，、"))
-    )
-    df = df.withColumn("authors", F.filter(names, lambda n: cjk_count(n) >= 2)).filter(F.size("authors") > 0)
-    single = F.get("authors", F.lit(0))
-    accepted = F.forall("authors", lambda n: looks_like_person(n, surnames)) | (
-        (F.size("authors") == 1) & F.length(single).between(2, 6)
-        & (F.substring(single, 1, 2).isin(*surnames.compound) | F.substring(single, 1, 1).isin(*surnames.single))
-    )
-    return df.filter(accepted).groupBy(doc).agg(F.min_by("authors", F.struct("y0", "line_no")).alias("authors"))
+    return below.groupBy(doc).agg(F.min_by("authors", F.struct("y0", "line_no")).alias("authors"))
 
 
 def front_page(lines: DataFrame, doc: str = "doc_id", surnames: Surnames = DEFAULT_SURNAMES, head_lines: int | None = None) -> DataFrame:
-    """All layout fields of a Chinese first page, one row per document (`fm_*` columns); year and book signs from the first `head_lines` lines, or all."""
-    page = lines.groupBy(doc).agg(
-        F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l")
-    ).select(
-        doc,
-        F.array_join(F.transform("_l" if head_lines is None else F.slice("_l", 1, head_lines), lambda x: x["text"]), " ").alias("_head"),
-        F.array_join(F.transform("_l", lambda x: x["text"]), " ").alias("_wide"),
+    """All layout fields of a Chinese first page, one row per document (`fm_*` columns); year and book signs from the first `head_lines` lines, or all.
+
+    The fields of the whole page search its joined lines; all others use lines with
+    Chinese letters or a volume mark only, which are written once.
+    """
+    page = lines.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l")).select(
+        doc, F.array_join("_l.text", " ").alias("_wide"), *([] if head_lines is None else [F.array_join(F.slice("_l.text", 1, head_lines), " ").alias("_head")]),
     )
-    years = F.transform(F.regexp_extract_all("_head", F.lit(identifiers.YEAR), 1), lambda y: y.cast("int"))
+    head = F.col("_wide" if head_lines is None else "_head")
+    years = F.transform(F.regexp_extract_all(head, F.lit(identifiers.YEAR), 1), lambda y: y.cast("int"))
     ids, pair = front_identifiers(F.col("_wide")), volume_issue(F.col("_wide"))
     fields = page.select(
         doc,
         F.get(F.filter(years, lambda y: (y >= 1900) & (y <= F.year(F.current_date()) + 1)), F.lit(0)).alias("fm_year"),
-        F.col("_head").rlike("图书在版编目|CIP|ISBN").alias("_book"), ids.alias("_ids"), pair.alias("_pair"),
+        (head.contains("图书在版编目") | head.contains("CIP") | head.contains("ISBN")).alias("_book"), ids.alias("_ids"), pair.alias("_pair"),
     ).select(
         doc, "fm_year", "_book",
         *[F.col(f"_ids.{c}").alias(f"fm_{c}") for c in ("article_no", "clc", "received_date", "doi", "isbn")],
         *[F.col(f"_pair.{c}").alias(f"fm_{c}") for c in ("volume", "issue", "page_start", "page_end")],
     )
-    titles = title_blocks(lines, doc)
+    text = F.col("text")
+    lines = cut(lines.filter(may_have_cjk(text, 2) | text.rlike(VOLUME_MARK) | _bracket_or_note(text)))
+    titles = cut(title_blocks(lines, doc))
     out = fields.join(titles, doc, "left")
     out = out.join(venue_near_volume(lines, doc), doc, "left")
     out = out.join(author_lines(lines, titles, doc, surnames), doc, "left")
