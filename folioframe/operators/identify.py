@@ -84,7 +84,8 @@ def identify(
     texts = documents.select(key, F.col("text").alias("_text"))
     chinese = rest.filter("_cjk").join(texts, key)
     front = layout.front_page(lines, key, surnames) if lines is not None else _no_front(documents, key)
-    names = cjk.filename_metadata(chinese.select(key, F.col("_stem").alias("stem"), F.col("_text").alias("text")), surnames=surnames)
+    # Written, as without a layout the filter on titles would otherwise take the file names apart once more for each use of a part.
+    names = cut(cjk.filename_metadata(chinese.select(key, F.col("_stem").alias("stem"), F.col("_text").alias("text")), surnames=surnames))
     own = cut(cjk.chinese_record(names, front, key))
     own = own.withColumn("creators", F.transform("authors", lambda a: parse_name(a))).drop("authors")
     shelves = [(name, table.select(F.struct(F.lit(name).alias("shelf"), F.col("ord")).alias("record_id"), "ord", "title")) for name, table in reversed(registries)]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import identifiers
-from folioframe.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, dedupe_list, fold_spaces, let, lines, null_if_blank, text_or_empty
+from folioframe.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, RARE_BREAKS, dedupe_list, fold_spaces, let, lines, null_if_blank, text_or_empty
 
 # Thresholds, patterns and tag rules.
 PDF_OBJECT = rf"/(?:Type|Length|Filter|Font|XObject){NOT_WORD_AFTER}"
@@ -90,9 +93,16 @@ def detect_supplement(
     name = F.coalesce(F.col(filename), F.lit("")) if filename else F.lit("")
     link = null_if_blank(F.col(relation)) if relation else F.lit(None).cast("string")
     own_doi = identifiers.normalize_doi(F.col(extracted_doi)) if extracted_doi else F.lit(None).cast("string")
-    df = df.withColumn("_first", F.array_join(lines(source) if header_lines is None else F.slice(lines(source), 1, header_lines), "\n"))
-    df = df.withColumn("_strong", F.col("_first").rlike(SUPPLEMENT_HEADER))
-    named = F.trim(fold_spaces(F.regexp_extract("_first", SUPPLEMENT_FOR, 1)), F.lit(" :-"))
+    if header_lines is None:
+        first = F.when(reduce(or_, [source.contains(s) for s in RARE_BREAKS]), F.array_join(lines(source), "\n")).otherwise(source)
+    else:
+        first = F.array_join(F.slice(lines(source), 1, header_lines), "\n")
+    # The patterns are tried only where their words occur.
+    df = df.withColumns({"_first": first, "_low": F.lower(source)})
+    lower = F.col("_low")
+    titled = lower.contains("supporting") | lower.contains("supplement")
+    df = df.withColumn("_strong", titled & F.col("_first").rlike(SUPPLEMENT_HEADER))
+    named = F.trim(fold_spaces(F.when(titled, F.regexp_extract("_first", SUPPLEMENT_FOR, 1)).otherwise("")), F.lit(" :-"))
     named = F.trim(F.get(F.split(named, rf"(?i){NOT_WORD_BEFORE}Authors?\s*:", 2), F.lit(0)))
     df = df.withColumn("_named", F.when(F.length(named) >= 8, F.left(named, F.lit(300))))
     # Without "for <title>" the first fitting line after the header is the parent's title.
@@ -111,7 +121,6 @@ def detect_supplement(
     df = df.withColumn("_after", F.when(
         F.col("_strong") & F.col("_named").isNull(), F.get(F.filter(following, fits), F.lit(0))
     ))
-    lower = F.lower(source)
     df = df.withColumn("_markers", sum((F.when(lower.contains(m), 1).otherwise(0) for m in MAIN_MARKERS), F.lit(0)))
     evidence = {
         "metadata relation": (link.isNotNull(), 0.9),
@@ -121,9 +130,9 @@ def detect_supplement(
         "line after the header": (F.col("_after").isNotNull(), 0.10),
         "main article structure": (F.col("_markers") >= 2, -0.55),
         "one main article marker": (F.col("_markers") == 1, -0.20),
-        "associated content": (source.rlike(ASSOCIATED), -0.35),
+        "associated content": (lower.contains("associated") & source.rlike(ASSOCIATED), -0.35),
         "heading beside an abstract": (
-            F.col("_first").rlike(S_HEADING) & F.lower("_first").contains("abstract:") & ~F.col("_strong"), -0.25
+            lower.contains("supporting") & F.col("_first").rlike(S_HEADING) & F.lower("_first").contains("abstract:") & ~F.col("_strong"), -0.25
         ),
     }
     df = df.withColumn("_hits", F.array(*[F.when(test, F.lit(why)) for why, (test, _) in evidence.items()]))
@@ -137,7 +146,7 @@ def detect_supplement(
         "parent_title": F.coalesce("_named", "_after"),
         "parent_doi": F.coalesce(link, F.when(F.col("is_supplement"), own_doi)),
         "reasons": F.array_compact("_hits"),
-    }).drop("_first", "_strong", "_named", "_after", "_markers", "_hits")
+    }).drop("_first", "_low", "_strong", "_named", "_after", "_markers", "_hits")
 
 
 def occurrences(c: Column, needle: str) -> Column:

@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import duckdb
+import pandas as pd
 import pytest
 
 from folioframe.functions.similarity import TitleBlock, common_length, matching_pairs
@@ -124,3 +125,18 @@ def test_blocks_with_wide_and_mixed_titles():
     reach = lambda a, b: 2 * common_length(a, b) >= 0.85 * (len(a) + len(b)) - 1e-9
     assert set(matching_pairs(block, block, 0.85)) == {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if reach(titles[i], titles[j])}
     assert set(matching_pairs(some, block, 0.85)) == {(i, j) for i, a in enumerate(titles[::2]) for j, b in enumerate(titles) if reach(a, b)}
+
+
+def test_titles_of_one_side_do_not_meet_each_other(monkeypatch):
+    """A short batch against a large library: pairs within the library are not even counted."""
+    met = []
+    counted = lambda a, b, least: met.append(len(a.titles) * len(b.titles)) or matching_pairs(a, b, least)
+    monkeypatch.setattr(linkage, "matching_pairs", counted)
+    keys = [f"a study of {n:04d} things and others" for n in range(300)]
+    rows = pd.DataFrame({"own": [n % 2 for n in range(300)], "key": keys, "is_left": [n < 10 for n in range(300)], "is_right": [n >= 8 for n in range(300)]})
+    got = linkage._compared(0.92)(rows)
+    assert sum(met) <= 10 * 292
+    reach = lambda a, b: 2 * common_length(a, b) >= 0.92 * (len(a) + len(b)) - 1e-9
+    assert sorted(zip(got["left_key"], got["right_key"], strict=True)) == sorted(
+        (a, b) for i, a in enumerate(keys[:10]) for j, b in enumerate(keys) if j >= 8 and (i - j) % 2 and reach(a, b)
+    )
