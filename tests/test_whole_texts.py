@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import time
+from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions import identifiers
 from folioframe.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, clean_text, cjk_count, lines
 from folioframe.operators import cjk, extract, layout
+from folioframe.plans import extraction
+from folioframe.plans.registry import STATEMENTS
 
 DOI = rf"(?i){NOT_WORD_BEFORE}(10\.\d{{4,9}}/[-._;()/:A-Z0-9]+)"
 PROSE = "les échanges publiés à l'époque ont été très intéressants pour la société et ses membres "
@@ -87,3 +91,22 @@ def test_lines_of_a_page_are_cleaned_once(spark):
     assert plan(front).count("Generate ") == 1
     # Once to choose the lines, once for what is kept of them.
     assert plan(layout.author_lines(page, layout.title_blocks(page))).count("■●◆") == 2
+
+
+def test_front_identifiers_are_given_whole(spark):
+    """The ISBN too, as in the SQL: that of the first place that looks like one, if it has 10 or 13 digits."""
+    texts = [
+        (1, "第3卷 第4期\nISBN 978-7-112-01234-5 文章编号：1000-1234(2019)02-0123-07"), (2, "书号isbn-10: 7-112-0123-x"), (3, "ISBN：7112012345。"),
+        (4, "收稿日期：2019-03-15 ISBN 7-112-01234-5"), (5, "中图分类号：TU984"), (6, "A7112012345 97871120123451"), (7, ""),
+    ]
+    page = SimpleNamespace(v_cn=spark.createDataFrame(texts, "doc_id long, text string"))
+    found = extraction.cn_identifiers(page)
+    got = {r.doc_id: r for r in found.collect()}
+    assert [got[n].isbn for n in range(1, 8)] == ["9787112012345", None, "7112012345", None, None, None, None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v_cn (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO v_cn VALUES (?, ?)", texts)
+    cursor = con.execute(STATEMENTS["cn_identifiers"])
+    names = [d[0] for d in cursor.description]
+    rows = cursor.fetchall()
+    assert found.columns == names and sorted(rows) == sorted(tuple(r) for r in got.values())
