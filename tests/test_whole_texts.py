@@ -110,3 +110,10 @@ def test_front_identifiers_are_given_whole(spark):
     names = [d[0] for d in cursor.description]
     rows = cursor.fetchall()
     assert found.columns == names and sorted(rows) == sorted(tuple(r) for r in got.values())
+
+
+def test_full_guess_gives_the_people(spark):
+    texts = [(1, "en", "s", "A title of some length\nAnn Lee Roe, Bob Stone\nx"), (2, "en", "s", "A title of some length\nRoe, Ann"), (3, "en", "s", "A title of some length\n12")]
+    page = SimpleNamespace(v_text=spark.createDataFrame(texts, "doc_id long, lang string, source string, text string"))
+    got = {r.doc_id: [(p.family, p.given) for p in r.creators] for r in extraction.text_metadata_full(page).collect()}
+    assert got == {1: [("Roe", "Ann Lee"), ("Stone", "Bob")], 2: [("Roe", "Ann")], 3: []}
