@@ -341,7 +341,8 @@ def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     nodes = classes.drop("set_hash")
     bands = _bands(nodes)
     leaders = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    shared = cut(bands.join(leaders, "bucket"))
+    # Rows by bucket are merged with others: Spark sizes exploded rows like the table they come from and would broadcast them.
+    shared = cut(bands.hint("merge").join(leaders, "bucket"))
 
     # First each node with the leader it meets in most buckets.
     met = shared.where("node <> leader").groupBy("node", "leader").count()
@@ -350,15 +351,15 @@ def _classified(docs: DataFrame, key: str, text: str) -> DataFrame:
     labels = connected_components(links)
     # Then each node with its likeliest partner in another component.
     rest, by_rows = shared.select("bucket", "node", "band"), F.lit(1 / LARGE_BUCKET)
-    likely = _within_buckets(_dealt(_labelled(rest, labels), by_rows).join(nodes, "node"), "sketch", _likeliest)
+    likely = _within_buckets(_dealt(_labelled(rest, labels), by_rows).hint("merge").join(nodes, "node"), "sketch", _likeliest)
     likely = likely.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
     pairs = cut(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = merged_components(labels, _linked(docs, pairs, key, text))
     # At last all pairs that are still plausible, inside their buckets: only nodes that have such a partner bring their sets there.
     rows = _labelled(rest, labels)
-    open_nodes = cut(_within_buckets(_dealt(rows, by_rows).join(nodes, "node"), "sketch", _open_nodes).select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct())
+    open_nodes = cut(_within_buckets(_dealt(rows, by_rows).hint("merge").join(nodes, "node"), "sketch", _open_nodes).select(F.col("a").alias("bucket"), F.col("b").alias("node")).distinct())
     sets = _sets(docs, open_nodes.select("node"), key, text)
-    full = _dealt(rows.join(open_nodes, ["bucket", "node"]).join(nodes.select("node", "n"), "node"), by_rows + F.col("n") / LARGE_SETS).join(sets, "node")
+    full = _dealt(rows.join(open_nodes, ["bucket", "node"]).join(nodes.select("node", "n"), "node"), by_rows + F.col("n") / LARGE_SETS).hint("merge").join(sets, "node")
     links = cut(_within_buckets(full, "items", _links_inside).select("a", "b"))
     labels = merged_components(labels, links)
 

@@ -200,6 +200,25 @@ def test_near_duplicates_that_share_one_band_of_a_large_bucket(spark, monkeypatc
     assert [rows[i] for i in range(3)] == label
 
 
+def test_rows_by_bucket_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes 32 rows of an explode like the one they come from, so any of these tables could seem small enough."""
+    plans, write = [], minhash.cut
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", 2)
+    monkeypatch.setattr(minhash, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (5, 55, 105, 155)]
+    assert {r.component_id for r in minhash.near_duplicates(table(spark, texts)).collect()} == {0}
+
+    def below(lines, at):
+        """The lines of a node's subtree."""
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        end = next((k for k in range(at + 1, len(lines)) if depth(lines[k]) <= depth(lines[at])), len(lines))
+        return lines[at + 1 : end]
+
+    lines = [p.splitlines() for p in plans if "Generate explode" in p]
+    assert lines and not [x for x in lines for k, line in enumerate(x) if "BroadcastExchange" in line and any("Generate explode" in b for b in below(x, k))]
+
+
 def test_blocks_of_a_bucket_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LARGE_BUCKET", 20)
     rows = [(bucket, i, 1 if bucket == 1 and i < 200 else i, 0, 10) for bucket in (1, 2) for i in range(300)]
