@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from folioframe.functions import similarity
 from folioframe.functions.similarity import TitleBlock, common_length, matching_pairs
 from folioframe.operators import linkage
 from folioframe.plans.ratio import may_match, ratios
@@ -127,6 +128,23 @@ def test_blocks_with_wide_and_mixed_titles():
     assert set(matching_pairs(some, block, 0.85)) == {(i, j) for i, a in enumerate(titles[::2]) for j, b in enumerate(titles) if reach(a, b)}
 
 
+def test_halves_rule_titles_out_and_lose_none(monkeypatch):
+    """Titles with the same letters in other places go before their subsequences are compared."""
+    tried, reaching = [], similarity._reaching
+    monkeypatch.setattr(similarity, "FEW", 1)
+    monkeypatch.setattr(similarity, "_reaching", lambda a, b, i, *rest: tried.append(len(i)) or reaching(a, b, i, *rest))
+    swapped = ["ab" * 20 + "cd" * 20 + "ef" * k for k in range(8)] + ["dc" * 20 + "ba" * 20 + "ef" * k for k in range(8)]
+    random.Random(3).shuffle(swapped)
+    block = TitleBlock(swapped)
+    found = matching_pairs(block, block, 0.85)
+    assert sum(tried) == len(found) < 8 * 8
+    titles = some_titles(9, "abcd efghi", (4, 40, 90, 200), 25)
+    one, other = TitleBlock(titles), TitleBlock(titles[::-1][::2])
+    reach = lambda a, b: 2 * common_length(a, b) >= 0.85 * (len(a) + len(b)) - 1e-9
+    assert set(matching_pairs(one, one, 0.85)) == {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if reach(titles[i], titles[j])}
+    assert set(matching_pairs(other, one, 0.85)) == {(i, j) for i, a in enumerate(other.titles) for j, b in enumerate(titles) if reach(a, b)}
+
+
 def test_titles_of_one_side_do_not_meet_each_other(monkeypatch):
     """A short batch against a large library: pairs within the library are not even counted."""
     met = []
