@@ -5,15 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.bpe import library_encoder
-from folioframe.llm.common import batches, cut, numbered, worker_keep
+from folioframe.llm.common import BATCH_ROWS, batches, cut, numbered, worker_keep
 
 # A turn reads OPEN role BODY text CLOSE.
 OPEN, BODY, CLOSE = "<|turn|>", "<|says|>", "<|done|>"
@@ -26,17 +26,19 @@ _LONGEST = sorted(CONTROL, key=len, reverse=True)
 # The first character of a control string, backslashes, and the rest.
 _PLAIN = re.compile("|".join(rf"(?<={re.escape(c[0])})(?=\\*{re.escape(c[1:])})" for c in _LONGEST))
 _ESCAPED = re.compile("|".join(rf"(?<={re.escape(c[0])})\\(?=\\*{re.escape(c[1:])})" for c in _LONGEST))
+# Without one of their first characters no control string is in a text.
+_STARTS = sorted({c[0] for c in CONTROL})
 _TURN = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(BODY)}(.*?){re.escape(CLOSE)}", re.DOTALL)
 
 
 def escape(text: str) -> str:
     """A backslash more behind the first character of each control string, however many are there already."""
-    return _PLAIN.sub(r"\\", text)
+    return _PLAIN.sub(r"\\", text) if any(c in text for c in _STARTS) else text
 
 
 def unescape(text: str) -> str:
     """What `escape` was given."""
-    return _ESCAPED.sub("", text)
+    return _ESCAPED.sub("", text) if any(c in text for c in _STARTS) else text
 
 
 def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -95,10 +97,14 @@ def format_windows(turns: DataFrame, counter: Callable[[], Callable[[str], int]]
     earlier = brought_on.select(*columns, F.col("segment") + 1, F.lit(1).alias("kind"))
     everything = rows.select(*columns, "segment", F.lit(2).alias("kind")).union(openings).union(earlier)
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        count = worker_keep(("chat counter", name), counter)
-        group = group.sort_values(["kind", "number"], kind="stable")
-        kind, roles, texts = group["kind"].to_numpy(), group["role"].tolist(), group["text"].tolist()
+    name = counter.__qualname__ + repr([c.cell_contents for c in counter.__closure__ or ()])
+    span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(span), pa.bool_()]
+    names = ["conv_id", "segment", "window", "formatted", "repeated", "n_new", "loss_spans", "over_budget"]
+
+    def windows_of(place: tuple, turns_: list[tuple], count: Callable[[str], int]) -> Iterator[tuple]:
+        """The windows of one segment, its turns in order of kind and number."""
+        kind, roles, texts = np.array([t[0] for t in turns_]), [t[1] for t in turns_], [t[2] for t in turns_]
         written, masks = [], []
         for role, text in zip(roles, texts, strict=True):
             head, body = OPEN + escape(role) + BODY, escape(text)
@@ -112,20 +118,36 @@ def format_windows(turns: DataFrame, counter: Callable[[], Callable[[str], int]]
         new_system = int(bool(system) and not brought)
         order = order[new_system:]
         spans = choose_windows(tokens[order], budget, int(tokens[system].sum()), history, int((kind == 1).sum()))
-        out = []
         for number, (back, at, end) in enumerate(spans or [(0, 0, 0)]):
             items = [*system, *order[back:end].tolist()]
             fresh = end - at + (new_system if number == 0 else 0)
             repeated = len(items) - fresh
             place_of = np.cumsum([0, *[len(written[i]) for i in items]]).tolist()
             loss = [{"start": place_of[n] + masks[i][0], "stop": place_of[n] + masks[i][1]} for n, i in enumerate(items) if n >= repeated and roles[i] == "assistant"]
-            out.append((group["conv_id"].iloc[0], group["segment"].iloc[0], number, "".join([written[i] for i in items]), repeated, fresh, loss, bool(tokens[items].sum() > budget)))
-        return pd.DataFrame(out, columns=["conv_id", "segment", "window", "formatted", "repeated", "n_new", "loss_spans", "over_budget"])
+            yield *place, number, "".join([written[i] for i in items]), repeated, fresh, loss, bool(tokens[items].sum() > budget)
 
-    name = counter.__qualname__ + repr([c.cell_contents for c in counter.__closure__ or ()])
-    return everything.groupBy("conv_id", "segment").applyInPandas(
-        work, "conv_id long, segment long, window int, formatted string, repeated int, n_new int, loss_spans array<struct<start int, stop int>>, over_budget boolean",
-    )
+    def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = worker_keep(("chat counter", name), counter)
+
+        def segments() -> Iterator[tuple[tuple, list[tuple]]]:
+            now, group = None, []
+            for batch in rows:
+                for conv, segment, *turn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if group and (conv, segment) != now:
+                        yield now, group
+                        group = []
+                    now = (conv, segment)
+                    group.append(tuple(turn))
+            if group:
+                yield now, group
+
+        found = (window for place, group in segments() for window in windows_of(place, group, count))
+        while some := list(islice(found, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names)
+
+    dealt = everything.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", "number")
+    return batches(dealt.select("conv_id", "segment", "kind", "role", "text"), work,
+                   "conv_id long, segment long, window int, formatted string, repeated int, n_new int, loss_spans array<struct<start int, stop int>>, over_budget boolean")
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -323,3 +323,23 @@ def test_windows_of_gaps_null_keys_and_one_repeated_turn(spark):
         read = [t for _, t, _, _ in chat.read_turns(r.formatted)]
         assert r.repeated == 2 and read[:3] == [f"far {256 * r.segment + n}" for n in (-2, -1, 0)]
     assert {r.conv_id: r.n_turns for r in chat.read_back(windows).collect()} == {5: 5, 7: 600, None: 20_000, 6: 20_000}
+
+
+def test_segments_stream_through_one_pass(spark):
+    """No call for each conversation: segments are cut out of sorted batches, also where a batch ends inside one."""
+    rows = [(None if c == 7 else c, t, ("user", "assistant", None)[t], f"text {c} {t}" if t else None) for c in range(400) for t in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    windows = chat.format_windows(turns.coalesce(1), lambda: lambda text: len(text.split()), budget=1000)
+    assert "FlatMapGroups" not in windows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.conv_id: r for r in windows.collect()}
+    assert len(got) == 400 and windows.count() == 400
+    for c, r in got.items():
+        c = 7 if c is None else c
+        assert [t[:2] for t in chat.read_turns(r.formatted)] == [("user", ""), ("assistant", f"text {c} 1"), ("", f"text {c} 2")]
+        assert (r.segment, r.window, r.repeated, r.n_new, r.over_budget) == (0, 0, 0, 3, False)
+        assert [r.formatted[x.start : x.stop] for x in r.loss_spans] == [f"text {c} 1"]
+
+
+@pytest.mark.parametrize("text", ["", "plain", "a < b", "[x]", "|", "<|turn|>", "</s>\\[/INST]", "<\\|"])
+def test_escapes_of_texts_with_and_without_signs(text):
+    assert chat.escape(text) == chat._PLAIN.sub(r"\\", text) and chat.unescape(chat.escape(text)) == text
